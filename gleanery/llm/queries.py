@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, quality, token_files, toxicity
+from gleanery.llm import bpe, ngram_join, quality, substring, token_files, toxicity
 from gleanery.llm.shared import saved
 
 
@@ -37,12 +37,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"), width=13).drop("removed")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_bpe, op9_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_bpe, op7_ngram_join, op8_substring_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,7 @@
 """From candidate buckets to classes of similar sets, without making all pairs of a bucket.
 
 A bucket holds sets that may be similar; every similar pair shares some bucket. Each set is compared with the pivot of
-its buckets only. Two sets similar to the pivot are in its class anyway. Any other similar pair is found by a prefix
+its buckets only, and what is similar is joined into classes. Two sets of one class need no further comparison. Any other similar pair is found by a prefix
 filter over the sets' differences from the pivot: if x isn't similar to p but to y, then the differences of x and of y
 from p overlap in more than (1 - c) / 2 of y's difference, with c = (1 - t) / (1 + t). So no link is lost, and what is
 made grows with the rows of the buckets and with what the sets differ in.
@@ -22,8 +22,8 @@ def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
 
-def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b) that join every two similar sets, directly or over others.
+def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) for every id that is similar to another one, directly or over others.
 
     buckets: key, id, weight (the pivot of a bucket is the id of most weight, then the least id); only buckets of two
     ids or more matter. sets_of(ids) returns id and tokens (array of distinct longs) for the ids asked for. Rows with a
@@ -48,23 +48,30 @@ def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     judged = judged.withColumn("prefix", F.slice("diff", 1, F.greatest(F.lit(1), F.col("d") - overlap + 1).cast("int"))).drop("diff")
     judged = saved(judged, "judged")
     near = judged.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    found = components(near)
+    # pairs of one class are settled; others of a pivot meet by what they differ in from it
     apart = judged.filter("not linked").select("pivot").distinct()
-    rows = judged.join(apart, "pivot", "left_semi").select("pivot", "id", "n", "d", "linked", F.posexplode("prefix").alias("at", "token"))
+    rows = judged.join(apart, "pivot", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    rows = rows.select("pivot", "id", "class", "n", "d", "linked", F.posexplode("prefix").alias("at", "token"))
     x, y = rows.alias("x"), rows.alias("y")
     need = (F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n"))) / 2
     met = (
         (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & ~(F.col("x.linked") & F.col("y.linked"))
+        & (F.col("x.class") != F.col("y.class"))
         & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-        & (1 + F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) - 1 >= need - 1e-6)
+        & (F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= need - 1e-6)
     )
-    pairs = x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = saved(x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return found
     sized = sets.select("id", "tokens", F.size("tokens").alias("n"))
     far = (
         pairs.join(sized.toDF("a", "ta", "na"), "a").join(sized.toDF("b", "tb", "nb"), "b")
         .filter(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent))
         .select("a", "b")
     )
-    return near.unionByName(far)
+    # what is known of the classes already is a star of short paths
+    return components(far.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = saved(small, "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first()
         if now == state:
             break
         state = now

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.links import components, links
+from gleanery.llm.links import classes
 from gleanery.llm.shared import checked_broadcast, saved, slices, texts_of, workers_can_import
 from gleanery.llm.shingles import WordHasher, fingerprint, mix, shingle_set
 
@@ -104,19 +104,19 @@ def ngram_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, text: s
     table = saved(_mapped(picked, sized, "i bigint, n bigint, f bigint"), "sizes")
     # equal sets are one class from the start; only its least id goes on
     known = table.filter("i is not null and n > 0")
-    classes = known.groupBy("f", "n").agg(F.min("i").alias("id"), F.count("*").alias("weight"))
-    copies = saved(known.join(classes, ["f", "n"]).filter("i <> id").select("i", "id").distinct(), "copies")
+    equal = known.groupBy("f", "n").agg(F.min("i").alias("id"), F.count("*").alias("weight"))
+    copies = saved(known.join(equal, ["f", "n"]).filter("i <> id").select("i", "id").distinct(), "copies")
     single = picked.filter("i is not null").join(checked_broadcast(copies.select("i").distinct()), "i", "left_anti")
     rows = _mapped(single, keyed, "key bigint, id bigint")
     whole = Window.partitionBy("key")
     met = rows.withColumn("least", F.min("id").over(whole)).withColumn("most", F.max("id").over(whole)).filter("least <> most").select("key", "id")
-    buckets = saved(met.join(classes.select("id", "weight"), "id"), "buckets")
+    buckets = saved(met.join(equal.select("id", "weight"), "id"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         asked = picked.join(checked_broadcast(ids.select(F.col("id").alias("i"))), "i", "left_semi")
         return _mapped(asked.dropDuplicates(["i"]), tokens, "id bigint, tokens array<bigint>")
 
-    found = components(links(buckets, sets_of, percent))
-    reps = copies.unionByName(classes.select(F.col("id").alias("i"), "id"))
+    found = classes(buckets, sets_of, percent)
+    reps = copies.unionByName(equal.select(F.col("id").alias("i"), "id"))
     member = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("i", F.coalesce("component", "id").alias("c")).groupBy("i").agg(F.min("c").alias("c"))
     return table.join(member, "i", "left").select(F.col("i").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("c", "i").alias("component_id"))

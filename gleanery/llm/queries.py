@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, ngram_join, quality, substring, token_files, toxicity
+from gleanery.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, quality, substring, token_files, toxicity, urls
 from gleanery.llm.shared import saved
 
 
@@ -32,6 +32,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, licenses (names, comma-joined), n_licenses."""
+    templates = spark.createDataFrame(licenses.NOTICES, "license string, notice string")
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), templates)
+    return found.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), F.size("licenses").cast("bigint").alias("n_licenses"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = saved(quality.quality_features(_table(spark, sf_dir, "documents")), "features")
     cutoffs = quality.certified_cutoffs(features, _table(spark, sf_dir, "labels"))
@@ -42,6 +49,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The rules of the query: verdict, host, path.
+URL_RULES = [("allow", "com", ""), ("block", "example.com", "en/"), ("allow", "www.example.com", "en/"), ("block", "net", "es/"), ("block", "net", "fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -54,8 +69,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left)."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_quality_rules, op5_bpe, op7_ngram_join, op8_substring_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bpe, op6_url_filter, op7_ngram_join, op8_substring_dedup, op9_token_files, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

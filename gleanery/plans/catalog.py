@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gleanery.plans.demo import DEMOS
+from gleanery.plans import aggregates, joins, normalize, sequences, tables  # noqa: F401, I001  (each registers its queries)
+
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in DEMOS.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in DEMOS.items() if sql}

@@ -1 +1,158 @@
-"""Queries."""
+"""Ranking, slots, caps, sampling, streaks, order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gleanery.functions.rules import rounded
+from gleanery.operators import choose as C
+from gleanery.operators import streaks as S
+from gleanery.plans.demo import demo
+from gleanery.plans.normalize import SCORED_SQL, scored
+
+_CONF = "CASE WHEN n_chars >= 100 THEN 1.0 WHEN n_chars >= 50 THEN 0.6 ELSE 0.3 END"
+_RANKED = f"SELECT *, floor((score + 0.2 * {_CONF}) * 100 + 0.5) / 100 AS rank, {_CONF} AS confidence FROM ({SCORED_SQL})"
+
+
+def ranked(t):
+    rows = scored(t).withColumn("confidence", F.when(F.col("n_chars") >= 100, 1.0).when(F.col("n_chars") >= 50, 0.6).otherwise(0.3))
+    return rows.withColumn("rank", rounded(F.col("score") + 0.2 * F.col("confidence")))
+
+
+def best():
+    return [F.desc("rank"), F.desc("n_chars"), F.asc("doc_id")]
+
+
+@demo(f"SELECT source, lang AS slot, doc_id, rank FROM ({_RANKED}) WHERE lang IN ('es', 'en') AND confidence >= 0.55 QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY rank DESC, n_chars DESC, doc_id) = 1")
+def slot_select(t):
+    rows = ranked(t).filter(F.col("lang").isin("es", "en") & (F.col("confidence") >= 0.55)).withColumn("slot", F.col("lang"))
+    return C.slot_winners(rows, ["source"], "slot", best()).select("source", "slot", "doc_id", "rank")
+
+
+@demo(f"""WITH r AS ({_RANKED}), a AS (SELECT source, doc_id FROM r WHERE confidence >= 0.55 QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank DESC, n_chars DESC, doc_id) = 1),
+b AS (SELECT source, doc_id FROM r WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM a) QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank DESC, n_chars DESC, doc_id) = 1)
+SELECT source, doc_id, 'any' AS slot FROM a UNION ALL SELECT source, doc_id, 'en' FROM b""")
+def exclusive_slots(t):
+    slots = [("any", F.col("confidence") >= 0.55, best()), ("en", F.col("lang") == "en", best())]
+    return C.exclusive_slots(ranked(t), ["source"], "doc_id", slots).select("source", "doc_id", "slot")
+
+
+@demo()
+def greedy_two_key(t):
+    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rows = t.lineitem.select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    return C.greedy_unique(rows, "l_partkey", "l_orderkey", order)
+
+
+@demo("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) SELECT p_partkey, p_brand, place FROM r ORDER BY place > 3, place, p_brand LIMIT 100""")
+def cap_backfill(t):
+    return C.cap_and_fill(t.part.select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")], 3, 100).select("p_partkey", "p_brand", "place")
+
+
+@demo("""WITH s AS (SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' AND p_size > 20 THEN 'economy' WHEN p_type = 'PROMO' THEN 'promo' END AS stratum, row_number() OVER (PARTITION BY CASE WHEN p_type = 'ECONOMY' AND p_size > 20 THEN 'economy' WHEN p_type = 'PROMO' THEN 'promo' END ORDER BY p_partkey) AS rn FROM part),
+k AS (SELECT p_partkey, stratum FROM s WHERE stratum IS NOT NULL AND rn <= 10) SELECT p_partkey, stratum AS kind FROM k UNION ALL SELECT * FROM (SELECT p_partkey, 'general' FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM k) ORDER BY p_partkey LIMIT 20)""")
+def stratified_sample(t):
+    stratum = F.when((F.col("p_type") == "ECONOMY") & (F.col("p_size") > 20), "economy").when(F.col("p_type") == "PROMO", "promo")
+    reserved = C.top(t.part.select("p_partkey", stratum.alias("kind")).filter("kind is not null"), ["kind"], [F.asc("p_partkey")], 10).select("p_partkey", "kind")
+    general = t.part.select("p_partkey").join(reserved.select("p_partkey"), "p_partkey", "left_anti").orderBy("p_partkey").limit(20).withColumn("kind", F.lit("general"))
+    return reserved.unionByName(general)
+
+
+@demo("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'seen' WHEN row_number() OVER (PARTITION BY o_orderstatus = 'F', o_custkey ORDER BY o_orderkey) > 1 THEN 'dup' ELSE 'keep' END AS action FROM orders) SELECT action, count(*) AS n FROM c GROUP BY 1""")
+def rotation_plan(t):
+    seen = F.col("o_orderstatus") == "F"
+    place = F.row_number().over(Window.partitionBy(seen, "o_custkey").orderBy("o_orderkey"))
+    return t.orders.select(F.when(seen, "seen").when(place > 1, "dup").otherwise("keep").alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@demo("""WITH u AS (SELECT o_custkey AS k, 1 AS tier FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT c_custkey, 3 FROM customer) SELECT k AS c_custkey, min(tier) AS tier FROM u GROUP BY 1""")
+def priority_union(t):
+    def of(rows, key, tier):
+        return rows.select(F.col(key).alias("c_custkey"), F.lit(tier).alias("tier"))
+
+    tiers = [of(t.orders.filter("o_orderpriority like '1%'"), "o_custkey", 1), of(t.orders.filter("o_totalprice > 200000"), "o_custkey", 2), of(t.customer, "c_custkey", 3)]
+    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("c_custkey").agg(F.min("tier").alias("tier"))
+
+
+@demo("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 1")
+def active_pointer(t):
+    return t.orders.filter("o_orderstatus = 'P'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(1).select("o_custkey", "o_orderkey")
+
+
+@demo("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)")
+def retain_latest_n(t):
+    done = t.orders.filter("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+    return t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey").unionByName(done.select("o_orderkey"))
+
+
+@demo("""WITH i AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i),
+b AS (SELECT *, coalesce(max(CASE WHEN event_type = 'error' AND streak >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM s)
+SELECT user_id, count_if(open = 0 AND event_type <> 'error') AS ok, count_if(open = 0 AND event_type = 'error') AS errors, count_if(open = 1) AS skipped FROM b GROUP BY 1""")
+def failure_streaks(t):
+    rows = S.failure_streaks(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error", 2)
+    return rows.groupBy("user_id").agg(F.count_if(~F.col("skipped") & (F.col("event_type") != "error")).alias("ok"), F.count_if(~F.col("skipped") & (F.col("event_type") == "error")).alias("errors"), F.count_if("skipped").alias("skipped"))
+
+
+@demo("SELECT event_id, round FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events) ORDER BY round, user_id LIMIT 200")
+def round_robin_cap(t):
+    return C.round_robin(t.events, "user_id", [F.col("ts"), F.col("event_id")], 200).select("event_id", "round")
+
+
+@demo("""WITH y AS (SELECT DISTINCT year(o_orderdate) * 4 + quarter(o_orderdate) AS q FROM orders), b AS (SELECT q, q // 8 AS bucket, row_number() OVER (PARTITION BY q // 8 ORDER BY q DESC) AS rn FROM y) SELECT q, row_number() OVER (ORDER BY rn, bucket DESC) AS place FROM b""")
+def interleave_buckets(t):
+    quarters = t.orders.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("q")).distinct().withColumn("bucket", F.floor(F.col("q") / 8))
+    rows = quarters.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("q"))))
+    # one row for each quarter of the calendar: the last window is small
+    return rows.select("q", F.row_number().over(Window.orderBy("rn", F.desc("bucket"))).alias("place"))
+
+
+@demo("""WITH a AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), b AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_regionkey) * 5 AS i FROM region), u AS (SELECT name, i, 1 AS part FROM a UNION ALL SELECT name, i, 0 FROM b) SELECT name, row_number() OVER (ORDER BY i, part, name) AS place FROM u""")
+def spread_merge(t):
+    a = t.nation.select(F.col("n_name").alias("name"), F.row_number().over(Window.orderBy("n_nationkey")).alias("i"), F.lit(1).alias("part"))
+    b = t.region.select(F.col("r_name").alias("name"), (F.row_number().over(Window.orderBy("r_regionkey")) * 5).alias("i"), F.lit(0).alias("part"))
+    return a.unionByName(b).select("name", F.row_number().over(Window.orderBy("i", "part", "name")).alias("place"))
+
+
+@demo("SELECT n_name, (n_nationkey - 7 + 25) % 25 AS place FROM nation")
+def cursor_rotate(t):
+    total = t.nation.count()
+    return t.nation.select("n_name", F.pmod(F.col("n_nationkey") - 7, F.lit(total)).alias("place"))
+
+
+@demo("SELECT o_orderkey, coalesce(max(l_extendedprice), -1) AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY best DESC, o_orderkey LIMIT 50")
+def sort_nested_max(t):
+    picks = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_extendedprice")).alias("picks"))
+    best_pick = F.coalesce(F.array_max(F.transform("picks", lambda p: p["l_extendedprice"])), F.lit(-1.0))
+    return t.orders.select("o_orderkey").join(picks, "o_orderkey", "left").select("o_orderkey", best_pick.alias("best")).orderBy(F.desc("best"), "o_orderkey").limit(50)
+
+
+@demo("SELECT p_partkey, CASE WHEN p_size > 30 THEN NULL ELSE p_size END AS size FROM part ORDER BY size DESC NULLS LAST, p_partkey LIMIT 40")
+def null_order(t):
+    return t.part.select("p_partkey", F.when(F.col("p_size") <= 30, F.col("p_size")).alias("size")).orderBy(F.desc_nulls_last("size"), "p_partkey").limit(40)
+
+
+@demo("SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
+def page_with_total(t):
+    rows = t.orders.filter("o_orderstatus = 'F'")
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return rows.select("o_orderkey").orderBy("o_orderkey").offset(40).limit(20).crossJoin(F.broadcast(total))
+
+
+@demo("SELECT n_name FROM nation")
+def locale_sort(t):
+    return t.nation.select("n_name").orderBy(F.collate("n_name", "es"))
+
+
+@demo("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey <> 33, o_orderdate, o_orderkey) AS place FROM orders ORDER BY place LIMIT 10")
+def pinned_first(t):
+    first = t.orders.orderBy(F.col("o_orderkey") != 33, "o_orderdate", "o_orderkey").limit(10)
+    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderkey") != 33, "o_orderdate", "o_orderkey")).alias("place"))
+
+
+@demo("""SELECT c_custkey, array_to_string(list_concat(list_filter(['FRANCE', 'CHINA', 'PERU'], lambda x: x = n_name), list_filter(['FRANCE', 'CHINA', 'PERU'], lambda x: x <> n_name))[1:2], ',') AS allowed FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def allowlist_fill(t):
+    allow = F.array(*(F.lit(n) for n in ("FRANCE", "CHINA", "PERU")))
+    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    mine = F.array("n_name")
+    return rows.select("c_custkey", F.array_join(F.slice(F.concat(F.filter(allow, lambda x: F.array_contains(mine, x)), F.filter(allow, lambda x: ~F.array_contains(mine, x))), 1, 2), ",").alias("allowed"))

@@ -1 +1,99 @@
-"""Queries."""
+"""Sinks, state and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleanery.functions.rules import csv_guarded
+from gleanery.operators import merge as M
+from gleanery.plans.demo import demo
+from gleanery.streaming import streams
+
+_DELTA = "SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice + 1 END AS o_totalprice, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"
+
+
+def delta(t):
+    return t.orders.filter("o_orderkey % 2 = 0").select(F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") + 10000000).otherwise(F.col("o_orderkey")).alias("o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+
+
+@demo(f"""WITH d AS ({_DELTA}) SELECT o_orderkey, coalesce(d.o_totalprice, o.o_totalprice) AS o_totalprice, coalesce(d.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_custkey AS o_custkey, CASE WHEN o.o_custkey IS NULL THEN 'inserted' WHEN d.o_orderstatus IS NULL THEN 'kept' ELSE 'updated' END AS action FROM orders o FULL JOIN d USING (o_orderkey)""")
+def upsert_coalesce(t):
+    target = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    return M.upsert(target, delta(t), "o_orderkey")
+
+
+@demo(f"WITH d AS ({_DELTA}) SELECT o_orderkey IN (SELECT o_orderkey FROM orders) AS existing, count(*) AS n FROM d GROUP BY 1")
+def upsert_split(t):
+    new, keys = delta(t), t.orders.select("o_orderkey")
+    fresh, old = new.join(keys, "o_orderkey", "left_anti"), new.join(keys, "o_orderkey", "left_semi")
+    return fresh.withColumn("existing", F.lit(False)).unionByName(old.withColumn("existing", F.lit(True))).groupBy("existing").agg(F.count("*").alias("n"))
+
+
+@demo("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_wins(t):
+    return M.first_rows(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "ts", "event_id")
+
+
+@demo("SELECT event_id, CASE WHEN regexp_matches(cell, '^[=+@-]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '=' ELSE '' END || event_type AS cell FROM events)")
+def csv_guard(t):
+    return t.events.select("event_id", csv_guarded(F.concat(F.when(F.col("event_type") == "error", "=").otherwise(""), "event_type")).alias("cell"))
+
+
+@demo("""SELECT source, lang, CASE lang WHEN 'es' THEN 'Español' ELSE 'English' END AS label, min(doc_id) AS doc_id FROM documents WHERE lang IN ('en', 'es') GROUP BY ALL""")
+def flat_export(t):
+    labels = F.create_map(*(F.lit(x) for x in ("es", "Español", "en", "English")))
+    picks = t.documents.filter(F.col("lang").isin("en", "es")).groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    items = picks.groupBy("source").agg(F.collect_list(F.struct("lang", "doc_id")).alias("picks"))
+    return items.select("source", F.inline("picks")).select("source", "lang", F.element_at(labels, F.col("lang")).alias("label"), "doc_id")
+
+
+@demo("SELECT '# ' || n_name || chr(10) || n_nationkey AS value FROM nation")
+def text_export(t):
+    return t.nation.select(F.format_string("# %s\n%d", "n_name", "n_nationkey").alias("value"))
+
+
+@demo("SELECT lang AS kind, source, min(doc_id) AS doc_id FROM documents WHERE n_chars > 500 GROUP BY ALL")
+def catalog_rollup(t):
+    return M.first_rows(t.documents.filter("n_chars > 500"), ["lang", "source"], [F.col("doc_id")]).select(F.col("lang").alias("kind"), "source", "doc_id")
+
+
+@demo("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500")
+def bounded_scan(t):
+    return t.orders.select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(500)
+
+
+@demo("SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS value FROM orders UNION SELECT 'order', CAST(l_orderkey AS VARCHAR) FROM lineitem UNION SELECT 'part', CAST(l_partkey AS VARCHAR) FROM lineitem")
+def seen_union(t):
+    def of(rows, kind, c):
+        return rows.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+
+    return of(t.orders, "order", "o_orderkey").unionByName(of(t.lineitem, "order", "l_orderkey")).unionByName(of(t.lineitem, "part", "l_partkey")).distinct()
+
+
+@demo("""WITH n AS (SELECT user_id, count(*) AS done, max(event_id) AS last_id FROM events WHERE event_id % 2 = 1 GROUP BY 1), o AS (SELECT user_id, count(*) AS done, max(event_id) AS last_id, min(ts) AS started_at FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT user_id, min(ts) AS started_at FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT user_id, coalesce(o.done, 0) + coalesce(n.done, 0) AS done, greatest(coalesce(o.last_id, -1), coalesce(n.last_id, -1)) AS last_id, coalesce(o.started_at, s.started_at) AS started_at, CASE WHEN coalesce(o.done, 0) + coalesce(n.done, 0) >= 60 THEN 'complete' ELSE 'active' END AS status FROM o FULL JOIN n USING (user_id) LEFT JOIN s USING (user_id)""")
+def progress_advance(t):
+    def state(rows):
+        return rows.groupBy("user_id").agg(F.count("*").alias("done"), F.max("event_id").alias("last_id"), F.min("ts").alias("started_at"))
+
+    return streams.advanced(state(t.events.filter("event_id % 2 = 0")), state(t.events.filter("event_id % 2 = 1")), "user_id", complete_at=60)
+
+
+@demo("SELECT count(*) AS n, sum(event_id) AS ids FROM events")
+def stream_ingest(t):
+    return streams.ingested(t.spark, f"{t.sf_dir}/events.parquet").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@demo("SELECT user_id, event_type, min(event_id) > -1 AS seen FROM events GROUP BY ALL")
+def stream_dedupe(t):
+    return streams.first_wins(t.spark, f"{t.sf_dir}/events.parquet", ["user_id", "event_type"]).select("user_id", "event_type", F.lit(True).alias("seen"))
+
+
+@demo("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def stream_metrics(t):
+    return streams.windowed_metrics(t.spark, f"{t.sf_dir}/events.parquet", "1 hour")
+
+
+@demo("SELECT user_id, max(event_id) AS last_id, count(*) AS n_rows FROM events GROUP BY user_id")
+def stream_upsert(t):
+    return streams.upserted(t.spark, f"{t.sf_dir}/events.parquet")

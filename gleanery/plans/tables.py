@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.rules import csv_guarded
 from gleanery.operators import merge as M
-from gleanery.plans.demo import demo
-from gleanery.streaming import streams
+from gleanery.plans.demo import DEMOS, demo
+from gleanery.streaming import stateful, streams
 
 _DELTA = "SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice + 1 END AS o_totalprice, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"
 
@@ -97,3 +97,8 @@ def stream_metrics(t):
 @demo("SELECT user_id, max(event_id) AS last_id, count(*) AS n_rows FROM events GROUP BY user_id")
 def stream_upsert(t):
     return streams.upserted(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@demo(DEMOS["failure_streaks"][1])
+def stream_failures(t):
+    return stateful.streak_stream(t.spark, f"{t.sf_dir}/events.parquet", 2)

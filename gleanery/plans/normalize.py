@@ -147,7 +147,7 @@ def additive_score(t):
 
 
 @demo("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id = 1), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents)
-SELECT doc_id, least(0.15, 0.03 * len(list_intersect(w, (SELECT list(w) FROM v)))) AS bonus FROM d""")
+SELECT doc_id, CAST(least(0.15, 0.03 * len(list_intersect(w, (SELECT list(w) FROM v)))) AS DOUBLE) AS bonus FROM d""")
 def overlap_bonus(t):
     expected = t.benchmark.filter("item_id = 1").select(F.split(F.lower("text"), " ").alias("expected"))  # one row
     rows = t.documents.select("doc_id", F.split(F.lower("text"), " ").alias("w")).join(F.broadcast(expected))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.decontaminate import benchmark_words
@@ -34,6 +34,11 @@ def _shingles(rows: DataFrame) -> DataFrame:
     return hashed.withColumn("r", runs).withColumn("h", F.slice("r", 1, F.greatest(F.size("w") - SHINGLE + 1, F.lit(0)))).drop("g", "r")
 
 
+def least(hashes: Column, seed: Column) -> Column:
+    """The MinHash value for a seed: hashes are spread evenly, so the exclusive or with the seed permutes them."""
+    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(seed)))
+
+
 def bands_for(words: int, share: float, miss: float) -> int:
     """Bands for templates of so many words: a window that holds share of the template misses all with at most miss."""
     own, window = words - SHINGLE + 1, 2 * words - SHINGLE + 1
@@ -62,7 +67,7 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, share: float = 0.8
         windows = rows.select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(m)), lambda s: F.struct(s.alias("at"), F.slice("h", s + 1, 2 * m - SHINGLE + 1).alias("x")))).alias("v")).select("doc", "v.at", "v.x")
 
         def values(x, seeds=seeds):
-            return F.array(*(F.array_min(F.transform(x, lambda h, s=s: h.bitwiseXOR(s))) for s in seeds))
+            return F.array(*(least(x, s) for s in seeds))
 
         own = known.filter(F.col("m") == m)
         keys = own.select("license", "t", F.posexplode(values(F.col("t"))).alias("band", "value"))

@@ -102,3 +102,8 @@ def stream_upsert(t):
 @demo(DEMOS["failure_streaks"][1])
 def stream_failures(t):
     return stateful.streak_stream(t.spark, f"{t.sf_dir}/events.parquet", 2)
+
+
+@demo("SELECT user_id, count(*) AS done, max(event_id) AS last_id, min(ts) AS started_at, CASE WHEN count(*) >= 60 THEN 'complete' ELSE 'active' END AS status FROM events GROUP BY user_id")
+def stream_progress(t):
+    return stateful.progress_stream(t.spark, f"{t.sf_dir}/events.parquet", 60)

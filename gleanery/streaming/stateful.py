@@ -47,26 +47,60 @@ class Streaks(StatefulProcessor):
         pass
 
 
-def streak_stream(spark: SparkSession, path: str, most: int) -> DataFrame:
-    """The state of each user after all that there is now: ok, errors and skipped rows."""
+class Progress(StatefulProcessor):
+    """Per key: rows done, the last one, and the start, which stays that of the first batch. Times are microseconds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("progress", "done bigint, last_id bigint, started bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, last, started = self.state.get() if self.state.exists() else (0, -1, None)
+        for part in rows:
+            done += len(part)
+            last = max(last, int(part["event_id"].max()))
+            first = int(part["micros"].min())
+            started = first if started is None else started
+        state = (int(done), int(last), int(started))
+        self.state.update(state)
+        yield pd.DataFrame({"user_id": [key[0]], "done": [state[0]], "last_id": [state[1]], "started": [state[2]]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_states(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """The last state that the processor gives for each user_id of a stream, after all that there is now."""
+    spark = rows.sparkSession
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
-    schema = "user_id bigint, ok bigint, errors bigint, skipped bigint, last_id bigint"
     out, before = scratch(spark), spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        stream = source(spark, path).select("user_id", "ts", "event_id", "event_type").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Streaks(most), outputStructType=schema, outputMode="Update", timeMode="None")
+        states = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
 
         def keep(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        states.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(out)
-    return rows.groupBy("user_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("ok", "errors", "skipped")))
+    found = spark.read.schema(f"{schema}, batch bigint").parquet(out)
+    return found.groupBy("user_id").agg(*(F.max_by(c, "batch").alias(c) for c in found.columns if c not in ("user_id", "batch")))
+
+
+def streak_stream(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """ok, errors and skipped rows of each user."""
+    rows = source(spark, path).select("user_id", "ts", "event_id", "event_type")
+    return latest_states(rows, Streaks(most), "user_id bigint, ok bigint, errors bigint, skipped bigint, last_id bigint").drop("last_id")
+
+
+def progress_stream(spark: SparkSession, path: str, complete_at: int) -> DataFrame:
+    """done, last_id, started_at and status of each user."""
+    rows = source(spark, path).select("user_id", "event_id", F.unix_micros("ts").alias("micros"))
+    states = latest_states(rows, Progress(), "user_id bigint, done bigint, last_id bigint, started bigint")
+    return states.select("user_id", "done", "last_id", F.timestamp_micros("started").cast("timestamp_ntz").alias("started_at"), F.when(F.col("done") >= complete_at, "complete").otherwise("active").alias("status"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import checked_broadcast, lower_ascii, saved, words_of
+from gleanery.llm.shared import BROADCAST_IDS, checked_broadcast, lower_ascii, saved, words_of
 
 #: Everything in ASCII but digits and letters stands between words (A-Z are lower-cased before).
 APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -70,7 +70,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, *, anchors: int = 3) ->
     needed = terms.groupBy("phrase").agg(F.max("rank").alias("needed"))
     places = places.groupBy("phrase", "doc", "start").agg(F.count("*").alias("have")).join(checked_broadcast(needed), "phrase").filter("have = needed").select("phrase", "doc", "start")
     places = saved(places, "places")
-    asked = docs.join(checked_broadcast(places.select("doc").distinct()), "doc", "left_semi")
+    asked = docs.join(checked_broadcast(places.select("doc").distinct(), BROADCAST_IDS), "doc", "left_semi")
     sized = phrases.withColumnRenamed("words", "phrase_words")
     found = asked.join(places, "doc").join(checked_broadcast(sized), "phrase")
     return found.filter(F.slice("words", F.col("start") + 1, F.size("phrase_words")) == F.col("phrase_words")).select("phrase", "doc", "start", F.size("phrase_words").alias("length")).distinct()

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; beyond this the same join runs as a shuffle join.
 BROADCAST_ROWS = 50_000
+#: The same for tables of one number a row.
+BROADCAST_IDS = 1_000_000
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
 
@@ -45,14 +47,6 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a result of saved() that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

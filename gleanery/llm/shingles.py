@@ -6,7 +6,6 @@ import numpy as np
 import xxhash
 
 CACHE_WORDS = 1 << 19
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,16 +40,16 @@ class WordHasher:
 
 
 def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A hash for each run of width words, in order."""
+    """A hash for each run of width words, in order: a weighted sum of the words' hashes with odd weights, mixed."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    odd = _ODD[seed % len(_ODD)]
+    odd = mix(np.arange(1, width + 1, dtype=np.uint64) + np.uint64(1000 * seed)) | np.uint64(1)
     with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64((seed * 1_000_003 + width) & 0xFFFFFFFF), dtype=np.uint64)
-        for j in range(width):
-            out = mix(out * odd + hashes[j : j + n])
-    return out
+        out = hashes[:n] * odd[0] + np.uint64(width)
+        for j in range(1, width):
+            out += hashes[j : j + n] * odd[j]
+        return mix(out)
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import checked_broadcast, saved, slices, texts_of, workers_can_import
+from gleanery.llm.shared import BROADCAST_IDS, checked_broadcast, saved, slices, texts_of, workers_can_import
 from gleanery.llm.shingles import WordHasher, windows
 
 PERIOD, COVER = 7, (0, 1, 3)
@@ -74,7 +74,7 @@ def repeated_passages(docs: DataFrame, *, width: int = 13, text: str = "text", d
     # an id that stands for several texts goes the long way unless all of them are copies
     several = table.groupBy("i").count().filter("count > 1").select("i")
     copies = copies.join(several, "i", "left_anti")
-    single = picked.filter("i is not null").join(checked_broadcast(copies), "i", "left_anti")
+    single = picked.filter("i is not null").join(checked_broadcast(copies, BROADCAST_IDS), "i", "left_anti")
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=False)
@@ -87,7 +87,6 @@ def repeated_passages(docs: DataFrame, *, width: int = 13, text: str = "text", d
     whole = Window.partitionBy("h")
     hits = single.mapInArrow(anchored, "h bigint, i bigint").withColumn("least", F.min("i").over(whole)).withColumn("most", F.max("i").over(whole)).filter("least <> most")
     hits = saved(hits.groupBy("i").agg(F.collect_list("h").alias("hs")), "hits")
-    asked = single.join(checked_broadcast(hits.select("i")), "i", "left_semi")
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=False)
@@ -102,9 +101,8 @@ def repeated_passages(docs: DataFrame, *, width: int = 13, text: str = "text", d
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), i)), pa.array(at, pa.int32())], names=["a", "b", "i", "at"])
 
     same = Window.partitionBy("a", "b")
-    later = asked.join(hits, "i").mapInArrow(extended, "a bigint, b bigint, i bigint, at int").withColumn("least", F.min("i").over(same)).filter("i > least")
+    later = single.join(hits, "i").mapInArrow(extended, "a bigint, b bigint, i bigint, at int").withColumn("least", F.min("i").over(same)).filter("i > least")
     starts = saved(later.groupBy("i").agg(F.collect_set("at").alias("starts")), "starts")
-    asked = single.join(checked_broadcast(starts.select("i")), "i", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -121,7 +119,7 @@ def repeated_passages(docs: DataFrame, *, width: int = 13, text: str = "text", d
                 rows.append((i, int(gone.sum()), _joined([w for w, g in zip(words, gone, strict=True) if not g]), edges.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["i", "n_removed", "kept", "removed"])
 
-    cuts = asked.join(starts, "i").mapInArrow(cut, "i bigint, n_removed bigint, kept string, removed array<int>")
+    cuts = single.join(starts, "i").mapInArrow(cut, "i bigint, n_removed bigint, kept string, removed array<int>")
     gone = copies.select("i", F.lit(True).alias("copy"))
     out = table.join(gone, "i", "left").join(cuts, "i", "left")
     copy = F.coalesce("copy", F.lit(False))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from gleanery.llm.shared import slices, texts_of, workers_can_import
 
 #: Longer pieces are merged with a heap, in time that grows little faster than their length.
 LONGEST_ROW = 128
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 NONE = np.int64(1 << 40)
 
 
@@ -83,6 +84,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -171,7 +173,10 @@ class Encoder:
         cut = [self.split(c) for c in chunks]
         distinct = list(dict.fromkeys(p for c in cut for p in c))
         ids = dict(zip(distinct, self.pieces([p.encode() for p in distinct]), strict=True))
-        add_chunks(self, chunks, [[ids[p] for p in c] for c in cut])
+        parts = [ids[p] for c in cut for p in c]
+        each = np.array([len(x) for x in parts], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([len(c) for c in cut])]
+        add_chunks(self, chunks, np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.diff(np.concatenate([[0], ends])))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
@@ -181,53 +186,68 @@ class Encoder:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
-def add_chunks(store, chunks: list[str], ids: list[list[np.ndarray]]) -> None:
-    """Appends the ids of new chunks to the worker's store, which grows by doubling."""
-    sizes = np.array([sum(map(len, x)) for x in ids], dtype=np.int64)
-    n, total = len(store.known), int(sizes.sum())
+def add_chunks(store, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+    """Appends new chunks to the worker's store, which grows by doubling: their ids one after another, and how many."""
+    n, total = len(store.known), len(flat)
     while store.used + total > len(store.ids):
         store.ids = np.concatenate([store.ids, np.zeros_like(store.ids)])
     while n + len(chunks) > len(store.starts):
-        store.starts, store.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (store.starts, store.lengths))
-    flat = [y for x in ids for y in x]
-    if flat:
-        store.ids[store.used : store.used + total] = np.concatenate(flat)
+        store.starts, store.lengths, store.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (store.starts, store.lengths, store.uses))
+    store.ids[store.used : store.used + total] = flat
     store.starts[n : n + len(chunks)] = store.used + np.cumsum(sizes) - sizes
     store.lengths[n : n + len(chunks)] = sizes
-    store.known.update((c, n + i) for i, c in enumerate(chunks))
+    store.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
     store.used += total
 
 
-#: A blank before a sign that isn't white space, after one that isn't either: patterns of this kind always cut there.
+def forget(store) -> None:
+    """Keeps the chunks of a full store that were met again, if they are at most half of it."""
+    chunks, n = list(store.known), len(store.known)
+    again = np.flatnonzero(store.uses[:n] > 1)
+    starts, lengths, ids = store.starts[:n], store.lengths[:n], store.ids
+    store.clear()
+    if len(again) <= CACHE_PIECES // 2:
+        sizes = lengths[again]
+        flat = ids[np.repeat(starts[again] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        add_chunks(store, [chunks[i] for i in again.tolist()], flat, sizes)
+
+
+#: White space but blanks and line ends, and the sign at which texts are cut.
+OTHER_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+#: A single blank between words: patterns of this kind always cut there.
 CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text cut where a single blank stands between two words, the blank going with the word after it."""
-    if "  " in text:
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    out = [first] if first else []
-    out += [" " + c for c in rest]
-    return out
+    """The text cut where patterns of this kind always cut: before a single blank between two words, which goes with
+    the word after it, and around a single line end between two words."""
+    # white space of other kinds, in runs, or at an end
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE(text) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
+        return CUT.split(text) if text else []
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def encode_by_chunks(store, texts: list[str], learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
     """Encodes each distinct chunk once for a worker, then gathers the ids of whole texts."""
     if len(store.known) > CACHE_PIECES:
-        store.clear()
-    cut = [chunks_of(t) for t in texts]
+        forget(store)
+    flat_chunks: list[str] = []
+    edges = []
+    for t in texts:
+        flat_chunks += chunks_of(t)
+        edges.append(len(flat_chunks))
     known = store.known
-    new = list(dict.fromkeys(c for x in cut for c in x if c not in known))
-    if new:
-        learn(new)
-    count = np.array([len(x) for x in cut], dtype=np.int64)
-    codes = np.fromiter((known[c] for x in cut for c in x), dtype=np.int64, count=int(count.sum()))
+    found = list(map(known.get, flat_chunks))
+    if None in found:
+        learn(list({c: None for c, k in zip(flat_chunks, found, strict=True) if k is None}))
+        found = list(map(known.__getitem__, flat_chunks))
+    codes = np.array(found, dtype=np.int64)
+    store.uses[: len(known)] += np.bincount(codes, minlength=len(known))
     sizes = store.lengths[codes]
     ends = np.cumsum(sizes)
     flat = store.ids[np.repeat(store.starts[codes] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
     edge = np.concatenate([[0], ends])
-    upto = edge[np.cumsum(count)]
+    upto = edge[np.array(edges, dtype=np.int64)]
     return flat, np.diff(np.concatenate([[0], upto]))
 
 

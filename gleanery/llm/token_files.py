@@ -8,6 +8,7 @@ are small, and the files carry page indexes, so a read of some documents, or of
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +32,12 @@ class LibraryEncoder:
     """A tokenizer of the tokenizers library, with a store of the pieces that this worker has encoded."""
 
     def __init__(self, data: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -42,13 +45,23 @@ class LibraryEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            add_chunks(self, part, [[np.array(e.ids, dtype=np.uint32)] for e in found])
+        """Chunks without inner white space are encoded many at a time, with line ends between them, where the
+        tokenizer always cuts; others by themselves."""
+        plain = [c for c in chunks if (words := c.split()) and (words[0] == c or " " + words[0] == c)]
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = ids == self.line_end
+            edges = np.concatenate([[-1], np.flatnonzero(ends), [len(ids)]])
+            add_chunks(self, part, ids[~ends], np.diff(edges) - 1)
+        for c in chunks if len(plain) < len(chunks) else []:
+            if c not in self.known:
+                ids = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=np.uint32)
+                add_chunks(self, [c], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return encode_by_chunks(self, texts, self._learn)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.links import classes
-from gleanery.llm.shared import checked_broadcast, saved
+from gleanery.llm.shared import BROADCAST_IDS, checked_broadcast, saved
 
 #: Rarity is counted in so many buckets of words, over all texts; the counts are one short array.
 RARITY_BUCKETS = 1 << 12
@@ -19,7 +19,7 @@ RARITY_BUCKETS = 1 << 12
 
 def line_words(line: Column) -> Column:
     """Lower-cased pieces of a line between blanks and tabs; carriage returns count as blanks."""
-    return F.filter(F.split(F.lower(line), "[ \\t\\r\\x0B\\f]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), "[ \\t\\r\\x0B\\f]+"), "")
 
 
 def rarity(docs: DataFrame) -> str:
@@ -30,28 +30,34 @@ def rarity(docs: DataFrame) -> str:
     return ",".join(str(found.get(b, 0)) for b in range(RARITY_BUCKETS))
 
 
-def tokens_of(lines: DataFrame, width: int) -> DataFrame:
-    """lines (with words w) and x: distinct hashes of the runs of width words; a shorter line is one run."""
-    hashed = lines.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda s: F.xxhash64(F.slice("h", s, width)))
-    return hashed.withColumn("x", F.array_distinct(runs)).drop("h")
+def has_words(line: Column, least: int) -> Column:
+    """At least so many words: looks no further than the last of them."""
+    apart, sign = "[ \\t\\r\\x0B\\f]", "[^ \\t\\r\\x0B\\f]"
+    return line.rlike(f"^{apart}*(?:{sign}+{apart}+){{{max(least, 1) - 1}}}{sign}")
 
 
-def ordered_tokens(lines: DataFrame, width: int, scale: Column) -> DataFrame:
-    """lines (with words w) and x: the tokens as numbers in order of rarity, that of the rarer of a run's first two
-    words, then of the hash."""
+def runs_of(lines: DataFrame, width: int, made) -> DataFrame:
+    """lines (with words w) and x: made(first hash, hash of the run) for each run of width words; a shorter line is one
+    run."""
     hashed = lines.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    # h is named several times over, so the plan computes it once a line and not once a word
+    runs = F.transform("h", lambda h, at: made(h, F.xxhash64(h, *(F.get("h", at + k) for k in range(1, width)))))
+    return hashed.withColumn("r", runs).withColumn("x", F.array_distinct(F.slice("r", 1, F.greatest(F.size("w") - width + 1, F.lit(1))))).drop("h", "r")
+
 
-    def count(h: Column) -> Column:
-        return F.get(scale, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int"))
+def tokens_of(lines: DataFrame, width: int) -> DataFrame:
+    """lines (with words w) and x: the distinct hashes of the runs of width words."""
+    return runs_of(lines, width, lambda first, run: run)
+
+
+def ordered_tokens(lines: DataFrame, width: int, scale: Column) -> DataFrame:
+    """lines (with words w) and x: the tokens as numbers in order of rarity, that of a run's first word, then of the hash."""
+    low = F.lit((1 << 48) - 1)
 
-    def token(h: Column, at: Column) -> Column:
-        parts = [h, *(F.get("h", at + k) for k in range(1, width))]
-        rare = F.least(count(h), count(parts[1])) if width > 1 else count(h)
-        return F.shiftleft(rare.cast("bigint"), 48) + F.xxhash64(*parts).bitwiseAND(F.lit((1 << 48) - 1))
+    def made(first: Column, run: Column) -> Column:
+        return F.shiftleft(F.get(scale, F.pmod(first, F.lit(RARITY_BUCKETS)).cast("int")).cast("bigint"), 48) + run.bitwiseAND(low)
 
-    runs = hashed.withColumn("r", F.transform("h", token))
-    return runs.withColumn("x", F.sort_array(F.array_distinct(F.slice("r", 1, F.greatest(F.size("w") - width + 1, F.lit(1)))))).drop("h", "r")
+    return runs_of(lines, width, made).withColumn("x", F.sort_array("x"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,9 +76,9 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, least_wor
     # one literal array of fixed size
     scale = F.expr(f"array({rarity(picked)})")
     lines = lines_of(picked)
-    long_enough = lines.filter(F.size(line_words(F.col("line"))) >= least_words)
+    long_enough = lines.filter(has_words(F.col("line"), least_words))
     firsts = saved(long_enough.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
-    worded = lines.select("lh", line_words(F.col("line")).alias("w")).filter(F.size("w") >= least_words)
+    worded = long_enough.select("lh", line_words(F.col("line")).alias("w"))
     sized = ordered_tokens(worded, width, scale).select("lh", "x", F.size("x").alias("n"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9).cast("int") + 1
     rows = sized.select("lh", "n", F.posexplode(F.slice("x", 1, prefix)).alias("place", "token"))
@@ -92,7 +98,7 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, least_wor
     buckets = saved(buckets, "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = lines.join(checked_broadcast(ids.select(F.col("id").alias("lh"))), "lh", "left_semi").select("lh", "line").dropDuplicates(["lh"])
+        asked = lines.join(checked_broadcast(ids.select(F.col("id").alias("lh")), BROADCAST_IDS), "lh", "left_semi").select("lh", "line").dropDuplicates(["lh"])
         return tokens_of(asked.select("lh", line_words(F.col("line")).alias("w")), width).select(F.col("lh").alias("id"), F.col("x").alias("tokens"))
 
     found = classes(buckets, sets_of, percent)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.links import classes
-from gleanery.llm.shared import checked_broadcast, saved, slices, texts_of, workers_can_import
+from gleanery.llm.shared import BROADCAST_IDS, checked_broadcast, saved, slices, texts_of, workers_can_import
 from gleanery.llm.shingles import WordHasher, fingerprint, mix, shingle_set
 
 
@@ -34,7 +34,7 @@ def sketch_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
     rows = np.flatnonzero(sizes)
     if not len(rows):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    starts = np.array(bands(percent, int(sizes.max()) * 2), dtype=np.int64)
+    starts = np.array(bands(percent, int(sizes.max() * (100 / percent) ** 2) + 2), dtype=np.int64)
     ratio = (100 - percent) / (100 + percent)
     flat = np.concatenate([sets[i] for i in rows])
     own = np.searchsorted(starts, sizes[rows], side="right") - 1
@@ -106,14 +106,14 @@ def ngram_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, text: s
     known = table.filter("i is not null and n > 0")
     equal = known.groupBy("f", "n").agg(F.min("i").alias("id"), F.count("*").alias("weight"))
     copies = saved(known.join(equal, ["f", "n"]).filter("i <> id").select("i", "id").distinct(), "copies")
-    single = picked.filter("i is not null").join(checked_broadcast(copies.select("i").distinct()), "i", "left_anti")
+    single = picked.filter("i is not null").join(checked_broadcast(copies.select("i").distinct(), BROADCAST_IDS), "i", "left_anti")
     rows = _mapped(single, keyed, "key bigint, id bigint")
     whole = Window.partitionBy("key")
     met = rows.withColumn("least", F.min("id").over(whole)).withColumn("most", F.max("id").over(whole)).filter("least <> most").select("key", "id")
     buckets = saved(met.join(equal.select("id", "weight"), "id"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = picked.join(checked_broadcast(ids.select(F.col("id").alias("i"))), "i", "left_semi")
+        asked = picked.join(checked_broadcast(ids.select(F.col("id").alias("i")), BROADCAST_IDS), "i", "left_semi")
         return _mapped(asked.dropDuplicates(["i"]), tokens, "id bigint, tokens array<bigint>")
 
     found = classes(buckets, sets_of, percent)

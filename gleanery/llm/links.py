@@ -30,9 +30,25 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     null key or id have no links.
     """
     by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    star = buckets.dropna(subset=["key", "id"]).withColumn("pivot", F.first("id").over(by_weight)).filter("id <> pivot").select("pivot", "id").distinct()
-    star = saved(star, "star")
-    sets = saved(sets_of(star.select("id").unionByName(star.select(F.col("pivot").alias("id"))).distinct()), "sets")
+    rows = saved(buckets.dropna(subset=["key", "id"]).withColumn("pivot", F.first("id").over(by_weight)).select("key", "id", "pivot"), "buckets")
+    sets = saved(sets_of(rows.select("id").distinct()), "sets")
+    # first each set against the one pivot that it shares most buckets with: that settles most buckets
+    often = Window.partitionBy("id").orderBy(F.desc("shared"), "pivot")
+    best = rows.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared")).withColumn("rn", F.row_number().over(often)).filter("rn = 1").select("pivot", "id")
+    sized = sets.select("id", "tokens", F.size("tokens").alias("n"))
+    first = (
+        best.join(sized, "id").join(sized.toDF("pivot", "p", "n_p"), "pivot")
+        .filter(similar(F.size(F.array_intersect("tokens", "p")), F.col("n"), F.col("n_p"), percent))
+        .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    )
+    found = components(first)
+    # buckets within one class are done; of the others each set is compared with the pivot
+    whole = Window.partitionBy("key")
+    classed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    mixed = classed.withColumn("least", F.min("class").over(whole)).withColumn("most", F.max("class").over(whole)).filter("least <> most")
+    star = saved(mixed.filter("id <> pivot").select("pivot", "id").distinct(), "star")
+    if star.isEmpty():
+        return found
     left, right = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("p")), sets.select("id", F.col("tokens").alias("x"))
     # what x adds to the pivot comes before what it lacks: one order for all sets of a pivot, the rarer part first
     judged = (
@@ -48,7 +64,8 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     judged = judged.withColumn("prefix", F.slice("diff", 1, F.greatest(F.lit(1), F.col("d") - overlap + 1).cast("int"))).drop("diff")
     judged = saved(judged, "judged")
     near = judged.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    found = components(near)
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(near.unionByName(known))
     # pairs of one class are settled; others of a pivot meet by what they differ in from it
     apart = judged.filter("not linked").select("pivot").distinct()
     rows = judged.join(apart, "pivot", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
@@ -64,7 +81,6 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     pairs = saved(x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return found
-    sized = sets.select("id", "tokens", F.size("tokens").alias("n"))
     far = (
         pairs.join(sized.toDF("a", "ta", "na"), "a").join(sized.toDF("b", "tb", "nb"), "b")
         .filter(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent))

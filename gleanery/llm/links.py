@@ -3,8 +3,10 @@
 A bucket holds sets that may be similar; every similar pair shares some bucket. Each set is compared with the pivot of
 its buckets only, and what is similar is joined into classes. Two sets of one class need no further comparison. Any other similar pair is found by a prefix
 filter over the sets' differences from the pivot: if x isn't similar to p but to y, then the differences of x and of y
-from p overlap in more than (1 - c) / 2 of y's difference, with c = (1 - t) / (1 + t). So no link is lost, and what is
-made grows with the rows of the buckets and with what the sets differ in.
+from p overlap in more than (1 - c) / 2 of y's difference, with c = (1 - t) / (1 + t). For x itself that bound holds only
+if y isn't similar to p either; with a y that is, the overlap is at least excess / (1 + c), the excess being what x differs
+in from p beyond what a link allows. So x has a short prefix for the former and a longer one for the latter. No link is
+lost, and what is made grows with the rows of the buckets and with what the sets differ in.
 """
 
 from __future__ import annotations
@@ -60,7 +62,11 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     t = percent / 100
     c = (1 - t) / (1 + t)
     excess = F.col("d") - c * (F.col("n") + F.col("n_p"))
-    overlap = F.when(F.col("linked"), F.floor((1 - c) / 2 * F.col("d")) + 1).otherwise(F.greatest(F.lit(1), F.floor((1 - c) / 2 * F.col("d")) + 1, F.ceil(excess / (1 + c) - 1e-6)))
+    # the overlap with sets not linked to the pivot, and, for a set that isn't linked itself, with any set
+    apart_from = F.floor((1 - c) / 2 * F.col("d")) + 1
+    at_all = F.greatest(F.lit(1), F.ceil(excess / (1 + c) - 1e-6))
+    overlap = F.when(F.col("linked"), apart_from).otherwise(at_all)
+    judged = judged.withColumn("short", F.greatest(F.lit(1), F.col("d") - F.greatest(apart_from, overlap) + 1).cast("int"))
     judged = judged.withColumn("prefix", F.slice("diff", 1, F.greatest(F.lit(1), F.col("d") - overlap + 1).cast("int"))).drop("diff")
     judged = saved(judged, "judged")
     near = judged.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
@@ -69,12 +75,13 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     # pairs of one class are settled; others of a pivot meet by what they differ in from it
     apart = judged.filter("not linked").select("pivot").distinct()
     rows = judged.join(apart, "pivot", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-    rows = rows.select("pivot", "id", "class", "n", "d", "linked", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("pivot", "id", "class", "n", "d", "linked", "short", F.posexplode("prefix").alias("at", "token"))
     x, y = rows.alias("x"), rows.alias("y")
     need = (F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n"))) / 2
     met = (
         (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & ~(F.col("x.linked") & F.col("y.linked"))
         & (F.col("x.class") != F.col("y.class"))
+        & (F.col("x.linked") | F.col("y.linked") | ((F.col("x.at") < F.col("x.short")) & (F.col("y.at") < F.col("y.short"))))
         & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
         & (F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= need - 1e-6)
     )

@@ -4,6 +4,7 @@ clashing names."""
 import collections
 import hashlib
 import itertools
+import random
 import re
 import struct
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from gleanery.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, quality, substring, token_files, toxicity, urls  # noqa: E402
+from gleanery.llm import bpe, decontaminate, licenses, line_dedup, links, ngram_join, quality, substring, token_files, toxicity, urls  # noqa: E402
 
 SPACE = "[ \t\n\x0b\x0c\r]+"
 
@@ -59,6 +60,42 @@ def test_ngram_join(docs, rows, width, percent):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
 
 
+def test_links_through_sets_linked_to_the_pivot(spark):
+    """x isn't similar to the pivot p but to y, which is: whatever they differ in, and in what order, they meet."""
+    rng = random.Random(4)
+    for percent in (80, 90):
+        sets, buckets = {}, []
+        for family in range(150):
+            n = rng.randrange(60, 200)
+            p = {rng.getrandbits(62) for _ in range(n)}
+            adds, drops = [rng.getrandbits(62) for _ in range(n)], rng.sample(sorted(p), n)
+            # x differs from p by one element more than a link allows, y in a few of the same elements
+            share = rng.choice([0, 0.5, 1])
+            for k in range(1, n):
+                more = round(share * k)
+                x = (p - set(drops[: k - more])) | set(adds[:more])
+                if 100 * len(x & p) < percent * len(x | p):
+                    break
+            both = rng.sample(sorted(x ^ p), rng.randrange(1, 1 + len(x ^ p) // 3))
+            y = p ^ set(both)
+            for at, s in enumerate((p, y, x)):
+                sets[3 * family + at] = frozenset(s)
+                buckets.append((family, 3 * family + at, 2 if at == 0 else 1))
+        want = classes_of_families(sets, percent)
+        asked = spark.createDataFrame([(k, list(s)) for k, s in sets.items()], "id bigint, tokens array<bigint>")
+        found = links.classes(spark.createDataFrame(buckets, "key bigint, id bigint, weight bigint"), lambda ids, asked=asked: asked.join(ids, "id"), percent)
+        got = {k: k for k in sets} | {r["node"]: r["component"] for r in found.collect()}
+        assert sum(want[k] == k - 2 for k in sets if k % 3 == 2) > 50  # most x are linked over y
+        assert got == want
+
+
+def classes_of_families(sets, percent):
+    out = {}
+    for k in range(0, len(sets), 3):
+        out |= classes_of({j: sets[j] for j in (k, k + 1, k + 2)}, percent)
+    return out
+
+
 def test_sketch_chunks_bound_the_difference():
     import numpy as np
 

@@ -2,7 +2,8 @@
 
 Windows of twice a template's length, one length apart, hold any copy of the template whole. A band is one MinHash
 value; there are so many bands that a window that contains the asked share of a template's shingles meets it in some
-band with probability 1 - miss. What meets is verified by exact containment of shingles.
+band with probability 1 - miss. What meets is verified by exact containment of shingles. Of templates that are nearly
+the same (two versions of a license), a text holds those whose own shingles it has.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.decontaminate import benchmark_words
+from gleanery.llm.license_texts import TEXTS
 from gleanery.llm.shared import checked_broadcast, saved
 
 #: Short notices by which texts name their license.
@@ -24,6 +26,8 @@ NOTICES = [
     ("mit", "Released under the MIT License."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: What the query looks for: the short notices and whole texts, headers and notices.
+TEMPLATES = NOTICES + TEXTS
 SHINGLE = 3
 
 
@@ -47,41 +51,60 @@ def bands_for(words: int, share: float, miss: float) -> int:
 
 
 def license_matches(docs: DataFrame, templates: DataFrame, *, share: float = 0.8, miss: float = 1e-3, text: str = "text", doc_id: str = "doc_id", name: str = "license", notice: str = "notice") -> DataFrame:
-    """doc, license, at (first word of a window), found and wanted (shingles): windows holding at least share of a
-    template's distinct shingles.
+    """doc, license, at (first word of a window), found and wanted (shingles), template and rivals: windows holding at
+    least share of a template's distinct shingles.
+
+    Rivals (template, seen) are templates of other licenses that share so much with this one that a copy of one can
+    pass for the other; seen is the part found of the shingles that only this one has.
 
     Templates of fewer than SHINGLE words, null texts and rows without a doc_id match nothing. Lengths of templates are
     few; each has its windows. Other columns are not read.
     """
     known = templates.select(F.col(name).alias("license"), benchmark_words(F.col(notice)).alias("w"))
-    known = saved(_shingles(known).filter("size(h) > 0").select("license", F.size("w").alias("m"), F.array_distinct("h").alias("t")), "templates")
+    known = _shingles(known).filter("size(h) > 0").select("license", F.size("w").alias("m"), F.array_distinct("h").alias("t"), F.xxhash64("license", "w").alias("template"))
+    known = saved(known.dropDuplicates(["template"]), "templates")
+    own, other = known.select("template", "license", "t"), known.toDF("l2", "m2", "t2", "template2").drop("m2")
+    alike = own.crossJoin(other).filter(F.col("license") != F.col("l2")).filter(F.size(F.array_intersect("t", "t2")) >= share * F.least(F.size("t"), F.size("t2")))
+    alike = alike.groupBy("template").agg(F.collect_list(F.struct(F.col("template2").alias("template"), F.array_except("t", "t2").alias("only"))).alias("alike"))
+    known = saved(known.join(alike, "template", "left").select("license", "m", "t", "template", F.coalesce("alike", F.array().cast("array<struct<template:bigint,only:array<bigint>>>")).alias("alike")), "templates")
     lengths = sorted(r["m"] for r in known.select("m").distinct().collect())
     rows = docs.select(F.col(doc_id).alias("doc"), benchmark_words(F.col(text)).alias("w")).filter("doc is not null")
     # no loss: a text without any shingle of a template holds no part of one
-    some = checked_broadcast(known.select(F.explode("t").alias("s")).distinct().groupBy().agg(F.collect_list("s").alias("all")))
-    rows = saved(_shingles(rows).join(some, F.arrays_overlap("h", "all")).select("doc", "h"), "texts")
+    each = known.groupBy().agg(F.flatten(F.collect_list("t")).alias("all"), F.collect_list(F.struct("m", "t")).alias("each"))
+    some = checked_broadcast(each.select(F.array_distinct("all").alias("all"), "each"))
+    # nor is any by leaving out the lengths of whose templates the whole text holds too little
+    held = F.filter("each", lambda e: F.size(F.array_intersect(F.col("h"), e["t"])) >= share * F.size(e["t"]))
+    rows = _shingles(rows).join(some, F.arrays_overlap("h", "all")).select("doc", "h", F.array_distinct(F.transform(held, lambda e: e["m"])).alias("ms"))
+    rows = saved(rows.filter("size(ms) > 0"), "texts")
     found = []
     for m in lengths:
         bands = bands_for(m, share, miss)
         seeds = [F.xxhash64(F.lit(m), F.lit(j)) for j in range(bands)]
-        windows = rows.select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(m)), lambda s: F.struct(s.alias("at"), F.slice("h", s + 1, 2 * m - SHINGLE + 1).alias("x")))).alias("v")).select("doc", "v.at", "v.x")
+        windows = rows.filter(F.array_contains("ms", m)).select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(m)), lambda s: F.struct(s.alias("at"), F.slice("h", s + 1, 2 * m - SHINGLE + 1).alias("x")))).alias("v")).select("doc", "v.at", "v.x")
 
         def values(x, seeds=seeds):
             return F.array(*(least(x, s) for s in seeds))
 
         own = known.filter(F.col("m") == m)
-        keys = own.select("license", "t", F.posexplode(values(F.col("t"))).alias("band", "value"))
+        keys = own.select("license", "t", "template", "alike", F.posexplode(values(F.col("t"))).alias("band", "value"))
         met = windows.select("doc", "at", "x", F.posexplode(values(F.col("x"))).alias("band", "value")).join(checked_broadcast(keys), ["band", "value"])
         within = F.size(F.array_intersect("x", "t"))
-        found.append(met.select("doc", "license", "at", within.alias("found"), F.size("t").alias("wanted")).filter(F.col("found") >= share * F.col("wanted")).distinct())
-    out = found[0] if found else rows.select("doc", F.lit("").alias("license"), F.lit(0).alias("at"), F.lit(0).alias("found"), F.lit(0).alias("wanted")).limit(0)
+        rivals = F.transform("alike", lambda r: F.struct(r["template"].alias("template"), F.when(F.size(r["only"]) == 0, 0.0).otherwise(F.size(F.array_intersect(F.col("x"), r["only"])) / F.size(r["only"])).alias("seen")))
+        found.append(met.select("doc", "license", "at", within.alias("found"), F.size("t").alias("wanted"), "template", rivals.alias("rivals")).filter(F.col("found") >= share * F.col("wanted")).distinct())
+    out = found[0] if found else rows.select("doc", F.lit("").alias("license"), F.lit(0).alias("at"), F.lit(0).alias("found"), F.lit(0).alias("wanted"), F.lit(0).cast("bigint").alias("template"), F.array().cast("array<struct<template:bigint,seen:double>>").alias("rivals")).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, *, share: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and licenses (array, sorted): the templates that each text holds, for each row of docs."""
-    named = license_matches(docs, templates, share=share, text=text, doc_id=doc_id).groupBy("doc").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
+    """doc_id and licenses (array, sorted): the templates that each text holds, for each row of docs.
+
+    A template goes if less than half of what sets it apart from a rival is found, and more of the rival's is.
+    """
+    matches = saved(license_matches(docs, templates, share=share, text=text, doc_id=doc_id).select("doc", "license", "template", "rivals"), "licenses")
+    seen = matches.select("doc", "template", F.explode("rivals").alias("r")).groupBy("doc", "template", F.col("r.template").alias("rival")).agg(F.max("r.seen").alias("seen"))
+    lesser = seen.join(seen.toDF("doc", "rival", "template", "more"), ["doc", "template", "rival"]).filter("seen < 0.5 and seen < more").select("doc", "template").distinct()
+    named = matches.join(lesser, ["doc", "template"], "left_anti").groupBy("doc").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
     out = docs.select(F.col(doc_id).alias("doc")).join(named, "doc", "left")
     return out.select(F.col("doc").alias(doc_id), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))

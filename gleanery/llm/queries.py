@@ -34,7 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, licenses (names, comma-joined), n_licenses."""
-    templates = spark.createDataFrame(licenses.NOTICES, "license string, notice string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, notice string")
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), templates)
     return found.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), F.size("licenses").cast("bigint").alias("n_licenses"))
 

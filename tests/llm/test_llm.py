@@ -187,6 +187,30 @@ def test_license_bands_find_all_lengths(spark):
         assert licenses.NOTICES[r["doc_id"] // 100][0] in r["licenses"]
 
 
+def test_license_query_knows_whole_texts(spark, tmp_path):
+    """Texts with edits and a copyright line among prose are named, and nearly equal licenses are told apart."""
+    from gleanery.llm import license_texts, queries
+
+    rng, rows = random.Random(2), []
+    for k, (_, text) in enumerate(license_texts.TEXTS):
+        ws = text.split()
+        for edits in (0, 1, 3):
+            mine = list(ws)
+            for _ in range(edits if len(ws) > 60 else 0):
+                mine[rng.randrange(len(mine))] = f"edit{rng.randrange(10**6)}"
+            before = " ".join(f"f{rng.randrange(10**6)}" for _ in range(rng.randrange(60)))
+            rows.append((10 * k + edits, f"{before} Copyright (c) 2020 Someone\n" + " ".join(mine) + " g h i j k"))
+    # both licenses in one text, and one text that names a holder in BSD-3
+    texts = license_texts.TEXTS
+    rows.append((9000, texts[2][1] + " and " + texts[3][1]))
+    rows.append((9001, texts[3][1].replace("the copyright holder nor", "Some Company Inc. nor")))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["licenses"] for r in queries.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert (got.pop(9000), got.pop(9001)) == ("bsd-2-clause,bsd-3-clause", "bsd-3-clause")
+    wrong = {i: (v, texts[i // 10][0]) for i, v in got.items() if v != texts[i // 10][0]}
+    assert not wrong
+
+
 def test_quality_features(docs, rows):
     got = sorted((tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality.quality_features(docs).collect()), key=str)
     want = []

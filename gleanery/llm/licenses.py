@@ -39,8 +39,8 @@ def _shingles(rows: DataFrame) -> DataFrame:
 
 
 def least(hashes: Column, seed: Column) -> Column:
-    """The MinHash value for a seed: hashes are spread evenly, so the exclusive or with the seed permutes them."""
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(seed)))
+    """The MinHash value for a seed: each hash is hashed again with it, so the values of two seeds are independent."""
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, seed)))
 
 
 def bands_for(words: int, share: float, miss: float) -> int:

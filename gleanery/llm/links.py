@@ -1,19 +1,25 @@
-"""From candidate buckets to classes of similar sets, without making all pairs of a bucket.
+"""From candidate buckets to links between similar sets, without making all pairs of a bucket.
 
 A bucket holds sets that may be similar; every similar pair shares some bucket. Each set is compared with the pivot of
-its buckets only, and what is similar is joined into classes. Two sets of one class need no further comparison. Any other similar pair is found by a prefix
-filter over the sets' differences from the pivot: if x isn't similar to p but to y, then the differences of x and of y
-from p overlap in more than (1 - c) / 2 of y's difference, with c = (1 - t) / (1 + t). For x itself that bound holds only
-if y isn't similar to p either; with a y that is, the overlap is at least excess / (1 + c), the excess being what x differs
-in from p beyond what a link allows. So x has a short prefix for the former and a longer one for the latter. No link is
-lost, and what is made grows with the rows of the buckets and with what the sets differ in.
+its buckets only. A similar pair x, y of which x isn't similar to their pivot p is found by what the two add to p and
+lack of it. Let A and R be how many elements a set adds and lacks, D = A - R, n its size, c = (1 - t) / (1 + t):
+
+- x and y are similar if their additions and lacks overlap in at least need = (A + R of both - c * (n of both)) / 2;
+- lacks can make up min(R) of it. A set is similar to p if excess = R + (1 - c) * D / 2 - c * n_p is not above 0, and
+  need - min(R) >= excess(x) + (1 - c) * D(y) / 2. Where that is above 0 the pair shares an addition: sets meet in a prefix
+  of their additions, the rarest first, which is as much shorter as the pair must share more;
+- else y is a shorter copy (D < 0) and x but little beyond the threshold, and nearly all that y lacks x lacks as well: such
+  sets meet in a prefix of additions and lacks, which for y is little longer than its additions.
+
+Unlike the base that a family of near copies has in common, additions are rare, so what meets grows with the rows of the
+buckets and not with the square of a family's size. No link that matters is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.shared import saved
@@ -24,77 +30,109 @@ def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
 
-def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _pivoted(buckets: DataFrame) -> DataFrame:
+    """key, id, pivot for buckets of two ids or more; the pivot is the id of most weight, then the least id."""
+    known = buckets.dropna(subset=["key", "id"])
+    heads = known.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id"))["id"].alias("pivot"), F.min("id").alias("least"), F.max("id").alias("most"))
+    return known.join(heads.filter("least <> most").select("key", "pivot"), "key").select("key", "id", "pivot")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
+
+
+def _judged(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """star (pivot, id) with n, n_p, added and lacking (arrays, the rarest first), adds, lacks, excess and linked."""
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    left, right = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("p")), sets.select("id", F.col("tokens").alias("x"))
+    both = star.join(right, "id").join(left, "pivot").select(*star.columns, F.size("p").alias("n_p"), F.size("x").alias("n"), F.array_except("x", "p").alias("added"), F.array_except("p", "x").alias("lacking"))
+    both = both.withColumn("adds", F.size("added")).withColumn("lacks", F.size("lacking"))
+    linked = similar(F.col("n") - F.col("adds"), F.col("n"), F.col("n_p"), percent)
+    return both.withColumn("excess", F.col("lacks") + (1 - c) / 2 * (F.col("adds") - F.col("lacks")) - c * F.col("n_p")).withColumn("linked", linked)
+
+
+def _meeting(judged: DataFrame, percent: int, wanted: Callable[[], Column]) -> DataFrame:
+    """(a, b), a < b: pairs of a pivot that may be similar, at least one of them not linked to it; wanted() is a
+    condition on the aliases x and y, where x.id < y.id. judged has further columns that wanted uses."""
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    tiny = 1e-6
+    grown = F.col("adds") - F.col("lacks")
+    # what a pivot's sets allow: how much shorter a partner is at most, how little an unlinked one is beyond the threshold
+    ranges = judged.groupBy("pivot").agg(F.min(grown).alias("least_grown"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_excess"))
+    rows = judged.join(ranges.filter("least_excess is not null"), "pivot")
+    own, partner = (1 - c) / 2 * grown, (1 - c) / 2 * F.col("least_grown")
+    shared_adds = F.when(F.col("linked"), F.col("least_excess") + own).otherwise(F.col("excess") + partner)
+    needed = F.greatest(F.lit(1), F.ceil(shared_adds - tiny)).cast("int")
+    first = F.slice("added", 1, F.greatest(F.lit(0), F.col("adds") - needed + 1).cast("int"))
+    # pairs that may share lacks only
+    shorter = F.when(F.col("linked"), (grown < 0) & (F.col("least_excess") + own <= tiny)).otherwise(F.col("excess") + partner <= tiny)
+    in_all = F.when(F.col("linked"), F.col("least_excess") + F.col("lacks") + own).otherwise(2 * F.col("excess") / (1 - c))
+    in_all = F.greatest(F.lit(1), F.ceil(in_all - tiny)).cast("int")
+    second = F.when(shorter & (in_all <= F.col("lacks")), F.slice(F.concat("added", "lacking"), 1, F.greatest(F.lit(0), F.col("adds") + F.col("lacks") - in_all + 1).cast("int")))
+    kinds = rows.withColumn("kinds", F.array(F.struct(F.lit(0).alias("kind"), first.alias("tokens")), F.struct(F.lit(1).alias("kind"), F.coalesce(second, F.array().cast("array<bigint>")).alias("tokens")))).drop("added", "lacking")
+    kinds = kinds.select("*", F.explode("kinds").alias("k")).select("*", F.col("k.kind").alias("kind"), F.posexplode("k.tokens").alias("at", "token")).drop("k", "kinds", "excess", "least_grown", "least_excess", "n_p")
+    x, y = kinds.alias("x"), kinds.alias("y")
+    size = lambda s: F.col(f"{s}.adds") + F.col(f"{s}.lacks")
+    need = (size("x") + size("y") - c * (F.col("x.n") + F.col("y.n"))) / 2
+    rest = lambda s: F.when(F.col("x.kind") == 0, F.col(f"{s}.adds")).otherwise(size(s)) - F.col(f"{s}.at")
+    reach = F.least(rest("x"), rest("y")) + F.when(F.col("x.kind") == 0, F.least("x.lacks", "y.lacks")).otherwise(0)
+    met = (
+        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
+        & ~(F.col("x.linked") & F.col("y.linked")) & wanted()
+        & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
+        & (reach >= need - tiny)
+    )
+    return x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(node, component) for every id that is similar to another one, directly or over others.
 
     buckets: key, id, weight (the pivot of a bucket is the id of most weight, then the least id); only buckets of two
-    ids or more matter. sets_of(ids) returns id and tokens (array of distinct longs) for the ids asked for. Rows with a
-    null key or id have no links.
+    ids or more matter. sets_of(ids) returns id and tokens (array of distinct longs, the rarest first in an order that
+    all sets have in common) for the ids asked for. near(pairs) leaves out pairs (a, b) that a cheaper bound shows not to
+    be similar. Rows with a null key or id have no links. Jobs run while the result is made.
     """
-    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = saved(buckets.dropna(subset=["key", "id"]).withColumn("pivot", F.first("id").over(by_weight)).select("key", "id", "pivot"), "buckets")
-    sets = saved(sets_of(rows.select("id").distinct()), "sets")
-    # first each set against the one pivot that it shares most buckets with: that settles most buckets
-    often = Window.partitionBy("id").orderBy(F.desc("shared"), "pivot")
-    best = rows.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared")).withColumn("rn", F.row_number().over(often)).filter("rn = 1").select("pivot", "id")
-    sized = sets.select("id", "tokens", F.size("tokens").alias("n"))
-    first = (
-        best.join(sized, "id").join(sized.toDF("pivot", "p", "n_p"), "pivot")
-        .filter(similar(F.size(F.array_intersect("tokens", "p")), F.col("n"), F.col("n_p"), percent))
-        .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    )
-    found = components(first)
-    # buckets within one class are done; of the others each set is compared with the pivot
-    whole = Window.partitionBy("key")
+    rows = saved(_pivoted(buckets), "pivots")
+    star = rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = saved(near(star), "near")
+    sets = saved(sets_of(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    found = components(_verified(star, sets, percent))
+    # buckets within one class are done; in the others sets are compared by what they differ in from the pivot
     classed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-    mixed = classed.withColumn("least", F.min("class").over(whole)).withColumn("most", F.max("class").over(whole)).filter("least <> most")
-    star = saved(mixed.filter("id <> pivot").select("pivot", "id").distinct(), "star")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least <> most and n > 2").select("key")
+    star = saved(classed.join(mixed, "key", "left_semi").filter("id <> pivot").select("pivot", "id", "class").distinct(), "star")
     if star.isEmpty():
         return found
-    left, right = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("p")), sets.select("id", F.col("tokens").alias("x"))
-    # what x adds to the pivot comes before what it lacks: one order for all sets of a pivot, the rarer part first
-    judged = (
-        star.join(right, "id").join(left, "pivot")
-        .select("pivot", "id", F.size("p").alias("n_p"), F.size("x").alias("n"), F.concat(F.sort_array(F.array_except("x", "p")), F.sort_array(F.array_except("p", "x"))).alias("diff"))
-        .withColumn("d", F.size("diff"))
-        .withColumn("linked", similar((F.col("n") + F.col("n_p") - F.col("d")) / 2, F.col("n"), F.col("n_p"), percent))
-    )
-    t = percent / 100
-    c = (1 - t) / (1 + t)
-    excess = F.col("d") - c * (F.col("n") + F.col("n_p"))
-    # the overlap with sets not linked to the pivot, and, for a set that isn't linked itself, with any set
-    apart_from = F.floor((1 - c) / 2 * F.col("d")) + 1
-    at_all = F.greatest(F.lit(1), F.ceil(excess / (1 + c) - 1e-6))
-    overlap = F.when(F.col("linked"), apart_from).otherwise(at_all)
-    judged = judged.withColumn("short", F.greatest(F.lit(1), F.col("d") - F.greatest(apart_from, overlap) + 1).cast("int"))
-    judged = judged.withColumn("prefix", F.slice("diff", 1, F.greatest(F.lit(1), F.col("d") - overlap + 1).cast("int"))).drop("diff")
-    judged = saved(judged, "judged")
-    near = judged.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    sets = saved(sets_of(star.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()), "sets")
+    judged = saved(_judged(star, sets, percent), "judged")
+    pairs = saved(near(_meeting(judged, percent, lambda: F.col("x.class") != F.col("y.class"))), "pairs")
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(near.unionByName(known))
-    # pairs of one class are settled; others of a pivot meet by what they differ in from it
-    apart = judged.filter("not linked").select("pivot").distinct()
-    rows = judged.join(apart, "pivot", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-    rows = rows.select("pivot", "id", "class", "n", "d", "linked", "short", F.posexplode("prefix").alias("at", "token"))
-    x, y = rows.alias("x"), rows.alias("y")
-    need = (F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n"))) / 2
-    met = (
-        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & ~(F.col("x.linked") & F.col("y.linked"))
-        & (F.col("x.class") != F.col("y.class"))
-        & (F.col("x.linked") | F.col("y.linked") | ((F.col("x.at") < F.col("x.short")) & (F.col("y.at") < F.col("y.short"))))
-        & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= need - 1e-6)
-    )
-    pairs = saved(x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return found
-    far = (
-        pairs.join(sized.toDF("a", "ta", "na"), "a").join(sized.toDF("b", "tb", "nb"), "b")
-        .filter(similar(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"), percent))
-        .select("a", "b")
-    )
     # what is known of the classes already is a star of short paths
-    return components(far.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return components(_verified(pairs, sets, percent).unionByName(known))
+
+
+def later(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """id: every id that is similar to a lesser id.
+
+    buckets (key, id), sets_of as in classes. The pivot of a bucket is its least id: what is similar to it is settled,
+    the others are compared by what they differ in from it. Jobs run while the result is made.
+    """
+    rows = saved(_pivoted(buckets.withColumn("weight", F.lit(0))), "pivots")
+    star = rows.filter("id <> pivot").select("pivot", "id").distinct()
+    sets = saved(sets_of(rows.select("id").distinct()), "sets")
+    judged = saved(_judged(star, sets, percent), "judged")
+    settled = judged.filter("linked").select("id").distinct()
+    judged = judged.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+    pairs = _meeting(judged, percent, lambda: F.col("y.open"))
+    return settled.unionByName(_verified(pairs, sets, percent).select(F.col("b").alias("id"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-Tokens of a line are its distinct runs of words. Each line orders its tokens by rarity and puts a prefix of them into an
-index: lines of the least similarity share a token there, at places and with sizes that still allow the overlap.
-Similar lines are verified exactly and form classes; of each class the first line in the corpus stays.
+Tokens of a line are its distinct runs of words, ordered by rarity: by how often the run's first word stands in the
+corpus, then by hash. Each line puts a prefix of its tokens into an index, and lines of the least similarity share a token
+there. What meets is narrowed by length and by the tokens' places, and verified exactly. A line goes if it is similar to
+one that comes earlier in the corpus.
 """
 
 from __future__ import annotations
@@ -10,119 +11,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.links import classes
+from gleanery.llm.links import later
 from gleanery.llm.shared import BROADCAST_IDS, checked_broadcast, saved
 
 #: Rarity is counted in so many buckets of words, over all texts; the counts are one short array.
 RARITY_BUCKETS = 1 << 12
+#: A line that has at least one in so many of all lines is indexed at its first place only; there are no more such lines.
+HOT_SHARE = 100_000
+_LOW = (1 << 48) - 1
 
 
-def line_words(line: Column) -> Column:
-    """Lower-cased pieces of a line between blanks and tabs; carriage returns count as blanks."""
-    return F.array_remove(F.split(F.lower(line), "[ \\t\\r\\x0B\\f]+"), "")
+def plain(text: Column) -> Column:
+    """Lower-cased, with single blanks for white space within lines; line ends stay."""
+    text = F.lower(text)
+    odd = F.lit(False)
+    for sign in "\t\r\x0b\x0c":
+        odd = odd | F.contains(text, F.lit(sign))
+    text = F.when(odd, F.regexp_replace(text, "[\\t\\r\\x0B\\f]", " ")).otherwise(text)
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 
-def rarity(docs: DataFrame) -> str:
-    """How often the words of each bucket stand in docs (t), on a scale of 0 to 999 (logarithms), joined by commas."""
-    words = docs.select(F.explode(F.split(F.lower("t"), "[ \\t\\r\\x0B\\f\\n]+")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    found = {r["b"]: r["s"] for r in counts.select("b", F.least(F.lit(999), F.floor(20 * F.log("n"))).cast("int").alias("s")).collect()}
-    return ",".join(str(found.get(b, 0)) for b in range(RARITY_BUCKETS))
-
+def lines_of(docs: DataFrame) -> DataFrame:
+    """i, at (place of the line), line (plain) and lh (its hash) for docs (i, t); lines without words are left out."""
+    lines = docs.select("i", F.posexplode(F.split(plain(F.col("t")), "\n")).alias("at", "line"))
+    return lines.withColumn("line", F.trim("line")).filter("line <> ''").withColumn("lh", F.xxhash64("line"))
 
-def has_words(line: Column, least: int) -> Column:
-    """At least so many words: looks no further than the last of them."""
-    apart, sign = "[ \\t\\r\\x0B\\f]", "[^ \\t\\r\\x0B\\f]"
-    return line.rlike(f"^{apart}*(?:{sign}+{apart}+){{{max(least, 1) - 1}}}{sign}")
 
+def rarity(docs: DataFrame) -> str:
+    """The ranks of the buckets of words, from the rarest, by how often their words stand in docs (t), joined by commas."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("t"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    found = {r["b"]: r["n"] for r in counts.collect()}
+    ranks = [0] * RARITY_BUCKETS
+    for rank, b in enumerate(sorted(range(RARITY_BUCKETS), key=lambda b: (found.get(b, 0), b))):
+        ranks[b] = rank
+    return ",".join(map(str, ranks))
 
-def runs_of(lines: DataFrame, width: int, made) -> DataFrame:
-    """lines (with words w) and x: made(first hash, hash of the run) for each run of width words; a shorter line is one
-    run."""
-    hashed = lines.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    # h is named several times over, so the plan computes it once a line and not once a word
-    runs = F.transform("h", lambda h, at: made(h, F.xxhash64(h, *(F.get("h", at + k) for k in range(1, width)))))
-    return hashed.withColumn("r", runs).withColumn("x", F.array_distinct(F.slice("r", 1, F.greatest(F.size("w") - width + 1, F.lit(1))))).drop("h", "r")
 
+def hashed_words(lines: DataFrame, width: int) -> DataFrame:
+    """lines (with line) and h (hashes of the words) and runs (their number), for lines of width words or more."""
+    cut = lines.withColumn("w", F.split("line", " "))
+    cut = cut.filter(F.size("w") >= width).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    return cut.withColumn("runs", F.greatest(F.size("w") - (width - 1), F.lit(1))).drop("w", "line")
 
-def tokens_of(lines: DataFrame, width: int) -> DataFrame:
-    """lines (with words w) and x: the distinct hashes of the runs of width words."""
-    return runs_of(lines, width, lambda first, run: run)
 
+def tokens(width: int, ranks: Column, most: Column | None = None) -> Column:
+    """The tokens of h and runs, in order: the rank of a run's first word, then the run's hash. With most, the runs whose
+    first word has at most that rank, repeated ones included."""
 
-def ordered_tokens(lines: DataFrame, width: int, scale: Column) -> DataFrame:
-    """lines (with words w) and x: the tokens as numbers in order of rarity, that of a run's first word, then of the hash."""
-    low = F.lit((1 << 48) - 1)
+    def rank(h: Column) -> Column:
+        return F.get(ranks, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int"))
 
-    def made(first: Column, run: Column) -> Column:
-        return F.shiftleft(F.get(scale, F.pmod(first, F.lit(RARITY_BUCKETS)).cast("int")).cast("bigint"), 48) + run.bitwiseAND(low)
+    def made(h: Column, at: Column) -> Column:
+        run = F.xxhash64(h, *(F.get("h", at + k) for k in range(1, width))).bitwiseAND(_LOW)
+        token = F.shiftleft(rank(h).cast("bigint"), 48).bitwiseOR(run)
+        # most is named twice, so the plan computes it once a line and not once a run
+        return token if most is None else F.when(most.isNotNull() & (rank(h) <= most), token)
 
-    return runs_of(lines, width, made).withColumn("x", F.sort_array("x"))
+    runs = F.transform(F.slice("h", 1, F.col("runs")), made)
+    return F.sort_array(F.array_distinct(runs)) if most is None else F.sort_array(F.array_compact(runs))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """i, at (place of the line), line, lh (hash of the line) for docs (i, t)."""
-    return docs.select("i", F.posexplode(F.split("t", "\n")).alias("at", "line")).withColumn("lh", F.xxhash64("line"))
+def prefix_size(n: Column, percent: int) -> Column:
+    """So many first tokens of a set hold one of any similar set."""
+    return (n - F.ceil(n * percent / 100 - 1e-9) + 1).cast("int")
 
 
-def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, least_words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """i, at: the lines (places from 0, between line ends) that have an earlier line in their class.
+def prefixes(lines: DataFrame, width: int, percent: int, ranks: Column) -> DataFrame:
+    """lines (h, runs) and prefix: the first tokens, of which similar lines share one.
 
-    Two lines link if the Jaccard similarity of their token sets is at least so many per cent; linked lines form a
-    class, and its first line, by doc_id and place, stays. Lines with fewer than least_words words never go. Lines are
-    known by a 64-bit hash. Rows without text or doc_id lose nothing. Rows that repeat a doc_id count as one text.
+    The hashes of runs are made for those only whose first word is rare enough for the prefix. Where such a run is
+    repeated, the line has fewer tokens than runs, and the prefix is taken from all of its tokens.
+    """
+    wanted = prefix_size(F.col("runs"), percent)
+    by_rank = F.sort_array(F.transform(F.slice("h", 1, F.col("runs")), lambda h: F.get(ranks, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int"))))
+    cut = lines.withColumn("most", F.get(by_rank, wanted - 1)).withColumn("rare", tokens(width, ranks, F.col("most"))).withColumn("single", F.array_distinct("rare"))
+    whole = tokens(width, ranks)
+    prefix = F.when(F.size("single") == F.size("rare"), F.slice("rare", 1, wanted)).otherwise(F.slice(whole, 1, wanted))
+    return cut.withColumn("prefix", prefix).drop("most", "rare", "single")
+
+
+def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """i, at, lh: the lines (places from 0 between line ends, and the hash of the plain line) that go.
+
+    Lines are compared in lower case with white space as single blanks. Tokens are runs of width words; a line of fewer
+    words is one token, so it is similar to equal lines only. A line goes if the Jaccard similarity of its token set and
+    that of an earlier line is at least so many per cent, whether or not the earlier line goes itself. Earlier is by doc_id,
+    then place. Lines without words never go, and rows without text or doc_id lose nothing. Equal lines of rows that repeat
+    a doc_id are equally early at the same place: neither removes the other; of similar ones there the one of greater hash
+    goes. Lines are known by 64-bit hashes. Jobs run while the result is made.
     """
     picked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
     # one literal array of fixed size
-    scale = F.expr(f"array({rarity(picked)})")
+    ranks = F.expr(f"array({rarity(picked)})")
     lines = lines_of(picked)
-    long_enough = lines.filter(has_words(F.col("line"), least_words))
-    firsts = saved(long_enough.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
-    worded = long_enough.select("lh", line_words(F.col("line")).alias("w"))
-    sized = ordered_tokens(worded, width, scale).select("lh", "x", F.size("x").alias("n"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9).cast("int") + 1
-    rows = sized.select("lh", "n", F.posexplode(F.slice("x", 1, prefix)).alias("place", "token"))
-    whole = Window.partitionBy("token")
+    firsts = saved(lines.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
+    # hot lines are so few by what hot means
+    total = firsts.agg(F.sum("weight")).first()[0] or 0
+    hot = F.broadcast(firsts.filter(F.col("weight") >= max(2, total / HOT_SHARE)).select("lh", "first"))
+    once = lines.join(hot, "lh", "left").filter(F.col("first").isNull() | (F.struct("i", "at") == F.col("first"))).select("lh", "line")
+    rows = prefixes(hashed_words(once, width), width, percent, ranks).select("lh", F.explode_outer("prefix").alias("key"))  # never empty; an inner one would make prefix twice, for a filter
+    whole = Window.partitionBy("key")
     met = rows.withColumn("least", F.min("lh").over(whole)).withColumn("most", F.max("lh").over(whole)).filter("least <> most")
-    met = met.select("token", "lh", "n", "place").distinct()
-    # length filter: lines meet within a band of sizes and with the next band only
-    band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100 / percent)) + 1e-9)).cast("int")
-    banded = met.select("lh", "n", "place", F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("key"))
-    # positional filter: from the token on, the line and the longest rest among the others must allow the overlap that
-    # sizes as small as the least one there ask for
-    others = Window.partitionBy("key")
-    least_size = F.greatest(F.min("n").over(others), F.ceil(F.col("n") * percent / 100 - 1e-9))
-    overlap = F.ceil((F.col("n") + least_size) * percent / (100 + percent) - 1e-9)
-    placed = banded.withColumn("overlap", overlap).withColumn("rest", F.least(F.col("n") - F.col("place"), F.max(F.col("n") - F.col("place")).over(others)))
-    buckets = placed.filter("rest >= overlap").select("key", F.col("lh").alias("id")).distinct().join(firsts.select(F.col("lh").alias("id"), "weight"), "id")
-    buckets = saved(buckets, "buckets")
+    # in the order of ids earlier lines come first
+    known = firsts.select("lh", F.struct(F.col("first.i").alias("i"), F.col("first.at").alias("at"), "lh").alias("id"))
+    buckets = saved(met.select("key", "lh").distinct().join(known, "lh").select("key", "id"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = lines.join(checked_broadcast(ids.select(F.col("id").alias("lh")), BROADCAST_IDS), "lh", "left_semi").select("lh", "line").dropDuplicates(["lh"])
-        return tokens_of(asked.select("lh", line_words(F.col("line")).alias("w")), width).select(F.col("lh").alias("id"), F.col("x").alias("tokens"))
+        asked = checked_broadcast(ids.select(F.col("id.lh").alias("lh"), "id"), BROADCAST_IDS)
+        found = hashed_words(lines.join(asked, "lh").select("id", "line"), width).dropDuplicates(["id"])
+        return found.select("id", tokens(width, ranks).alias("tokens"))
 
-    found = classes(buckets, sets_of, percent)
-    classed = firsts.join(found.withColumnRenamed("node", "lh"), "lh", "left").withColumn("class", F.coalesce("component", "lh"))
-    heads = classed.groupBy("class").agg(F.min("first").alias("head"), F.count("*").alias("different"), F.sum("weight").alias("lines"))
-    # only classes of more than one line have later lines
-    several = classed.join(heads.filter("lines > 1"), "class").select("lh", "head")
-    places = lines.select("i", "at", "lh").join(several, "lh")
-    return places.filter(F.struct("i", "at") > F.col("head")).select("i", "at")
+    gone = later(buckets, sets_of, percent).select("id.lh", F.lit(True).alias("gone"))
+    several = firsts.join(gone, "lh", "left").filter("gone or weight > 1")
+    return lines.select("i", "at", "lh").join(several, "lh").filter(F.coalesce("gone", F.lit(False)) | (F.struct("i", "at") > F.col("first"))).select("i", "at", "lh")
 
 
-def dedup_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, least_words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without its later lines (see later_lines): all its rows and columns, with the text cut, and before them
     the columns __n_lines and __n_removed.
 
     A null text stays null and has no lines; an empty text has one; a text all of whose lines go is empty.
     """
-    later = later_lines(docs, width=width, percent=percent, least_words=least_words, text=text, doc_id=doc_id)
-    gone = saved(later.groupBy("i").agg(F.collect_set("at").alias("gone")), "later-lines")
+    found = later_lines(docs, width=width, percent=percent, text=text, doc_id=doc_id)
+    gone = saved(found.groupBy("i").agg(F.collect_set(F.struct("at", "lh")).alias("gone")), "later-lines")
     out = docs.select(F.col(doc_id).alias("i"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, "i", "left")
-    lines = F.split(F.col("row").getField(text), "\n")
-    out = out.withColumn("lines", lines).withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))
-    # lines that stay keep their order
-    cut = F.when(F.col("gone").isNull(), F.col("row").getField(text)).otherwise(F.array_join(F.transform("kept", lambda k: F.get("lines", k)), "\n"))
-    removed = F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("bigint")
+    own = F.col("row").getField(text)
+    out = out.withColumn("lines", F.split(own, "\n")).withColumn("plain", F.when(F.col("gone").isNotNull(), F.split(plain(own), "\n")))
+    # rows that repeat a doc_id lose only what they have; plain is named twice, so that it is computed once a text
+    mine = F.filter("gone", lambda g: F.col("plain").isNotNull() & (F.xxhash64(F.trim(F.get("plain", g["at"]))) == g["lh"]))
+    out = out.withColumn("mine", F.transform(mine, lambda g: g["at"])).withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "mine"))
+    cut = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.transform("kept", lambda k: F.get("lines", k)), "\n"))
+    removed = F.size(F.coalesce("mine", F.array().cast("array<int>"))).cast("bigint")
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
     return out.select(n_lines.alias("__n_lines"), removed.alias("__n_removed"), *((cut if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -74,8 +74,9 @@ def _meeting(judged: DataFrame, percent: int, wanted: Callable[[], Column]) -> D
     in_all = F.when(F.col("linked"), F.col("least_excess") + F.col("lacks") + own).otherwise(2 * F.col("excess") / (1 - c))
     in_all = F.greatest(F.lit(1), F.ceil(in_all - tiny)).cast("int")
     second = F.when(shorter & (in_all <= F.col("lacks")), F.slice(F.concat("added", "lacking"), 1, F.greatest(F.lit(0), F.col("adds") + F.col("lacks") - in_all + 1).cast("int")))
-    kinds = rows.withColumn("kinds", F.array(F.struct(F.lit(0).alias("kind"), first.alias("tokens")), F.struct(F.lit(1).alias("kind"), F.coalesce(second, F.array().cast("array<bigint>")).alias("tokens")))).drop("added", "lacking")
-    kinds = kinds.select("*", F.explode("kinds").alias("k")).select("*", F.col("k.kind").alias("kind"), F.posexplode("k.tokens").alias("at", "token")).drop("k", "kinds", "excess", "least_grown", "least_excess", "n_p")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), first.alias("tokens")), F.struct(F.lit(1).alias("kind"), F.coalesce(second, F.array().cast("array<bigint>")).alias("tokens")))
+    kinds = rows.select("*", F.explode(kinds).alias("k")).drop("added", "lacking", "excess", "least_grown", "least_excess", "n_p")
+    kinds = kinds.select("*", F.col("k.kind").alias("kind"), F.posexplode("k.tokens").alias("at", "token")).drop("k")
     x, y = kinds.alias("x"), kinds.alias("y")
     size = lambda s: F.col(f"{s}.adds") + F.col(f"{s}.lacks")
     need = (size("x") + size("y") - c * (F.col("x.n") + F.col("y.n"))) / 2

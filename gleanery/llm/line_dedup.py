@@ -33,7 +33,8 @@ def plain(text: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """i, at (place of the line), line (plain) and lh (its hash) for docs (i, t); lines without words are left out."""
-    lines = docs.select("i", F.posexplode(F.split(plain(F.col("t")), "\n")).alias("at", "line"))
+    # a column of its own: within the generator parts of plain would be computed several times
+    lines = docs.select("i", plain(F.col("t")).alias("p")).select("i", F.posexplode(F.split("p", "\n")).alias("at", "line"))
     return lines.withColumn("line", F.trim("line")).filter("line <> ''").withColumn("lh", F.xxhash64("line"))
 
 
@@ -49,10 +50,9 @@ def rarity(docs: DataFrame) -> str:
 
 
 def hashed_words(lines: DataFrame, width: int) -> DataFrame:
-    """lines (with line) and h (hashes of the words) and runs (their number), for lines of width words or more."""
-    cut = lines.withColumn("w", F.split("line", " "))
-    cut = cut.filter(F.size("w") >= width).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    return cut.withColumn("runs", F.greatest(F.size("w") - (width - 1), F.lit(1))).drop("w", "line")
+    """lines (with line) and h (hashes of the words) and runs (their number; 0 for a line of less than width words)."""
+    cut = lines.withColumn("w", F.split("line", " ")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    return cut.withColumn("runs", F.greatest(F.size("w") - (width - 1), F.lit(0))).drop("w", "line")
 
 
 def tokens(width: int, ranks: Column, most: Column | None = None) -> Column:
@@ -105,12 +105,13 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str
     # one literal array of fixed size
     ranks = F.expr(f"array({rarity(picked)})")
     lines = lines_of(picked)
-    firsts = saved(lines.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
+    places = saved(lines.select("i", "at", "lh"), "places")
+    firsts = saved(places.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
     # hot lines are so few by what hot means
     total = firsts.agg(F.sum("weight")).first()[0] or 0
     hot = F.broadcast(firsts.filter(F.col("weight") >= max(2, total / HOT_SHARE)).select("lh", "first"))
     once = lines.join(hot, "lh", "left").filter(F.col("first").isNull() | (F.struct("i", "at") == F.col("first"))).select("lh", "line")
-    rows = prefixes(hashed_words(once, width), width, percent, ranks).select("lh", F.explode_outer("prefix").alias("key"))  # never empty; an inner one would make prefix twice, for a filter
+    rows = prefixes(hashed_words(once, width), width, percent, ranks).select("lh", F.explode_outer("prefix").alias("key")).filter("key is not null")  # an inner one makes prefix twice, for a filter
     whole = Window.partitionBy("key")
     met = rows.withColumn("least", F.min("lh").over(whole)).withColumn("most", F.max("lh").over(whole)).filter("least <> most")
     # in the order of ids earlier lines come first
@@ -119,12 +120,13 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str
 
     def sets_of(ids: DataFrame) -> DataFrame:
         asked = checked_broadcast(ids.select(F.col("id.lh").alias("lh"), "id"), BROADCAST_IDS)
-        found = hashed_words(lines.join(asked, "lh").select("id", "line"), width).dropDuplicates(["id"])
-        return found.select("id", tokens(width, ranks).alias("tokens"))
+        found = lines.join(asked, "lh").filter(F.struct("i", "at") == F.struct("id.i", "id.at")).select("id", "line")
+        # rows that repeat a doc_id may have a line at the same place
+        return hashed_words(found.dropDuplicates(["id"]), width).select("id", tokens(width, ranks).alias("tokens"))
 
     gone = later(buckets, sets_of, percent).select("id.lh", F.lit(True).alias("gone"))
     several = firsts.join(gone, "lh", "left").filter("gone or weight > 1")
-    return lines.select("i", "at", "lh").join(several, "lh").filter(F.coalesce("gone", F.lit(False)) | (F.struct("i", "at") > F.col("first"))).select("i", "at", "lh")
+    return places.join(several, "lh").filter(F.coalesce("gone", F.lit(False)) | (F.struct("i", "at") > F.col("first"))).select("i", "at", "lh")
 
 
 def dedup_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -37,56 +37,58 @@ def _pivoted(buckets: DataFrame) -> DataFrame:
     return known.join(heads.filter("least <> most").select("key", "pivot"), "key").select("key", "id", "pivot")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
+    sets = saved(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     return both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
-def _judged(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """star (pivot, id) with n, n_p, added and lacking (arrays, the rarest first), adds, lacks, excess and linked."""
+def _judged(star: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """star (pivot, id and others) with n, adds, lacks, linked, and first and second: the tokens in which a pair meets
+    that must share an addition, and those in which a pair meets that may share lacks only."""
     t = percent / 100
     c = (1 - t) / (1 + t)
-    left, right = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("p")), sets.select("id", F.col("tokens").alias("x"))
-    both = star.join(right, "id").join(left, "pivot").select(*star.columns, F.size("p").alias("n_p"), F.size("x").alias("n"), F.array_except("x", "p").alias("added"), F.array_except("p", "x").alias("lacking"))
-    both = both.withColumn("adds", F.size("added")).withColumn("lacks", F.size("lacking"))
-    linked = similar(F.col("n") - F.col("adds"), F.col("n"), F.col("n_p"), percent)
-    return both.withColumn("excess", F.col("lacks") + (1 - c) / 2 * (F.col("adds") - F.col("lacks")) - c * F.col("n_p")).withColumn("linked", linked)
+    tiny = 1e-6
+    pivots = sets_of(star.select(F.col("pivot").alias("id")).distinct()).toDF("pivot", "p")
+    members = saved(sets_of(star.select("id").distinct()).select("id", F.col("tokens").alias("x"), F.size("tokens").alias("n")), "sets")
+    # how short a partner can be: no shorter than any of the pivot's sets
+    shortest = star.join(members.select("id", "n"), "id").groupBy("pivot").agg(F.min("n").alias("shortest"))
+    both = star.join(members, "id").join(pivots.join(shortest, "pivot"), "pivot")
+    both = both.withColumn("added", F.array_except("x", "p")).withColumn("lacking", F.array_except("p", "x"))
+    both = both.select("*", F.size("p").alias("n_p"), F.size("added").alias("adds"), F.size("lacking").alias("lacks"))
+    both = both.withColumn("linked", similar(F.col("n") - F.col("adds"), F.col("n"), F.col("n_p"), percent))
+    own = (1 - c) / 2 * (F.col("adds") - F.col("lacks"))
+    excess = F.col("lacks") + own - c * F.col("n_p")
+    partner = (1 - c) / 2 * (F.greatest("shortest", F.ceil(t * F.col("n") - tiny)) - F.col("n_p"))
+    needed = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), own).otherwise(excess + partner) - tiny)).cast("int")
+    first = F.slice("added", 1, F.greatest(F.lit(0), F.col("adds") - needed + 1).cast("int"))
+    shorter = F.when(F.col("linked"), F.col("adds") < F.col("lacks")).otherwise(excess + partner <= tiny)
+    in_all = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), F.col("lacks") + own).otherwise(2 * excess / (1 - c)) - tiny)).cast("int")
+    second = F.slice(F.concat("added", "lacking"), 1, F.greatest(F.lit(0), F.col("adds") + F.col("lacks") - in_all + 1).cast("int"))
+    second = F.when(shorter & (in_all <= F.col("lacks")), second).otherwise(F.array().cast("array<bigint>"))
+    return both.select(*star.columns, "n", "adds", "lacks", "linked", first.alias("first"), second.alias("second"))
 
 
-def _meeting(judged: DataFrame, percent: int, wanted: Callable[[], Column]) -> DataFrame:
-    """(a, b), a < b: pairs of a pivot that may be similar, at least one of them not linked to it; wanted() is a
-    condition on the aliases x and y, where x.id < y.id. judged has further columns that wanted uses."""
+def _meeting(judged: DataFrame, percent: int, wanted: Column) -> DataFrame:
+    """(a, b), a < b: pairs of a pivot that may be similar, at least one of them not linked to it; wanted is a condition
+    on the aliases x and y, where x.id < y.id."""
     t = percent / 100
     c = (1 - t) / (1 + t)
-    tiny = 1e-6
-    grown = F.col("adds") - F.col("lacks")
-    # what a pivot's sets allow: how much shorter a partner is at most, how little an unlinked one is beyond the threshold
-    ranges = judged.groupBy("pivot").agg(F.min(grown).alias("least_grown"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_excess"))
-    rows = judged.join(ranges.filter("least_excess is not null"), "pivot")
-    own, partner = (1 - c) / 2 * grown, (1 - c) / 2 * F.col("least_grown")
-    shared_adds = F.when(F.col("linked"), F.col("least_excess") + own).otherwise(F.col("excess") + partner)
-    needed = F.greatest(F.lit(1), F.ceil(shared_adds - tiny)).cast("int")
-    first = F.slice("added", 1, F.greatest(F.lit(0), F.col("adds") - needed + 1).cast("int"))
-    # pairs that may share lacks only
-    shorter = F.when(F.col("linked"), (grown < 0) & (F.col("least_excess") + own <= tiny)).otherwise(F.col("excess") + partner <= tiny)
-    in_all = F.when(F.col("linked"), F.col("least_excess") + F.col("lacks") + own).otherwise(2 * F.col("excess") / (1 - c))
-    in_all = F.greatest(F.lit(1), F.ceil(in_all - tiny)).cast("int")
-    second = F.when(shorter & (in_all <= F.col("lacks")), F.slice(F.concat("added", "lacking"), 1, F.greatest(F.lit(0), F.col("adds") + F.col("lacks") - in_all + 1).cast("int")))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), first.alias("tokens")), F.struct(F.lit(1).alias("kind"), F.coalesce(second, F.array().cast("array<bigint>")).alias("tokens")))
-    kinds = rows.select("*", F.explode(kinds).alias("k")).drop("added", "lacking", "excess", "least_grown", "least_excess", "n_p")
-    kinds = kinds.select("*", F.col("k.kind").alias("kind"), F.posexplode("k.tokens").alias("at", "token")).drop("k")
-    x, y = kinds.alias("x"), kinds.alias("y")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("first").alias("tokens")), F.struct(F.lit(1).alias("kind"), F.col("second").alias("tokens")))
+    rows = judged.select("*", F.explode(kinds).alias("k")).drop("first", "second")
+    rows = rows.select("*", F.col("k.kind").alias("kind"), F.posexplode("k.tokens").alias("at", "token")).drop("k")
+    x, y = rows.alias("x"), rows.alias("y")
     size = lambda s: F.col(f"{s}.adds") + F.col(f"{s}.lacks")
     need = (size("x") + size("y") - c * (F.col("x.n") + F.col("y.n"))) / 2
     rest = lambda s: F.when(F.col("x.kind") == 0, F.col(f"{s}.adds")).otherwise(size(s)) - F.col(f"{s}.at")
     reach = F.least(rest("x"), rest("y")) + F.when(F.col("x.kind") == 0, F.least("x.lacks", "y.lacks")).otherwise(0)
     met = (
         (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-        & ~(F.col("x.linked") & F.col("y.linked")) & wanted()
+        & ~(F.col("x.linked") & F.col("y.linked")) & wanted
         & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-        & (reach >= need - tiny)
+        & (reach >= need - 1e-6)
     )
     return x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
@@ -102,22 +104,21 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     rows = saved(_pivoted(buckets), "pivots")
     star = rows.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = saved(near(star), "near")
-    sets = saved(sets_of(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-    found = components(_verified(star, sets, percent))
+    found = components(_verified(star, sets_of, percent))
     # buckets within one class are done; in the others sets are compared by what they differ in from the pivot
     classed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     mixed = classed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least <> most and n > 2").select("key")
     star = saved(classed.join(mixed, "key", "left_semi").filter("id <> pivot").select("pivot", "id", "class").distinct(), "star")
     if star.isEmpty():
         return found
-    sets = saved(sets_of(star.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()), "sets")
-    judged = saved(_judged(star, sets, percent), "judged")
-    pairs = saved(near(_meeting(judged, percent, lambda: F.col("x.class") != F.col("y.class"))), "pairs")
-    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    judged = saved(_judged(star, sets_of, percent), "judged")
+    judged = judged.join(judged.filter("not linked").select("pivot").distinct(), "pivot", "left_semi")
+    pairs = saved(near(_meeting(judged, percent, F.col("x.class") != F.col("y.class"))), "pairs")
     if pairs.isEmpty():
         return found
     # what is known of the classes already is a star of short paths
-    return components(_verified(pairs, sets, percent).unionByName(known))
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(_verified(pairs, sets_of, percent).unionByName(known))
 
 
 def later(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -126,14 +127,14 @@ def later(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     buckets (key, id), sets_of as in classes. The pivot of a bucket is its least id: what is similar to it is settled,
     the others are compared by what they differ in from it. Jobs run while the result is made.
     """
-    rows = saved(_pivoted(buckets.withColumn("weight", F.lit(0))), "pivots")
-    star = rows.filter("id <> pivot").select("pivot", "id").distinct()
-    sets = saved(sets_of(rows.select("id").distinct()), "sets")
-    judged = saved(_judged(star, sets, percent), "judged")
+    rows = _pivoted(buckets.withColumn("weight", F.lit(0)))
+    star = saved(rows.filter("id <> pivot").select("pivot", "id").distinct(), "star")
+    judged = saved(_judged(star, sets_of, percent), "judged")
     settled = judged.filter("linked").select("id").distinct()
     judged = judged.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
-    pairs = _meeting(judged, percent, lambda: F.col("y.open"))
-    return settled.unionByName(_verified(pairs, sets, percent).select(F.col("b").alias("id"))).distinct()
+    judged = judged.join(judged.filter("open").select("pivot").distinct(), "pivot", "left_semi")
+    pairs = saved(_meeting(judged, percent, F.col("y.open")), "pairs")
+    return settled.unionByName(_verified(pairs, sets_of, percent).select(F.col("b").alias("id"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

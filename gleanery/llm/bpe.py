@@ -23,7 +23,7 @@ from gleanery.llm.shared import slices, texts_of, workers_can_import
 
 #: Longer pieces are merged with a heap, in time that grows little faster than their length.
 LONGEST_ROW = 128
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 NONE = np.int64(1 << 40)
 
 
@@ -239,8 +239,10 @@ def encode_by_chunks(store, texts: list[str], learn: Callable[[list[str]], None]
     known = store.known
     found = list(map(known.get, flat_chunks))
     if None in found:
-        learn(list({c: None for c, k in zip(flat_chunks, found, strict=True) if k is None}))
-        found = list(map(known.__getitem__, flat_chunks))
+        new = [j for j, k in enumerate(found) if k is None]
+        learn(list(dict.fromkeys(flat_chunks[j] for j in new)))
+        for j in new:
+            found[j] = known[flat_chunks[j]]
     codes = np.array(found, dtype=np.int64)
     store.uses[: len(known)] += np.bincount(codes, minlength=len(known))
     sizes = store.lengths[codes]

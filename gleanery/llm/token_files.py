@@ -8,12 +8,14 @@ are small, and the files carry page indexes, so a read of some documents, or of
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,18 @@ ENCODINGS = {
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, tokens array<int>"
 
 
+#: A word with what it may carry before and behind: two pieces for the byte-level splitting pattern, which cuts letters
+#: from other signs.
+WORD = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]*)").fullmatch
+
+
+def byte_level_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: itself where it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class LibraryEncoder:
     """A tokenizer of the tokenizers library, with a store of the pieces that this worker has encoded."""
 
@@ -36,8 +50,12 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(data)
+        cut = made.get("pre_tokenizer") or {}
+        # words go to the library's model as they are where nothing but the byte-level step stands before it
+        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made.get("normalizer")
+        self.signs, self.model = str.maketrans(byte_level_signs()), self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -47,24 +65,42 @@ class LibraryEncoder:
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
         self.uses = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def _piece(self, piece: str) -> list[int]:
+        signs = piece.replace(" ", self.signs[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.model.tokenize(signs)]
+
+    def _word(self, chunk: str) -> list[int]:
+        if self.by_word and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self._piece(chunk)
+        found = WORD(chunk) if self.by_word else None
+        if found is None:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        word, tail = found.groups()
+        if tail not in self.tails:
+            self.tails[tail] = self._piece(tail)
+        seen = self.known.get(word)
+        return (self._piece(word) if seen is None else self.ids[self.starts[seen] : self.starts[seen] + self.lengths[seen]].tolist()) + self.tails[tail]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks without inner white space are encoded many at a time, with line ends between them, where the
-        tokenizer always cuts; others by themselves."""
-        plain = [c for c in chunks if (words := c.split()) and (words[0] == c or " " + words[0] == c)]
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = ids == self.line_end
-            edges = np.concatenate([[-1], np.flatnonzero(ends), [len(ids)]])
-            add_chunks(self, part, ids[~ends], np.diff(edges) - 1)
-        for c in chunks if len(plain) < len(chunks) else []:
-            if c not in self.known:
-                ids = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=np.uint32)
-                add_chunks(self, [c], ids, np.array([len(ids)]))
+        made = [self._word(c) for c in chunks]
+        add_chunks(self, chunks, np.fromiter((i for ids in made for i in ids), dtype=np.uint32), np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return encode_by_chunks(self, texts, self._learn)
+        """Ids of all texts one after another, and how many each text has: those of encode(add_special_tokens=False)."""
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return encode_by_chunks(self, texts, self._learn)
+        # the library cuts texts at its added tokens, wherever they stand
+        others = list(texts)
+        for k in whole:
+            others[k] = ""
+        flat, n = encode_by_chunks(self, others, self._learn)
+        parts = np.split(flat, np.cumsum(n)[:-1])
+        for k in whole:
+            parts[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -81,8 +117,8 @@ def library_encoder(data: bytes) -> LibraryEncoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int | None = None, encoding: str = "dictionary", row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10, page_rows: int = 512, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encodes every row of docs and writes token files to path, in ascending doc_id order.
 
-    A null text counts as empty. Rows without a doc_id come first, rows of one doc_id stand together in order of their
-    text. Other columns are not read. The tokenizer must cut its text before a blank that precedes a word (byte-level
+    A null text counts as empty. A text that holds the string of an added token has that token's id there, as the
+    library gives it. Rows without a doc_id come first, rows of one doc_id stand together in order of their text. Other columns are not read. The tokenizer must cut its text before a blank that precedes a word (byte-level
     tokenizers do). tokenizer_path is a file of the driver, of fixed size; its contents go to the executors.
     """
     spark = docs.sparkSession

@@ -325,6 +325,19 @@ def test_long_pieces_merge_alike():
     assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_library_encoder_is_the_library():
+    """Added tokens in a text, white space of all kinds, contractions and other scripts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    with open(P.path("byte_bpe_50k.json")) as f:
+        data = f.read()
+    library, enc, rng = tokenizers.Tokenizer.from_str(data), token_files.LibraryEncoder(data.encode()), random.Random(6)
+    parts = ["a", "B", "\u00e9", "\u00f1", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'", "'s", "n't", "1", "23", "<|endoftext|>", "\u6f22", "\u00df", "_", "-", "\u200d", "\u0301", "\x00", "\x7f", "\u00a0", "ing"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    ids, n = enc.encode(texts)
+    ends = n.cumsum()
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, rows, tmp_path, encoding):
     tokenizers = pytest.importorskip("tokenizers")

@@ -71,9 +71,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, *, anchors: int = 3) ->
     places = places.groupBy("phrase", "doc", "start").agg(F.count("*").alias("have")).join(checked_broadcast(needed), "phrase").filter("have = needed").select("phrase", "doc", "start")
     places = saved(places, "places")
     asked = docs.join(checked_broadcast(places.select("doc").distinct(), BROADCAST_IDS), "doc", "left_semi")
-    sized = phrases.withColumnRenamed("words", "phrase_words")
-    found = asked.join(places, "doc").join(checked_broadcast(sized), "phrase")
-    return found.filter(F.slice("words", F.col("start") + 1, F.size("phrase_words")) == F.col("phrase_words")).select("phrase", "doc", "start", F.size("phrase_words").alias("length")).distinct()
+    # the words of each place are cut out where the text is: no text goes on with its places
+    found = asked.join(places.groupBy("doc").agg(F.collect_list(F.struct("phrase", "start")).alias("places")), "doc")
+    length = F.size(F.split("phrase", " "))
+    cut = F.transform("places", lambda p: F.struct(p["phrase"].alias("phrase"), p["start"].alias("start"), F.array_join(F.slice("words", p["start"] + 1, F.size(F.split(p["phrase"], " "))), " ").alias("found")))
+    return found.select("doc", F.inline(cut)).filter("found = phrase").select("phrase", "doc", "start", length.alias("length")).distinct()
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, *, span: int) -> DataFrame:
@@ -96,11 +98,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, tex
     """doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items (array, sorted as
     strings), for each row of docs.
 
-    A null text has no words. Rows without a doc_id match nothing, rows that repeat one share their matches. Other
-    columns of either table are not read.
+    A null text has no words. Every row is judged by its own text, whatever its doc_id: rows that repeat one, and rows
+    without one, have their own matches. Items that repeat an item_id count as one item, items without one are searched
+    and hit words but aren't counted. Ties have no say. Other columns of either table are not read.
     """
-    cut = docs.select(F.col(doc_id).alias("doc"), benchmark_words(F.col(text)).alias("words"))
-    cut = saved(cut.withColumn("n_words", F.size("words").cast("bigint")), "words")
+    cut = docs.select(F.col(doc_id).alias("id"), benchmark_words(F.col(text)).alias("words"))
+    # rows are numbered once, in a table
+    cut = saved(cut.select(F.monotonically_increasing_id().alias("doc"), "id", "words", F.size("words").cast("bigint").alias("n_words")), "words")
     phrases, items = phrases_of(benchmark, width, text=bench_text, item_id=item_id)
     phrases, items = saved(phrases, "phrases"), saved(items, "items")
     matches = saved(phrase_matches(cut, phrases), "matches")
@@ -108,6 +112,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, tex
     runs = matches.select("doc", "start", (F.col("start") + F.col("length")).alias("end")).distinct().withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     hit = runs.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("bigint").alias("n_hit"))
     named = matches.select("doc", "phrase").distinct().join(checked_broadcast(items), "phrase").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = cut.select("doc", "n_words").join(hit.join(named, "doc", "left"), "doc", "left")
+    out = cut.select("doc", "id", "n_words").join(hit.join(named, "doc", "left"), "doc", "left")
     items_col = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("doc").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(items_col).cast("bigint").alias("n_items"), items_col.alias("items"))
+    return out.select(F.col("id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(items_col).cast("bigint").alias("n_items"), items_col.alias("items"))

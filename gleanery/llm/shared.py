@@ -59,7 +59,8 @@ def words_of(text: Column, apart: str) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole_ascii = F.octet_length(text) == F.length(text)
+    return F.when(whole_ascii, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -72,23 +72,24 @@ def tokens(width: int, ranks: Column, most: Column | None = None) -> Column:
     return F.sort_array(F.array_distinct(runs)) if most is None else F.sort_array(F.array_compact(runs))
 
 
-def prefix_size(n: Column, percent: int) -> Column:
+def prefix_size(n: Column, percent: float) -> Column:
     """So many first tokens of a set hold one of any similar set."""
     return (n - F.ceil(n * percent / 100 - 1e-9) + 1).cast("int")
 
 
 def prefixes(lines: DataFrame, width: int, percent: int, ranks: Column) -> DataFrame:
-    """lines (h, runs) and prefix: the first tokens, of which similar lines share one.
+    """lines (h, runs) with prefix, the first tokens, of which similar lines share one, and narrow: so many of these do
+    for lines of as many tokens or more.
 
     The hashes of runs are made for those only whose first word is rare enough for the prefix. Where such a run is
     repeated, the line has fewer tokens than runs, and the prefix is taken from all of its tokens.
     """
-    wanted = prefix_size(F.col("runs"), percent)
+    wanted, narrow = prefix_size(F.col("runs"), percent), prefix_size(F.col("runs"), 200 * percent / (100 + percent))
     by_rank = F.sort_array(F.transform(F.slice("h", 1, F.col("runs")), lambda h: F.get(ranks, h.bitwiseAND(RARITY_BUCKETS - 1).cast("int"))))
     cut = lines.withColumn("most", F.get(by_rank, wanted - 1)).withColumn("rare", tokens(width, ranks, F.col("most"))).withColumn("single", F.array_distinct("rare"))
     whole = tokens(width, ranks)
     prefix = F.when(F.size("single") == F.size("rare"), F.slice("rare", 1, wanted)).otherwise(F.slice(whole, 1, wanted))
-    return cut.withColumn("prefix", prefix).drop("most", "rare", "single")
+    return cut.select("*", prefix.alias("prefix"), narrow.alias("narrow")).drop("most", "rare", "single")
 
 
 def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -107,22 +108,27 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str
     lines = lines_of(picked)
     places = saved(lines.select("i", "at", "lh"), "places")
     firsts = saved(places.groupBy("lh").agg(F.min(F.struct("i", "at")).alias("first"), F.count("*").alias("weight")), "lines")
+    repeated = not picked.groupBy("i").count().filter("count > 1").isEmpty()
     # hot lines are so few by what hot means
     total = firsts.agg(F.sum("weight")).first()[0] or 0
     hot = F.broadcast(firsts.filter(F.col("weight") >= max(2, total / HOT_SHARE)).select("lh", "first"))
     once = lines.join(hot, "lh", "left").filter(F.col("first").isNull() | (F.struct("i", "at") == F.col("first"))).select("lh", "line")
-    rows = prefixes(hashed_words(once, width), width, percent, ranks).select("lh", F.explode_outer("prefix").alias("key")).filter("key is not null")  # an inner one makes prefix twice, for a filter
+    # an inner explode would make prefix twice, for a filter
+    rows = prefixes(hashed_words(once, width), width, percent, ranks).select("lh", "narrow", F.posexplode_outer("prefix").alias("place", "key")).filter("key is not null")
+    # length: of two similar lines the one of fewer tokens has a common one in its narrow prefix, the other in its prefix
     whole = Window.partitionBy("key")
-    met = rows.withColumn("least", F.min("lh").over(whole)).withColumn("most", F.max("lh").over(whole)).filter("least <> most")
+    rows = rows.select("key", "lh", (F.col("place") < F.col("narrow")).alias("own")).withColumn("least", F.min("lh").over(whole)).withColumn("most", F.max("lh").over(whole))
+    met = rows.withColumn("some", F.max("own").over(whole)).filter("least <> most and some")
     # in the order of ids earlier lines come first
     known = firsts.select("lh", F.struct(F.col("first.i").alias("i"), F.col("first.at").alias("at"), "lh").alias("id"))
     buckets = saved(met.select("key", "lh").distinct().join(known, "lh").select("key", "id"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = checked_broadcast(ids.select(F.col("id.lh").alias("lh"), "id"), BROADCAST_IDS)
-        found = lines.join(asked, "lh").filter(F.struct("i", "at") == F.struct("id.i", "id.at")).select("id", "line")
-        # rows that repeat a doc_id may have a line at the same place
-        return hashed_words(found.dropDuplicates(["id"]), width).select("id", tokens(width, ranks).alias("tokens"))
+        asked = checked_broadcast(ids.withColumn("lh", F.col("id.lh")), BROADCAST_IDS)
+        found = lines.join(asked, "lh").filter(F.struct("i", "at") == F.struct("id.i", "id.at")).select(*ids.columns, "line")
+        # only rows that repeat a doc_id can have a line at the same place
+        found = found.dropDuplicates(["id"]) if repeated else found
+        return hashed_words(found, width).select(*ids.columns, tokens(width, ranks).alias("tokens"))
 
     gone = later(buckets, sets_of, percent).select("id.lh", F.lit(True).alias("gone"))
     several = firsts.join(gone, "lh", "left").filter("gone or weight > 1")

@@ -19,10 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import saved
+from gleanery.llm.shared import checked_broadcast, saved
+
+#: Sets of a pivot that are looked at to see what they have in common.
+SAMPLE = 64
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -45,18 +48,39 @@ def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     return both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
+def _common(star: DataFrame, members: DataFrame, pivots: DataFrame) -> DataFrame | None:
+    """pivot and common, for pivots of more than SAMPLE sets: what at least two of SAMPLE of its sets add to it.
+
+    It only makes an order, in which what many sets of a pivot add comes last; any order finds all links.
+    """
+    large = star.groupBy("pivot").count().filter(F.col("count") > SAMPLE).select("pivot")
+    place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("id"), "id"))
+    sample = saved(star.join(large, "pivot", "left_semi").withColumn("place", place).filter(F.col("place") <= SAMPLE).select("pivot", "id"), "sample")
+    if sample.isEmpty():
+        return None
+    drawn = members.select("id", "x", F.explode("stars.pivot").alias("pivot")).join(checked_broadcast(sample), ["pivot", "id"], "left_semi")
+    added = drawn.join(pivots, "pivot").select("pivot", F.explode(F.array_except("x", "p")).alias("token"))
+    counts = added.groupBy("pivot", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    return saved(counts.groupBy("pivot").agg(F.collect_list("token").alias("common")), "common")
+
+
 def _judged(star: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """star (pivot, id and others) with n, adds, lacks, linked, and first and second: the tokens in which a pair meets
     that must share an addition, and those in which a pair meets that may share lacks only."""
     t = percent / 100
     c = (1 - t) / (1 + t)
     tiny = 1e-6
-    pivots = sets_of(star.select(F.col("pivot").alias("id")).distinct()).toDF("pivot", "p")
-    members = saved(sets_of(star.select("id").distinct()).select("id", F.col("tokens").alias("x"), F.size("tokens").alias("n")), "sets")
+    pivots = sets_of(star.select(F.col("pivot").alias("id")).distinct()).select(F.col("id").alias("pivot"), F.col("tokens").alias("p"))
+    # a set goes to its pivots from where it is made
+    asked = star.groupBy("id").agg(F.collect_list(F.struct(*(c for c in star.columns if c != "id"))).alias("stars"))
+    members = saved(sets_of(asked).select("id", "stars", F.col("tokens").alias("x"), F.size("tokens").alias("n")), "sets")
     # how short a partner can be: no shorter than any of the pivot's sets
-    shortest = star.join(members.select("id", "n"), "id").groupBy("pivot").agg(F.min("n").alias("shortest"))
-    both = star.join(members, "id").join(pivots.join(shortest, "pivot"), "pivot")
-    both = both.withColumn("added", F.array_except("x", "p")).withColumn("lacking", F.array_except("p", "x"))
+    shortest = members.select("n", F.explode("stars.pivot").alias("pivot")).groupBy("pivot").agg(F.min("n").alias("shortest"))
+    pivots = saved(pivots.join(shortest, "pivot"), "pivots")
+    common = _common(star, members, pivots)
+    both = members.select("id", "x", "n", F.inline("stars")).join(pivots.join(common, "pivot", "left") if common is not None else pivots.withColumn("common", F.lit(None).cast("array<bigint>")), "pivot")
+    both = both.withColumn("more", F.array_except("x", "p")).withColumn("lacking", F.array_except("p", "x"))
+    both = both.withColumn("added", F.when(F.col("common").isNull(), F.col("more")).otherwise(F.concat(F.array_except("more", "common"), F.array_intersect("more", "common"))))
     both = both.select("*", F.size("p").alias("n_p"), F.size("added").alias("adds"), F.size("lacking").alias("lacks"))
     both = both.withColumn("linked", similar(F.col("n") - F.col("adds"), F.col("n"), F.col("n_p"), percent))
     own = (1 - c) / 2 * (F.col("adds") - F.col("lacks"))
@@ -97,8 +121,8 @@ def classes(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     """(node, component) for every id that is similar to another one, directly or over others.
 
     buckets: key, id, weight (the pivot of a bucket is the id of most weight, then the least id); only buckets of two
-    ids or more matter. sets_of(ids) returns id and tokens (array of distinct longs, the rarest first in an order that
-    all sets have in common) for the ids asked for. near(pairs) leaves out pairs (a, b) that a cheaper bound shows not to
+    ids or more matter. sets_of(asked) returns asked (distinct ids and whatever columns) with tokens (array of distinct
+    longs, the rarest first in an order that all sets have in common). near(pairs) leaves out pairs (a, b) that a cheaper bound shows not to
     be similar. Rows with a null key or id have no links. Jobs run while the result is made.
     """
     rows = saved(_pivoted(buckets), "pivots")

@@ -140,7 +140,7 @@ def ngram_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, text: s
     def sets_of(asked: DataFrame) -> DataFrame:
         ids = asked.join(nodes.select(F.col("f").alias("id"), "i"), "id").select("i").distinct()
         found = _mapped(picked.join(checked_broadcast(ids, BROADCAST_IDS), "i", "left_semi"), tokens, "id bigint, tokens array<bigint>")
-        return found.dropDuplicates(["id"])
+        return asked.join(found.dropDuplicates(["id"]), "id")
 
     def near(pairs: DataFrame) -> DataFrame:
         sketches = nodes.select("f", "n", "s")

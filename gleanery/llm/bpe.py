@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in numpy.
 
 Texts are cut at single blanks before a word, where the splitting pattern always cuts too, so that equal pieces of a
-task are encoded once. Pieces go into padded matrices by length; in each round every row merges its leftmost pair of
+task, known by 64-bit hashes, are encoded once. Pieces go into padded matrices by length; in each round every row merges its leftmost pair of
 least rank, found by a hashed table of pairs, and closes the gap. Ids of whole texts are then gathered by index.
 """
 
@@ -24,6 +24,8 @@ from gleanery.llm.shared import slices, texts_of, workers_can_import
 #: Longer pieces are merged with a heap, in time that grows little faster than their length.
 LONGEST_ROW = 128
 CACHE_PIECES = 400_000
+#: Bytes of text that are cut and hashed at a time.
+CHUNKED_BYTES = 2 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -77,15 +79,7 @@ class Encoder:
         self.token_bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
-        self.uses = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.store = ChunkStore()
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece of the splitting pattern."""
@@ -169,47 +163,68 @@ class Encoder:
                 heapq.heappush(heap, (r, before[i]))
         return np.array([self.ranks[p] for p in parts if p is not None], dtype=np.uint32)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.split(c) for c in chunks]
         distinct = list(dict.fromkeys(p for c in cut for p in c))
         ids = dict(zip(distinct, self.pieces([p.encode() for p in distinct]), strict=True))
         parts = [ids[p] for c in cut for p in c]
         each = np.array([len(x) for x in parts], dtype=np.int64)
         ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([len(c) for c in cut])]
-        add_chunks(self, chunks, np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.diff(np.concatenate([[0], ends])))
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.diff(np.concatenate([[0], ends]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        return encode_by_chunks(self, texts, self._learn)
+        return encode_by_chunks(self.store, texts, self._learn)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
-def add_chunks(store, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-    """Appends new chunks to the worker's store, which grows by doubling: their ids one after another, and how many."""
-    n, total = len(store.known), len(flat)
-    while store.used + total > len(store.ids):
-        store.ids = np.concatenate([store.ids, np.zeros_like(store.ids)])
-    while n + len(chunks) > len(store.starts):
-        store.starts, store.lengths, store.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (store.starts, store.lengths, store.uses))
-    store.ids[store.used : store.used + total] = flat
-    store.starts[n : n + len(chunks)] = store.used + np.cumsum(sizes) - sizes
-    store.lengths[n : n + len(chunks)] = sizes
-    store.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-    store.used += total
-
-
-def forget(store) -> None:
-    """Keeps the chunks of a full store that were met again, if they are at most half of it."""
-    chunks, n = list(store.known), len(store.known)
-    again = np.flatnonzero(store.uses[:n] > 1)
-    starts, lengths, ids = store.starts[:n], store.lengths[:n], store.ids
-    store.clear()
-    if len(again) <= CACHE_PIECES // 2:
-        sizes = lengths[again]
-        flat = ids[np.repeat(starts[again] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-        add_chunks(store, [chunks[i] for i in again.tolist()], flat, sizes)
+class ChunkStore:
+    """Ids of the chunks that a worker has met, by 64-bit hashes of the chunks: keys in order, and the row of each."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.starts, self.lengths, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], -1)
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Takes in new keys, which are in order, and the ids of their chunks one after another; returns their rows."""
+        rows = len(self.starts) + np.arange(len(keys))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.lengths, self.uses = np.concatenate([self.lengths, sizes]), np.concatenate([self.uses, np.zeros(len(keys), dtype=np.int64)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows)
+        self.used += len(flat)
+        return rows
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows one after another, and where each row ends."""
+        sizes = self.lengths[rows]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+    def forget(self) -> None:
+        """Keeps the chunks of a full store that were met again, if they are at most half of it."""
+        kept = self.uses[self.rows] > 1
+        keys, rows = self.keys[kept], self.rows[kept]
+        flat, sizes = self.gather(rows)[0], self.lengths[rows]
+        self.clear()
+        if len(keys) <= CACHE_PIECES // 2:
+            self.add(keys, flat, sizes)
 
 
 #: White space but blanks and line ends, and the sign at which texts are cut.
@@ -218,39 +233,71 @@ OTHER_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2
 CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
 
 
-def chunks_of(text: str) -> list[str]:
-    """The text cut where patterns of this kind always cut: before a single blank between two words, which goes with
-    the word after it, and around a single line end between two words."""
-    # white space of other kinds, in runs, or at an end
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE(text) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
-        return CUT.split(text) if text else []
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+def plainly_cut(text: str) -> bool:
+    """Whether every blank and every line end stands alone between words, and no other white space is there: then the
+    text is cut before each blank and around each line end."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE(text) or text[:1] in (" ", "\n", "") or text[-1] in " \n")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+_BY_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
-def encode_by_chunks(store, texts: list[str], learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
+
+def chunks_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where their chunks start, and how many chunks there are up to the end of each text.
+
+    Texts are cut where patterns of this kind always cut: before a single blank between two words, which goes with the
+    word after it, and around a single line end between two words.
+    """
+    parts = [t.encode() for t in texts]
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    plain = [plainly_cut(t) for t in texts]
+    line_end = raw == 10
+    first = (raw == 32) | line_end
+    first[1:] |= line_end[:-1]
+    first &= np.repeat(plain, [len(x) for x in parts])
+    begins = ends - [len(x) for x in parts]
+    first[begins[begins < ends]] = True
+    for k, t in enumerate(texts):
+        if t and not plain[k]:
+            sizes = [len(c.encode()) for c in CUT.split(t)]
+            first[begins[k] + np.cumsum([0, *sizes[:-1]])] = True
+    starts = np.flatnonzero(first)
+    return raw.tobytes(), starts, np.searchsorted(starts, ends)
+
+
+def chunk_keys(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk: a sum over its bytes of a number for the byte times one for its place, mixed."""
+    sizes = np.diff(np.concatenate([starts, [len(raw)]]))
+    place = np.arange(len(raw)) - np.repeat(starts, sizes)
+    by_place = _mixed(np.arange(int(sizes.max()), dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return _mixed(np.add.reduceat(_BY_BYTE[np.frombuffer(raw, dtype=np.uint8)] * by_place[place], starts) + sizes.astype(np.uint64))
+
+
+def encode_by_chunks(store: ChunkStore, texts: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Encodes each distinct chunk once for a worker, then gathers the ids of whole texts."""
-    if len(store.known) > CACHE_PIECES:
-        forget(store)
-    flat_chunks: list[str] = []
-    edges = []
-    for t in texts:
-        flat_chunks += chunks_of(t)
-        edges.append(len(flat_chunks))
-    known = store.known
-    found = list(map(known.get, flat_chunks))
-    if None in found:
-        new = [j for j, k in enumerate(found) if k is None]
-        learn(list(dict.fromkeys(flat_chunks[j] for j in new)))
-        for j in new:
-            found[j] = known[flat_chunks[j]]
-    codes = np.array(found, dtype=np.int64)
-    store.uses[: len(known)] += np.bincount(codes, minlength=len(known))
-    sizes = store.lengths[codes]
-    ends = np.cumsum(sizes)
-    flat = store.ids[np.repeat(store.starts[codes] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-    edge = np.concatenate([[0], ends])
-    upto = edge[np.array(edges, dtype=np.int64)]
-    return flat, np.diff(np.concatenate([[0], upto]))
+    if len(store.keys) > CACHE_PIECES:
+        store.forget()
+    raw, starts, upto = chunks_of(texts)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+    keys, where, each, uses = np.unique(chunk_keys(raw, starts), return_index=True, return_inverse=True, return_counts=True)
+    rows = store.find(keys)
+    new = np.flatnonzero(rows < 0)
+    if len(new):
+        ends = np.concatenate([starts[1:], [len(raw)]])
+        rows[new] = store.add(keys[new], *learn([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]))
+    store.uses[rows] += uses
+    flat, ends = store.gather(rows[each])
+    edge = np.concatenate([[0], ends])[upto]
+    return flat, np.diff(np.concatenate([[0], edge]))
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -304,7 +351,7 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str, doc_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_for(sent.value, pattern)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", CHUNKED_BYTES):
             ids, n = enc.encode(texts_of(batch, "t"))
             arrays = [batch.column("i"), *made(enc, ids, n)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -63,14 +63,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(whole_ascii, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about SLICE_BYTES of text at most; a longer text is alone in its slice."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about so many bytes of text at most; a longer text is alone in its slice."""
     for batch in batches:
         column = batch.column(text)
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
-            if i > start and total + size > SLICE_BYTES:
+            if i > start and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size

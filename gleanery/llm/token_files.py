@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.bpe import add_chunks, encode_by_chunks
+from gleanery.llm.bpe import CHUNKED_BYTES, ChunkStore, encode_by_chunks
 from gleanery.llm.shared import scratch, slices, texts_of, workers_can_import
 
 #: Parquet settings by encoding of the ids. Delta needs the second page format and no dictionary.
@@ -56,47 +56,46 @@ class LibraryEncoder:
         # words go to the library's model as they are where nothing but the byte-level step stands before it
         self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made.get("normalizer")
         self.signs, self.model = str.maketrans(byte_level_signs()), self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
-        self.uses = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-        self.tails: dict[str, list[int]] = {"": []}
+        self.tails: dict[str, list[int]] = {}
+        self.store = ChunkStore()
 
     def _piece(self, piece: str) -> list[int]:
+        """Ids of one piece of the splitting pattern."""
         signs = piece.replace(" ", self.signs[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.signs)
         return [t.id for t in self.model.tokenize(signs)]
 
-    def _word(self, chunk: str) -> list[int]:
-        if self.by_word and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
-            return self._piece(chunk)
-        found = WORD(chunk) if self.by_word else None
-        if found is None:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        word, tail = found.groups()
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat: list[int] = []
+        ends = []
+        for c in chunks:
+            if self.by_word and (c[1:] if c[0] == " " else c).isalpha():
+                flat += self._piece(c)
+            elif self.by_word and (found := WORD(c)):
+                flat += self._piece(found[1])
+                flat += self._tail(found[2])
+            else:
+                flat += self.tokenizer.encode(c, add_special_tokens=False).ids
+            ends.append(len(flat))
+        return np.array(flat, dtype=np.uint32), np.diff(np.array([0, *ends], dtype=np.int64))
+
+    def _tail(self, tail: str) -> list[int]:
+        """Ids of the signs behind a word, which are few; those of late are remembered."""
         if tail not in self.tails:
-            self.tails[tail] = self._piece(tail)
-        seen = self.known.get(word)
-        return (self._piece(word) if seen is None else self.ids[self.starts[seen] : self.starts[seen] + self.lengths[seen]].tolist()) + self.tails[tail]
-
-    def _learn(self, chunks: list[str]) -> None:
-        made = [self._word(c) for c in chunks]
-        add_chunks(self, chunks, np.fromiter((i for ids in made for i in ids), dtype=np.uint32), np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._piece(tail) if tail else []
+        return self.tails[tail]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has: those of encode(add_special_tokens=False)."""
         whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
         if not whole:
-            return encode_by_chunks(self, texts, self._learn)
+            return encode_by_chunks(self.store, texts, self._learn)
         # the library cuts texts at its added tokens, wherever they stand
         others = list(texts)
         for k in whole:
             others[k] = ""
-        flat, n = encode_by_chunks(self, others, self._learn)
+        flat, n = encode_by_chunks(self.store, others, self._learn)
         parts = np.split(flat, np.cumsum(n)[:-1])
         for k in whole:
             parts[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
@@ -128,7 +127,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = library_encoder(sent.value), 0
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", CHUNKED_BYTES):
             ids, n = enc.encode(texts_of(batch, "t"))
             if end_id is not None:
                 ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1

@@ -49,10 +49,10 @@ def valid_key(key: Column, digits: int = 40) -> Column:
 
 
 def size_bytes(text: Column) -> Column:
-    """Bytes from text like '1,5 GB' or '700MiB' (1024-based, decimal comma or point); null without a size."""
-    number = F.regexp_extract(text, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*([kmgt])i?b", 1)
-    unit = F.upper(F.regexp_extract(text, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*([kmgt])i?b", 2))
-    power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4)
+    """Bytes from text like '1,5 GB', '700MiB' or '700 B' (1024-based, decimal comma or point); null without a size."""
+    pattern = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(?:([kmgt])i?)?b(?![a-z])"
+    number, unit = F.regexp_extract(text, pattern, 1), F.upper(F.regexp_extract(text, pattern, 2))
+    power = F.when(unit == "", 0).when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4)
     return F.floor(F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * F.pow(F.lit(1024.0), power) + 0.5)
 
 
@@ -74,6 +74,20 @@ def title_key(text: Column) -> Column:
     return F.when((key != "") & ~key.rlike(r"^tt[0-9]+$"), key)
 
 
+def base_name(text: Column) -> Column:
+    """A name without what qualifies it: a year in brackets or a member tag at its end, and what follows the tag."""
+    name = F.regexp_replace(text, r"(?i)[\s–-]+s[0-9]{1,2}e[0-9]{1,3}(?![0-9a-z]).*$", "")
+    name = F.trim(F.regexp_replace(name, r"\s*\([0-9]{4}(?:[-–][0-9]{0,4})?\)\s*$", ""))
+    return F.when(name != "", name).otherwise(text)
+
+
+def target(text: Column) -> Column:
+    """struct(id, major, minor) of an id alone, with a label behind it, with coordinates (id:1:2), or in a url."""
+    pattern = r"^(?:https?://\S*/)?(tt[0-9]{7,})(?::([0-9]+):([0-9]+))?(?![0-9A-Za-z])"
+    part = lambda k: F.nullif(F.regexp_extract(F.trim(text), pattern, k), F.lit(""))
+    return F.struct(part(1).alias("id"), part(2).cast("bigint").alias("major"), part(3).cast("bigint").alias("minor"))
+
+
 def significant_words(text: Column, stop: list[str], least: int = 3) -> Column:
     """Distinct folded words of letters, at least so long and not in the stop list, in order of first place."""
     words = F.filter(F.split(fold(text), "[^a-z]+"), lambda w: F.length(w) >= least)

@@ -72,6 +72,20 @@ def upsert(target: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "full_outer").select(key, *(F.coalesce(f"__{c}", c).alias(c) if c in delta.columns else F.col(c) for c in values), action.alias("action"))
 
 
+def prepared(delta: DataFrame, key: str, valid: Column, order: list[Column]) -> DataFrame:
+    """delta with reason: 'invalid' for rows that aren't valid (null counts as not), 'duplicate' for valid rows of a key but
+    the first in the given order, null for those that an upsert takes."""
+    rows = delta.withColumn("__ok", F.coalesce(valid, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(key, "__ok").orderBy(*order))
+    return rows.withColumn("reason", F.when(~F.col("__ok"), "invalid").when(place > 1, "duplicate")).drop("__ok")
+
+
+def upsert_checked(target: DataFrame, delta: DataFrame, key: str, valid: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The upsert of the rows that are valid and first of their key, and the rejected rows with their reason."""
+    rows = prepared(delta, key, valid, order)
+    return upsert(target, rows.filter("reason is null").drop("reason"), key), rows.filter("reason is not null")
+
+
 def column_signature(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many rows have which columns set."""
     return df.groupBy(F.concat_ws(",", F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns)))).alias("signature")).agg(F.count("*").alias("n_rows"))

@@ -78,6 +78,11 @@ def facet_counts(t):
     return t.documents.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "es").alias("es"), F.count_if(F.contains("text", F.lit("|"))).alias("tabular"), F.max("n_chars").alias("longest"))
 
 
+@demo("SELECT event_type, max(ts) AS latest, count(*) AS n FROM events GROUP BY 1")
+def latest_seen(t):
+    return t.events.groupBy("event_type").agg(F.max("ts").alias("latest"), F.count("*").alias("n"))
+
+
 @demo("SELECT user_id, CASE WHEN count_if(event_type <> 'error') = 0 THEN 'down' WHEN count_if(event_type = 'error') = 0 THEN 'ok' WHEN count_if(event_type = 'purchase') = 0 THEN 'empty' ELSE 'partial' END AS health FROM events GROUP BY user_id")
 def health_status(t):
     def n(k):

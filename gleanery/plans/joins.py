@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import rules as R
 from gleanery.operators import merge as M
 from gleanery.plans.demo import demo
 
@@ -17,9 +18,10 @@ def left_enrich(t):
 
 @demo("SELECT u.user_id, k.event_type, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN events e USING (user_id, event_type) GROUP BY ALL")
 def coverage_matrix(t):
-    kinds = F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view")))  # a fixed set
     known = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("c"))
-    return t.events.select("user_id").distinct().select("user_id", F.explode(kinds).alias("event_type")).join(known, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("c", F.lit(0)).alias("n"))
+    # every kind that there is, as one row; the matrix has a cell for each of them
+    kinds = known.select("event_type").distinct().agg(F.collect_list("event_type").alias("kinds"))
+    return known.select("user_id").distinct().join(F.broadcast(kinds)).select("user_id", F.explode("kinds").alias("event_type")).join(known, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("c", F.lit(0)).alias("n"))
 
 
 @demo("""SELECT c_custkey, m AS month FROM customer, (SELECT unnest(range(1, 13)) AS m) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND month(o_orderdate) = m)""")
@@ -29,10 +31,10 @@ def pending_members(t):
     return expected.join(done, ["c_custkey", "month"], "left_anti").select("c_custkey", F.col("month").cast("bigint").alias("month"))
 
 
-@demo("""WITH seen AS (SELECT doc_id, left(text, 40) AS key FROM documents WHERE doc_id % 10 = 0) SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.key = left(d.text, 40))""")
+@demo("""WITH seen AS (SELECT doc_id, text AS key FROM documents WHERE doc_id % 10 = 0) SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.key = d.text)""")
 def multi_key_anti(t):
     # one equi join over (kind, value) probes in place of a join on either of two keys
-    probes = t.documents.select("doc_id", F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("doc_id").cast("string").alias("value")), F.struct(F.lit("key").alias("kind"), F.left("text", F.lit(40)).alias("value")))).alias("p")).select("doc_id", "p.*")
+    probes = t.documents.select("doc_id", F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("doc_id").cast("string").alias("value")), F.struct(F.lit("key").alias("kind"), F.md5("text").alias("value")))).alias("p")).select("doc_id", "p.*")
     seen = probes.filter("doc_id % 10 = 0").select("kind", "value").distinct()
     return t.documents.select("doc_id").join(probes.join(seen, ["kind", "value"], "left_semi").select("doc_id").distinct(), "doc_id", "left_anti")
 
@@ -100,14 +102,52 @@ def members_first(t):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_shipdate") <= F.expr("timestamp_ntz'1997-01-01 00:00:00'")).alias("available"))
 
 
-@demo("""WITH w AS (SELECT doc_id, source, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM documents WHERE lang = 'en'), f AS (SELECT source, word FROM w GROUP BY ALL HAVING count(*) >= 3)
-SELECT d.doc_id, NOT EXISTS (SELECT 1 FROM w JOIN f USING (source, word) WHERE w.doc_id = d.doc_id AND length(word) >= 6) AS off_topic FROM documents d WHERE lang = 'en'""")
+@demo("""WITH j AS (SELECT doc_id, source, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM documents), w AS (SELECT * FROM j WHERE length(word) >= 3), g AS (SELECT source, CASE WHEN count(*) >= 10 THEN 3 ELSE 2 END AS least FROM documents GROUP BY 1), f AS (SELECT source, word FROM w JOIN g USING (source) GROUP BY source, word, least HAVING count(*) >= least), m AS (SELECT w.doc_id, count(f.word) AS shared FROM w LEFT JOIN f USING (source, word) GROUP BY 1)
+SELECT d.doc_id, coalesce(m.shared = 0, false) AND d.source IN (SELECT source FROM f) AS off_topic FROM documents d LEFT JOIN m USING (doc_id)""")
 def off_topic(t):
-    docs = t.documents.filter("lang = 'en'")
-    words = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).filter("length(word) >= 6")
-    vocabulary = words.groupBy("source", "word").agg(F.count("*").alias("n")).filter("n >= 3").select("source", "word")
-    on = words.join(vocabulary, ["source", "word"], "left_semi").select("doc_id").distinct().withColumn("on", F.lit(True))
-    return docs.select("doc_id").join(on, "doc_id", "left").select("doc_id", F.col("on").isNull().alias("off_topic"))
+    # a word of a group's vocabulary is in three of its texts, in two where it has fewer than ten; texts without words
+    # that can be judged, and groups without a vocabulary, are left alone
+    words = t.documents.select("doc_id", "source", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).filter("length(word) >= 3")
+    least = t.documents.groupBy("source").agg(F.when(F.count("*") >= 10, 3).otherwise(2).alias("least"))
+    vocabulary = words.groupBy("source", "word").agg(F.count("*").alias("n")).join(least, "source").filter("n >= least").select("source", "word", F.lit(1).alias("known"))
+    shared = words.join(vocabulary, ["source", "word"], "left").groupBy("doc_id").agg(F.count("known").alias("shared"))
+    groups = vocabulary.select("source").distinct().withColumn("judged", F.lit(True))
+    rows = t.documents.select("doc_id", "source").join(shared, "doc_id", "left").join(groups, "source", "left")
+    return rows.select("doc_id", F.coalesce((F.col("shared") == 0) & F.col("judged"), F.lit(False)).alias("off_topic"))
+
+
+def _members(t):
+    """The first row of each member (order, line) with the name of its part, if it has one."""
+    order = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")]
+    rows = M.first_rows(t.lineitem, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return rows.join(t.part.filter("p_size > 10").select("p_partkey", "p_name"), "p_partkey", "left")
+
+
+_MEMBERS = "m AS (SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rn FROM lineitem) LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_size > 10) ON p_partkey = l_partkey WHERE rn = 1)"
+
+
+@demo(f"""WITH {_MEMBERS} SELECT l_orderkey, l_linenumber, 'Order ' || l_orderkey || ' ' || printf('S%02dE%02d', 1 + l_orderkey % 120, l_linenumber) || coalesce(' – ' || p_name, '') AS label FROM m""")
+def member_labels(t):
+    # the label of one member: show, tag and title, the title only where it is known
+    tag = R.member_tag(1 + F.col("l_orderkey") % 120, F.col("l_linenumber"))
+    show = F.concat(F.lit("Order "), F.col("l_orderkey"), F.lit(" "), tag)
+    return _members(t).select("l_orderkey", "l_linenumber", F.concat(show, F.coalesce(F.concat(F.lit(" – "), "p_name"), F.lit(""))).alias("label"))
+
+
+@demo(f"""WITH {_MEMBERS} SELECT o_custkey, count(DISTINCT l_orderkey) AS majors, count(*) AS members FROM m JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def expansion_counts(t):
+    rows = _members(t).withColumnRenamed("l_orderkey", "o_orderkey").join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    # members are one row each, so majors are counted by two sums and not by a distinct over all rows
+    return rows.groupBy("o_custkey", "o_orderkey").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.count("*").alias("majors"), F.sum("n").alias("members"))
+
+
+@demo("""WITH w AS (SELECT unnest([3, 1, 7, 99, 20]) AS k, unnest([1, 2, 3, 4, 5]) AS place), u AS (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1)
+SELECT place, n_nationkey, n_name, n AS suppliers FROM w JOIN nation ON n_nationkey = k JOIN u ON s_nationkey = k""")
+def registry_filter(t):
+    # asked sources in the order asked for: those that are registered and usable, with what may be shown of them
+    asked = t.spark.createDataFrame([(k, place) for place, k in enumerate([3, 1, 7, 99, 20], 1)], "n_nationkey bigint, place int")
+    usable = t.supplier.filter("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return t.nation.select("n_nationkey", "n_name").join(F.broadcast(asked), "n_nationkey").join(usable, "n_nationkey").select("place", "n_nationkey", "n_name", "suppliers")
 
 
 @demo("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

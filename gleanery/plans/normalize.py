@@ -146,12 +146,28 @@ def additive_score(t):
     return scored(t).select("doc_id", "score")
 
 
-@demo("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark WHERE item_id = 1), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents)
+@demo("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents)
 SELECT doc_id, CAST(least(0.15, 0.03 * len(list_intersect(w, (SELECT list(w) FROM v)))) AS DOUBLE) AS bonus FROM d""")
 def overlap_bonus(t):
-    expected = t.benchmark.filter("item_id = 1").select(F.split(F.lower("text"), " ").alias("expected"))  # one row
-    rows = t.documents.select("doc_id", F.split(F.lower("text"), " ").alias("w")).join(F.broadcast(expected))
-    return rows.select("doc_id", F.least(F.lit(0.15), 0.03 * F.size(F.array_intersect("w", "expected"))).alias("bonus"))
+    expected = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    shared = words.join(expected, "w", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t.documents.select("doc_id").join(shared, "doc_id", "left").select("doc_id", F.least(F.lit(0.15), 0.03 * F.coalesce("n", F.lit(0))).alias("bonus"))
+
+
+@demo("""SELECT o_orderkey, 'tt' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, CASE WHEN o_orderkey % 4 = 2 THEN 1 + o_orderkey % 9 END AS major, CASE WHEN o_orderkey % 4 = 2 THEN 1 + o_orderkey % 20 END AS minor FROM orders""")
+def target_parse(t):
+    # an id alone, with a label, with coordinates, or in a url
+    plain = F.concat(F.lit("tt"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    form = F.col("o_orderkey") % 4
+    text = F.when(form == 0, plain).when(form == 1, F.concat(plain, F.lit("  a label: 3:4"))).when(form == 2, F.concat_ws(":", plain, 1 + F.col("o_orderkey") % 9, 1 + F.col("o_orderkey") % 20)).otherwise(F.concat(F.lit("https://x.org/title/"), plain, F.lit("/?ref=1")))
+    return t.orders.select("o_orderkey", R.target(text).alias("t")).select("o_orderkey", "t.id", "t.major", "t.minor")
+
+
+@demo("SELECT p_partkey, p_name AS base FROM part")
+def base_name(t):
+    qualified = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (1999–2004)"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" S01E02 – a title"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", R.base_name(qualified).alias("base"))
 
 
 @demo("""SELECT o_orderkey, year(o_orderdate) + o_orderkey % 4 AS label_year, NOT (year(o_orderdate) + o_orderkey % 4 BETWEEN year(o_orderdate) - 1 AND CASE WHEN o_orderstatus = 'O' THEN 9999 ELSE year(o_orderdate) + 1 END) AS mismatch FROM orders""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from gleanery.functions.rules import csv_guarded
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where none is set and all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -44,19 +47,21 @@ def read_snapshot(spark: SparkSession, index: DataFrame, path: str, key: str, sc
 
 
 def publish(df: DataFrame, root: str, version: str, by: str) -> str:
-    """Writes one JSON folder per value of a column under a new version, then points CURRENT at it.
+    """Writes one JSON folder per value of a column under a new version, then adds a line to CURRENT that points at it.
 
-    Readers follow the pointer, so the old version stays theirs until the new one is whole.
+    Readers follow the latest line, so the old version stays theirs until the new one is whole, and there is a pointer
+    at any time: a line is added by one commit and none is taken away.
     """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{version}"
     df.write.partitionBy(by).json(path)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/CURRENT")
+    line = spark.createDataFrame([(version,)], "version string").withColumn("at", F.unix_micros(F.current_timestamp()))
+    line.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/CURRENT")
     return path
 
 
 def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
+    version = spark.read.schema("version string, at bigint").json(f"{root.rstrip('/')}/CURRENT").agg(F.max_by("version", "at")).first()[0]
     return spark.read.schema(schema).json(f"{root.rstrip('/')}/{version}")
 
 

@@ -82,3 +82,32 @@ def test_snapshot_and_csv(spark, tmp_path):
 def test_sizes_and_keys(spark):
     row = spark.sql("select '1,5 GB' a, '700MiB' b, 'none' c, concat('  ', upper(sha1('x'))) k, repeat('0', 40) z").select(R.size_bytes(F.col("a")), R.size_bytes(F.col("b")), R.size_bytes(F.col("c")), R.valid_key(F.col("k")), R.valid_key(F.col("z"))).first()
     assert row[0] == int(1.5 * 1024**3) and row[1] == 700 * 1024**2 and row[2] is None and len(row[3]) == 40 and row[4] is None
+
+
+def test_upsert_takes_the_first_valid_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string")
+    new = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "c", 1), (3, "d", 2), (4, None, 1), (None, "e", 1)], "k int, s string, ord int")
+    merged, rejected = merge.upsert_checked(old, new, "k", F.col("k").isNotNull() & F.col("s").isNotNull(), [F.col("ord")])
+    assert sorted(map(tuple, merged.collect())) == [(1, "y", "updated"), (2, "b", "kept"), (3, "c", "inserted")]
+    assert sorted((r["s"] or "", r["reason"]) for r in rejected.collect()) == [("", "invalid"), ("d", "duplicate"), ("e", "invalid"), ("x", "duplicate")]
+
+
+def test_sizes_and_targets(spark):
+    rows = [("700 B",), ("1,5 KB",), ("2MiB x",), ("9 boxes",), ("nothing",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(R.size_bytes(F.col("t"))).collect()]
+    assert got == [700, 1536, 2 << 20, None, None]
+    texts = [("tt0123456",), (" tt0123456 label",), ("tt0123456:2:11",), ("https://a.b/title/tt0123456/?x",), ("xtt0123456",), ("",), (None,)]
+    got = [tuple(r[0]) for r in spark.createDataFrame(texts, "t string").coalesce(1).select(R.target(F.col("t"))).collect()]
+    assert got == [("tt0123456", None, None)] * 2 + [("tt0123456", 2, 11), ("tt0123456", None, None)] + [(None, None, None)] * 3
+
+
+def test_publishing_again_moves_the_pointer(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for version in ("v2", "v1"):
+        tables.publish(spark.createDataFrame([("a", version)], "k string, v string"), root, version, "k")
+        assert [r["v"] for r in tables.current(spark, root, "v string, k string").collect()] == [version]
+
+
+def test_fitting_keeps_the_target_columns(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert tables.fitting(df, df.select("c", "a")).columns == ["a", "c"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,11 +31,14 @@ def workers_can_import(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and all
+    runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ suffix were blocked among the labelled ones. Everything runs in the JVM.
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -79,28 +80,48 @@ def assembled(urls: DataFrame, rates: DataFrame) -> DataFrame:
 def fit_url_filter(labelled: DataFrame, *, trees: int = 10, depth: int = 4, seed: int = 11) -> tuple[GBTClassificationModel | None, DataFrame]:
     """Boosted trees for labelled urls (url, host, path, label 0 or 1), and the suffix rates they use.
 
-    With fewer than two classes there are no trees.
+    Rates come from one half of the urls (by hash) and trees from the other, so the trees see rates of urls that they
+    don't learn from. With fewer than two classes in their half there are no trees.
     """
+    half = F.pmod(F.xxhash64("url"), F.lit(2))
     rows = lexical_features(labelled)
-    rates = suffix_rates(rows)
-    if labelled.agg(F.count_distinct("label")).first()[0] < 2:
+    rates, rows = suffix_rates(rows.filter(half == 0)), rows.filter(half == 1)
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return None, rates
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(assembled(rows, rates).select("features", F.col("label").cast("double")))
     return model, rates
 
 
+def held_out_auc(labelled: DataFrame, **settings) -> float | None:
+    """Area under the curve of receiver operation on a fifth of the urls (by hash) that takes no part in the fit; null
+    where there are no trees."""
+    fifth = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(5))
+    model, rates = fit_url_filter(labelled.filter(fifth != 0), **settings)
+    if model is None:
+        return None
+    scored = model.transform(assembled(lexical_features(labelled.filter(fifth == 0)), rates))
+    return BinaryClassificationEvaluator(labelCol="label").evaluate(scored.withColumn("label", F.col("label").cast("double")))
+
+
+def labelled_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "url") -> DataFrame:
+    """url, host, path and label (1 for block) of the urls that a rule judges."""
+    host, path = host_and_path(F.col(url))
+    ruled = pages.select(F.col(url).alias("url"), host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    return ruled.filter("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("int").alias("label"))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "url", page_id: str = "page_id", trees: int = 10) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), block_score, for each row of pages.
 
     The longest fitting rule decides; the urls that rules judge are the labelled ones from which the trees learn to
     judge the others (block from a score of one half on). Without trees all others are allowed. A null url is judged as
-    the empty one. Other columns are not read.
+    the empty one. Rows that repeat a page_id are judged each by its url, equal urls alike. Of two rules of one length
+    (equal but for the verdict) block wins. Other columns are not read. The trees are fitted while the result is made.
     """
     host, path = host_and_path(F.col(url))
     cut = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     ruled = cut.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = ruled.filter("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("int").alias("label"))
-    model, rates = fit_url_filter(labelled, trees=trees)
+    model, rates = fit_url_filter(labelled_urls(pages, rules, url=url), trees=trees)
     if model is None:
         scored = ruled.withColumn("score", F.lit(0.0))
     else:

@@ -369,6 +369,42 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(df.limit(0), rules).collect()} == set()
 
 
+def test_url_rules_by_brute_force(spark):
+    """Host, path and rule of made-up urls, and held-out quality where the label shows in the url."""
+    from gleanery.llm.queries import URL_RULES
+
+    rng, signs = random.Random(10), ["http", "://", "HTTP://", "/", "?", "#", "com", "Net", ".", "example", "www", "en", "es", "fr", "a1", "\u00e9", "\n", " "]
+    pages = [(k, "".join(rng.choice(signs) for _ in range(rng.randrange(12)))) for k in range(1500)] + [(k, "https://" + rng.choice(["", "www.", "x.www.", "my"]) + rng.choice(["example.com", "a.net", "net", "com", "b.org"]) + rng.choice(["/en/1", "/es/2?q", "/fr/", "#/en/", "", "/En/"])) for k in range(1500, 2000)]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame([*pages, (2000, None)], "page_id bigint, url string"), URL_RULES, trees=2).collect()}
+    for i, u in [*pages, (2000, "")]:
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = lower(host)
+        fit = max(((len(h) + 1 + len(p), f"{h}/{p}", v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith("/" + p)), default=(0, None, None))
+        assert got[i][:3] == (host, path, fit[1]), u
+        assert fit[2] is None or got[i][3] == fit[2]
+    labelled = [(f"http://h{k}.x{k % 3}.org/{'spam' * 5 if k % 2 else 'a'}/{k}?p={k}", k % 2) for k in range(600)]
+    df = spark.createDataFrame([(u, u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0], y) for u, y in labelled], "url string, host string, path string, label int")
+    assert urls.held_out_auc(df, trees=3) > 0.95
+    assert urls.held_out_auc(df.limit(0)) is None
+
+
+def test_quality_verdict_by_brute_force(spark, docs, rows):
+    """base_failed and kept from the features and cutoffs, ties on a cutoff included."""
+    features = quality.quality_features(docs)
+    cutoffs = {("en", "symbols"): 0.0, ("?", "repeats"): 0.1, ("en", "capitals"): 0.04}
+    for r in quality.judge_quality(features, cutoffs).collect():
+        base = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        over = []
+        for (stratum, rule), cut in cutoffs.items():
+            part, whole = quality.RULES[rule]
+            share = r[part] / r[whole] if r[whole] else 0.0
+            if stratum == r["stratum"] and -(-share * quality.GRID // 1) > round(cut * quality.GRID):
+                over.append(rule)
+        assert (r["base_failed"], sorted(r["failed_rules"]), r["kept"]) == (base, sorted(over), not base and not over)
+
+
 def test_toxicity(spark, docs, rows):
     import random
 

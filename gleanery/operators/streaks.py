@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import saved
+
 
 def failure_streaks(df: DataFrame, keys: list[str], order: list[Column], failed: Column, most: int) -> DataFrame:
     """df with skipped: a row of its key before it was the most-th failure in a row. order must be total."""
@@ -17,3 +19,34 @@ def failure_streaks(df: DataFrame, keys: list[str], order: list[Column], failed:
     breach = F.col("__failed") & (F.col("__streak") >= most)
     skipped = F.coalesce(F.bool_or(breach).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     return rows.withColumn("skipped", skipped).drop("__failed", "__island", "__streak")
+
+
+def breaker_streaks(df: DataFrame, source: str, kind: str, order: list[Column], outcome: str, most: int) -> DataFrame:
+    """df with skipped, for outcomes 'ok', 'error' and 'limited' (null counts as ok). order must be total.
+
+    A (source, kind) closes at its most-th error since its last ok, or at a limited row that is at least the
+    (3 * most)-th of its source since the last ok of any kind there; its later rows are skipped and count for nothing.
+    What closes first in a source changes only what comes later, so each round settles one kind of each source: there
+    are as many rounds as a source has kinds that close, each a few windows and a table in the shared folder.
+    """
+    rows = saved(df.withColumn("__at", F.struct(*order)))
+    closed = None
+    by_kind, by_source = Window.partitionBy(source, kind).orderBy("__at"), Window.partitionBy(source).orderBy("__at")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    is_ok = F.coalesce(~F.col(outcome).isin("error", "limited"), F.lit(True)).cast("int")
+    while True:
+        live = rows if closed is None else rows.join(closed, [source, kind], "left").filter("__closed is null or __at <= __closed")
+        live = live.withColumn("__own", F.sum(is_ok).over(upto(by_kind))).withColumn("__all", F.sum(is_ok).over(upto(by_source)))
+        errors = F.count_if(F.col(outcome) == "error").over(upto(Window.partitionBy(source, kind, "__own").orderBy("__at")))
+        limits = F.count_if(F.col(outcome) == "limited").over(upto(Window.partitionBy(source, "__all").orderBy("__at")))
+        breach = ((F.col(outcome) == "error") & (errors >= most)) | ((F.col(outcome) == "limited") & (limits >= 3 * most))
+        found = live.withColumn("__breach", breach).filter("__breach")
+        if closed is not None:
+            found = found.filter("__closed is null")
+        first = found.groupBy(source).agg(F.min_by(kind, "__at").alias(kind), F.min("__at").alias("__closed"))
+        now = saved(first.select(source, kind, "__closed") if closed is None else closed.unionByName(first.select(source, kind, "__closed")))
+        if closed is not None and now.count() == closed.count() or closed is None and now.isEmpty():
+            break
+        closed = now
+    out = rows.withColumn("__closed", F.lit(None)) if closed is None else rows.join(closed, [source, kind], "left")
+    return out.withColumn("skipped", F.coalesce(F.col("__at") > F.col("__closed"), F.lit(False)) if closed is not None else F.lit(False)).select(*df.columns, "skipped")

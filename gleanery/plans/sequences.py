@@ -94,6 +94,23 @@ def failure_streaks(t):
     return rows.groupBy("user_id").agg(F.count_if(~F.col("skipped") & (F.col("event_type") != "error")).alias("ok"), F.count_if(~F.col("skipped") & (F.col("event_type") == "error")).alias("errors"), F.count_if("skipped").alias("skipped"))
 
 
+_SKIP = "((k = 0 AND o0) OR (k = 1 AND o1))"
+
+
+@demo(f"""WITH RECURSIVE r AS (SELECT user_id, event_id % 2 AS k, CASE event_type WHEN 'error' THEN 'e' WHEN 'view' THEN 'l' ELSE 'o' END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, 0 AS e0, 0 AS e1, false AS o0, false AS o1, 0 AS st, '' AS did FROM events
+UNION ALL SELECT f.user_id, r.rn, CASE WHEN {_SKIP} OR k = 1 OR x = 'l' THEN e0 WHEN x = 'o' THEN 0 ELSE e0 + 1 END, CASE WHEN {_SKIP} OR k = 0 OR x = 'l' THEN e1 WHEN x = 'o' THEN 0 ELSE e1 + 1 END,
+o0 OR (k = 0 AND ((x = 'e' AND e0 >= 1) OR (x = 'l' AND st >= 5))), o1 OR (k = 1 AND ((x = 'e' AND e1 >= 1) OR (x = 'l' AND st >= 5))), CASE WHEN {_SKIP} OR x = 'e' THEN st WHEN x = 'o' THEN 0 ELSE st + 1 END, CASE WHEN {_SKIP} THEN 's' ELSE x END
+FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)
+SELECT user_id, count_if(did = 'o') AS ok, count_if(did = 'e') AS errors, count_if(did = 'l') AS limited, count_if(did = 's') AS skipped FROM f WHERE rn > 0 GROUP BY 1""")
+def breaker_streaks(t):
+    outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "limited").otherwise("ok")
+    rows = t.events.select("user_id", "ts", "event_id", (F.col("event_id") % 2).alias("kind"), outcome.alias("outcome"))
+    rows = S.breaker_streaks(rows, "user_id", "kind", [F.col("ts"), F.col("event_id")], "outcome", 2)
+    did = F.when(F.col("skipped"), "skipped").otherwise(F.col("outcome"))
+    return rows.groupBy("user_id").agg(*(F.count_if(did == k).alias(n) for k, n in (("ok", "ok"), ("error", "errors"), ("limited", "limited"), ("skipped", "skipped"))))
+
+
 @demo("SELECT event_id, round FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events) ORDER BY round, user_id LIMIT 200")
 def round_robin_cap(t):
     return C.round_robin(t.events, "user_id", [F.col("ts"), F.col("event_id")], 200).select("event_id", "round")

@@ -53,6 +53,29 @@ def test_failure_streaks_are_the_loop(spark):
     assert {r["i"]: r["skipped"] for r in streaks.failure_streaks(df, ["k"], [F.col("i")], F.col("bad"), 3).collect()} == want
 
 
+def test_breaker_streaks_are_the_loop(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(12), rng.randrange(3), i, rng.choice(["ok", "error", "limited", "limited", "limited", None])) for i in range(900)]
+    errors, open_, strikes, want = {}, set(), {}, {}
+    for s, k, i, x in rows:
+        want[i] = (s, k) in open_
+        if want[i]:
+            continue
+        if x == "error":
+            errors[s, k] = errors.get((s, k), 0) + 1
+            if errors[s, k] >= 2:
+                open_.add((s, k))
+        elif x == "limited":
+            strikes[s] = strikes.get(s, 0) + 1
+            if strikes[s] >= 6:
+                open_.add((s, k))
+        else:
+            errors[s, k] = strikes[s] = 0
+    df = spark.createDataFrame(rows, "s int, k int, i int, x string").repartition(6)
+    assert {r["i"]: r["skipped"] for r in streaks.breaker_streaks(df, "s", "k", [F.col("i")], "x", 2).collect()} == want
+    assert streaks.breaker_streaks(df.limit(0), "s", "k", [F.col("i")], "x", 2).count() == 0
+
+
 def test_upsert_keeps_known_values(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "k int, s string, n int")
     new = spark.createDataFrame([(1, None, 7), (3, "c", 1)], "k int, s string, n int")

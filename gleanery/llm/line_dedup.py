@@ -21,20 +21,22 @@ HOT_SHARE = 100_000
 _LOW = (1 << 48) - 1
 
 
-def plain(text: Column) -> Column:
-    """Lower-cased, with single blanks for white space within lines; line ends stay."""
-    text = F.lower(text)
+def with_plain(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with a column of the text in lower case, with single blanks for white space within lines; line ends stay.
+
+    In steps: each is named several times by the next, so it is computed once a text.
+    """
+    docs = docs.withColumn(name, F.lower(text))
     odd = F.lit(False)
     for sign in "\t\r\x0b\x0c":
-        odd = odd | F.contains(text, F.lit(sign))
-    text = F.when(odd, F.regexp_replace(text, "[\\t\\r\\x0B\\f]", " ")).otherwise(text)
-    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+        odd = odd | F.contains(F.col(name), F.lit(sign))
+    docs = docs.withColumn(name, F.when(odd, F.regexp_replace(name, "[\\t\\r\\x0B\\f]", " ")).otherwise(F.col(name)))
+    return docs.withColumn(name, F.when(F.contains(F.col(name), F.lit("  ")), F.regexp_replace(name, " {2,}", " ")).otherwise(F.col(name)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """i, at (place of the line), line (plain) and lh (its hash) for docs (i, t); lines without words are left out."""
-    # a column of its own: within the generator parts of plain would be computed several times
-    lines = docs.select("i", plain(F.col("t")).alias("p")).select("i", F.posexplode(F.split("p", "\n")).alias("at", "line"))
+    lines = with_plain(docs, "t", "p").select("i", F.posexplode(F.split("p", "\n")).alias("at", "line"))
     return lines.withColumn("line", F.trim("line")).filter("line <> ''").withColumn("lh", F.xxhash64("line"))
 
 
@@ -123,12 +125,13 @@ def later_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str
     known = firsts.select("lh", F.struct(F.col("first.i").alias("i"), F.col("first.at").alias("at"), "lh").alias("id"))
     buckets = saved(met.select("key", "lh").distinct().join(known, "lh").select("key", "id"), "buckets")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = checked_broadcast(ids.withColumn("lh", F.col("id.lh")), BROADCAST_IDS)
-        found = lines.join(asked, "lh").filter(F.struct("i", "at") == F.struct("id.i", "id.at")).select(*ids.columns, "line")
-        # only rows that repeat a doc_id can have a line at the same place
-        found = found.dropDuplicates(["id"]) if repeated else found
-        return hashed_words(found, width).select(*ids.columns, tokens(width, ranks).alias("tokens"))
+    ids = checked_broadcast(buckets.select("id").distinct().withColumn("lh", F.col("id.lh")), BROADCAST_IDS)
+    found = lines.join(ids, "lh").filter(F.struct("i", "at") == F.struct("id.i", "id.at")).select("id", "line")
+    # only rows that repeat a doc_id can have a line at the same place
+    texts = saved(found.dropDuplicates(["id"]) if repeated else found, "texts")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return hashed_words(texts.join(checked_broadcast(asked), "id"), width).select(*asked.columns, tokens(width, ranks).alias("tokens"))
 
     gone = later(buckets, sets_of, percent).select("id.lh", F.lit(True).alias("gone"))
     several = firsts.join(gone, "lh", "left").filter("gone or weight > 1")
@@ -145,7 +148,9 @@ def dedup_lines(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str
     gone = saved(found.groupBy("i").agg(F.collect_set(F.struct("at", "lh")).alias("gone")), "later-lines")
     out = docs.select(F.col(doc_id).alias("i"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, "i", "left")
     own = F.col("row").getField(text)
-    out = out.withColumn("lines", F.split(own, "\n")).withColumn("plain", F.when(F.col("gone").isNotNull(), F.split(plain(own), "\n")))
+    # texts that lose nothing need no plain one
+    out = with_plain(out.withColumn("__cut", F.when(F.col("gone").isNotNull(), own)), "__cut", "plain")
+    out = out.withColumn("lines", F.split(own, "\n")).withColumn("plain", F.split("plain", "\n"))
     # rows that repeat a doc_id lose only what they have; plain is named twice, so that it is computed once a text
     mine = F.filter("gone", lambda g: F.col("plain").isNotNull() & (F.xxhash64(F.trim(F.get("plain", g["at"]))) == g["lh"]))
     out = out.withColumn("mine", F.transform(mine, lambda g: g["at"])).withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "mine"))

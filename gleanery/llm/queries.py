@@ -101,6 +101,55 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP7_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), l AS (
+  SELECT x, y FROM p UNION SELECT y, x FROM p
+), r AS (
+  SELECT x AS doc, y AS reached FROM l UNION SELECT r.doc, l.y FROM r JOIN l ON r.reached = l.x
+)
+SELECT doc_id, len(s) AS n_shingles, coalesce(least(doc_id, (SELECT min(reached) FROM r WHERE doc = doc_id)), doc_id) AS component_id FROM s
+"""
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), v AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM w)
+), f AS (
+  SELECT p, min(doc_id) AS first FROM v GROUP BY p
+), g AS (
+  SELECT doc_id, list(DISTINCT place) AS gone FROM (SELECT doc_id, unnest(range(s, s + 13)) AS place FROM v JOIN f USING (p) WHERE first < doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH x AS (
+  SELECT doc_id, spot, doc_id * 1000000 + spot AS place, raw, trim(regexp_replace(regexp_replace(lower(raw), '[\\t\\r\\x0B\\x0C]', ' ', 'g'), ' {2,}', ' ', 'g'), ' ') AS line
+  FROM (SELECT doc_id, ls, ls[spot + 1] AS raw, spot FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS spot FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))
+), f AS (
+  SELECT line, min(place) AS first, string_split(line, ' ') AS w FROM x WHERE line <> '' GROUP BY line
+), d AS (
+  SELECT line, first, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM f WHERE len(w) >= 5
+), e AS (
+  SELECT line, first, len(s) AS n, unnest(s) AS t FROM d
+), l AS (
+  SELECT DISTINCT line FROM (SELECT b.line, b.first FROM e a JOIN e b ON a.t = b.t AND a.first < b.first GROUP BY a.first, b.first, b.line, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*)))
+), k AS (
+  SELECT x.doc_id, x.spot, x.raw, x.line <> '' AND (l.line IS NOT NULL OR x.place > f.first) AS gone FROM x LEFT JOIN f USING (line) LEFT JOIN l USING (line)
+)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(gone) AS m, string_agg(raw, chr(10) ORDER BY spot) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id) USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, quality, substring, token_files, toxicity, urls
+from gleanery.llm import bpe, centroids, decontaminate, filter_audit, licenses, line_dedup, ngram_join, pu_quality, quality, substring, token_files, toxicity, urls
 from gleanery.llm.shared import saved
 
 
@@ -75,8 +75,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of each kept vector; see centroid_clusters."""
+    assigned, last = centroids.centroid_clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, seed=2)
+    return centroids.with_inertia(assigned, last).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def quality_held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row; see score_quality. Neither labels nor unlabelled texts of the fit are held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    models = pu_quality.fit_quality(docs.filter(~quality_held_out()), labels.filter(~quality_held_out()))
+    scored = pu_quality.score_quality(docs, models)
+    return scored.select("doc_id", quality_held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per language, order of the five filters and step; see filter_audit."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bpe, op6_url_filter, op7_ngram_join, op8_substring_dedup, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bpe, op6_url_filter, op7_ngram_join, op8_substring_dedup, op9_token_files, op10_line_dedup, op11_centroids, op12_pu_quality, op13_filter_audit)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,5 +174,60 @@ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(gone) AS m, str
 """
 
 
+def _rounds_sql(rounds: int, k: int) -> str:
+    """Assignment and centroids of each round as one common table after another."""
+    assigned = """a{r} AS (
+  SELECT id, v, c, d FROM (SELECT id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM kept, c{r}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1
+)"""
+    moved = """s{r} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i
+), c{next} AS (
+  SELECT c{r}.c, coalesce(f.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c) f ON f.c = c{r}.c
+)"""
+    first = f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('2:' || id) AS h, v FROM kept ORDER BY h LIMIT {k})
+)"""
+    each = [assigned.format(r=r) + (",\n" + moved.format(r=r, next=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return ",\n".join([first, *each])
+
+
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), {_rounds_sql(5, 40)}
+SELECT id AS vec_id, a5.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.c = c5.c
+"""
+
+OP13_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), j AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN l USING (doc_id)
+), o AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)
+), s AS (
+  SELECT filter_order, step, filter_order[step:step] AS f, filter_order[1:step - 1] AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)
+), c AS (
+  SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM j GROUP BY part, failed
+), r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN translate(failed, before || f, '') = failed THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') <> failed THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_centroids": OP11_SQL, "op13_filter_audit": OP13_SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import rules as R
 from gleanery.operators import merge as M
+from gleanery.operators.ranges import range_join as joined_by_range
 from gleanery.plans.demo import demo
 
 
@@ -154,3 +155,26 @@ def registry_filter(t):
 def keep_pending(t):
     pending = t.orders.filter("o_orderstatus = 'P'").select("o_custkey").distinct()
     return t.orders.join(pending, "o_custkey", "left_semi").select("o_orderkey")
+
+
+_WINDOWS = "SELECT o_custkey, o_orderkey AS opener, o_orderdate AS opens, CASE WHEN o_orderkey % 7 = 0 THEN 900 ELSE o_orderkey % 23 END AS days FROM orders WHERE o_orderpriority LIKE '1%'"
+
+
+def _windows(t):
+    """Urgent orders open a window for their customer: some days for most, years for every seventh."""
+    day = F.datediff("o_orderdate", F.lit("1970-01-01"))
+    days = F.when(F.col("o_orderkey") % 7 == 0, 900).otherwise(F.col("o_orderkey") % 23)
+    ranges = t.orders.filter("o_orderpriority like '1%'").select("o_custkey", F.col("o_orderkey").alias("opener"), day.alias("low"), (day + days).alias("high"))
+    return t.orders.select("o_custkey", "o_orderkey", day.alias("day")), ranges
+
+
+@demo(f"WITH w AS ({_WINDOWS}) SELECT o_orderkey, opener FROM orders JOIN w USING (o_custkey) WHERE date_diff('day', opens, o_orderdate) BETWEEN 0 AND days")
+def range_join(t):
+    points, ranges = _windows(t)
+    return joined_by_range(points, ranges, ["o_custkey"], "day", "low", "high").select("o_orderkey", "opener")
+
+
+@demo(f"WITH w AS ({_WINDOWS}) SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.o_custkey = o.o_custkey AND date_diff('day', opens, o_orderdate) BETWEEN 0 AND days)")
+def range_anti_join(t):
+    points, ranges = _windows(t)
+    return joined_by_range(points, ranges, ["o_custkey"], "day", "low", "high", "left_anti").select("o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import notations as N
 from gleanery.functions import rules as R
 from gleanery.plans.demo import demo
 from gleanery.sources import tables as T
@@ -108,14 +109,36 @@ def year_mentions(t):
     return t.orders.select("o_orderkey", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"))
 
 
-@demo("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 2 THEN 'unknown' WHEN l_quantity % 10 BETWEEN 2 AND 5 THEN 'match' ELSE 'mismatch' END AS evidence FROM lineitem""")
+#: Texts of a record (file, title) that name members a to b of major s, or majors s to u, by notation; and what they name,
+#: as (major low, major high, minor low, minor high), null: nothing. The SQL knows the numbers and never reads the text.
+_NAMED = [
+    ("NULL", "format_string('Show.S%02dE%02d-E%02d.x264', s, a, b)", "s, s, a, CASE WHEN b BETWEEN a AND a + 50 THEN b ELSE a END"),
+    ("format_string('show.%dx%02d.mkv', s, a)", "'Show S09E09 pack'", "s, s, a, a"),
+    ("'5.1x264'", "format_string('Show %dx%02d-%02d', s, a, b)", "s, s, a, CASE WHEN b BETWEEN a AND a + 50 THEN b ELSE a END"),
+    ("'plain'", "format_string('Show [Cap.%d%02d_%d%02d]', s, a, s, b)", "s, s, a, CASE WHEN b BETWEEN a AND a + 50 THEN b ELSE a END"),
+    ("format_string('s%de%d', s, a)", "NULL", "s, s, a, a"),
+    ("'x'", "format_string('Show S%02d-S%02d 1080p', s, u)", "s, u, NULL, NULL"),
+    ("NULL", "format_string('Show temporadas %d a %d', s, u)", "s, u, NULL, NULL"),
+    ("NULL", "format_string('Show T%02d completa', s)", "s, s, NULL, NULL"),
+    ("'T4 in a file name tells nothing'", "'H.264 5.1x264 (2004)'", "NULL, NULL, NULL, NULL"),
+    ("NULL", "format_string('S%02dE%02dE%02d', s, a, b)", "s, s, a, CASE WHEN b BETWEEN a AND a + 50 THEN b ELSE a END"),
+]
+_MEMBERS = "1 + l_orderkey % 4 AS s, 3 + l_orderkey % 4 AS u, 2 + l_suppkey % 30 AS a, CASE WHEN l_partkey % 11 = 0 THEN 99 ELSE 2 + l_partkey % 40 END AS b, 1 + l_partkey % 5 AS major, 1 + l_suppkey % 37 AS minor"
+_SPANS = " ".join(f"WHEN {k} THEN [{named}]" for k, (_, _, named) in enumerate(_NAMED))
+
+
+@demo(f"""WITH m AS (SELECT *, {_MEMBERS} FROM lineitem), r AS (SELECT *, CASE (l_partkey + l_linenumber) % {len(_NAMED)} {_SPANS} END AS r FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN r[1] IS NULL OR l_suppkey % 17 = 0 THEN 'unknown' WHEN major BETWEEN r[1] AND r[2] AND (r[3] IS NULL OR minor BETWEEN r[3] AND r[4]) THEN 'match' ELSE 'mismatch' END AS evidence FROM r""")
 def range_match(t):
-    # notations of a range of members; absurd ranges (reversed, or of over 50) don't count
-    text = F.when(F.col("l_linenumber") % 3 == 0, "Show S01E02-E05 x").when(F.col("l_linenumber") % 3 == 1, "Show 1x02-05 x").otherwise("Show S01E90-E05")
-    member = (F.col("l_quantity") % 10).cast("int")
-    ranges = F.concat(*(F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x: x.try_cast("int")).alias("a"), F.transform(F.regexp_extract_all(text, F.lit(p), 2), lambda x: x.try_cast("int")).alias("b")) for p in (r"S[0-9]{1,2}E([0-9]{1,3})-E?([0-9]{1,3})", r"[0-9]{1,2}x([0-9]{2,3})-([0-9]{2,3})")))
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", member.alias("m"), ranges.alias("r")).withColumn("r", F.filter("r", lambda x: (x["a"] <= x["b"]) & (x["b"] - x["a"] <= 50)))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.size("r") == 0, "unknown").when(F.exists("r", lambda x: F.col("m").between(x["a"], x["b"])), "match").otherwise("mismatch").alias("evidence"))
+    # members are named in the file name or the title, in many notations; every 17th supplier's member is not known
+    rows = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *_MEMBERS.split(", "))
+    form = (F.col("l_partkey") + F.col("l_linenumber")) % len(_NAMED)
+    file, title = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (f, x, _) in enumerate(_NAMED):
+        file, title = F.when(form == k, F.expr(f)).otherwise(file), F.when(form == k, F.expr(x)).otherwise(title)
+    minor = F.when(F.col("l_suppkey") % 17 != 0, F.col("minor"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "major", minor.alias("minor"), file.alias("file"), title.alias("title"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.member_evidence(F.col("major"), F.col("minor"), F.col("file"), F.col("title")).alias("evidence"))
 
 
 @demo("""SELECT doc_id, CASE WHEN lang = 'es' AND source = 'src1' THEN 3 WHEN lang = 'es' THEN 2 WHEN contains(text, 'que') THEN 1 ELSE 0 END AS es_tier, CASE WHEN lang = 'en' THEN 2 WHEN contains(text, 'the') THEN 1 ELSE 0 END AS en_tier FROM documents""")

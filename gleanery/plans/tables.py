@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from gleanery.functions.rules import csv_guarded
 from gleanery.operators import merge as M
 from gleanery.plans.demo import DEMOS, demo
+from gleanery.sources.tables import scratch
 from gleanery.streaming import stateful, streams
+from gleanery.streaming.breakers import COUNTERS, breaker_stream
+from gleanery.streaming.first_wins import first_wins
+from gleanery.streaming.upserts import UpsertTable, upsert_stream
 
 _DELTA = "SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice + 1 END AS o_totalprice, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"
 
@@ -106,9 +110,19 @@ def stream_ingest(t):
     return streams.ingested(t.spark, f"{t.sf_dir}/events.parquet").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@demo("SELECT user_id, event_type, min(event_id) > -1 AS seen FROM events GROUP BY ALL")
+_ADMITTED = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, event_type, ts, event_id, value, rn, ts AS won_at, true AS won FROM r WHERE rn = 1
+UNION ALL SELECT r.user_id, r.event_type, r.ts, r.event_id, r.value, r.rn, CASE WHEN r.ts >= won_at + INTERVAL 2 DAY THEN r.ts ELSE won_at END, r.ts >= won_at + INTERVAL 2 DAY FROM f JOIN r ON r.user_id = f.user_id AND r.event_type = f.event_type AND r.rn = f.rn + 1)
+SELECT user_id, event_type, ts, event_id, value FROM f WHERE won"""
+
+
+@demo(_ADMITTED)
 def stream_dedupe(t):
-    return streams.first_wins(t.spark, f"{t.sf_dir}/events.parquet", ["user_id", "event_type"]).select("user_id", "event_type", F.lit(True).alias("seen"))
+    # of each user and kind the first event wins for two days; events come in three batches by time
+    events = t.events.select("user_id", "event_type", "ts", "event_id", "value")
+    rows = streams.in_slices(events.withColumn("day", F.unix_date(F.to_date("ts"))), "day", 3).drop("day")
+    won = first_wins(rows, ["user_id", "event_type"], "ts", "event_id", within=2 * 86_400_000_000)
+    return won.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @demo("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
@@ -116,9 +130,42 @@ def stream_metrics(t):
     return streams.windowed_metrics(t.spark, f"{t.sf_dir}/events.parquet", "1 hour")
 
 
-@demo("SELECT user_id, max(event_id) AS last_id, count(*) AS n_rows FROM events GROUP BY user_id")
+_FIRST = "(SELECT user_id, CASE WHEN event_type <> 'view' THEN value END AS value, event_type, ts, event_id // ((SELECT max(event_id) - min(event_id) FROM events) // 3 + 1) AS slice FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY slice, user_id ORDER BY ts, event_id) = 1)"
+
+
+@demo(f"""WITH b AS {_FIRST} SELECT user_id, arg_max(value, slice) AS value, arg_max(event_type, slice) AS event_type, arg_max(ts, slice) AS ts FROM b GROUP BY user_id""")
 def stream_upsert(t):
-    return streams.upserted(t.spark, f"{t.sf_dir}/events.parquet")
+    return _upserted(t).rows().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@demo(f"""WITH s AS (SELECT *, event_id // ((SELECT max(event_id) - min(event_id) FROM events) // 3 + 1) AS slice FROM events), b AS {_FIRST},
+o AS (SELECT slice, CASE WHEN EXISTS (SELECT 1 FROM b e WHERE e.user_id = b.user_id AND e.slice < b.slice) THEN 'updated' ELSE 'inserted' END AS outcome FROM b
+UNION ALL SELECT slice, 'invalid' FROM s WHERE event_type = 'error'
+UNION ALL SELECT slice, 'duplicate' FROM (SELECT slice, row_number() OVER (PARTITION BY slice, user_id ORDER BY ts, event_id) AS rn FROM s WHERE event_type <> 'error') WHERE rn > 1)
+SELECT slice AS batch, outcome, count(*) AS n FROM o GROUP BY ALL""")
+def stream_upsert_counters(t):
+    return _upserted(t).counters()
+
+
+def _upserted(t):
+    """One row per user after three batches by event_id: of a batch the user's first event that is no error; a view tells no value."""
+    rows = streams.in_slices(t.events, "event_id", 3)
+    rows = rows.select("user_id", F.when(F.col("event_type") != "view", F.col("value")).alias("value"), "event_type", "ts", "event_id")
+    state = UpsertTable(t.spark, scratch(t.spark), "user_id bigint, value double, event_type string, ts timestamp", "user_id", buckets=16)
+    return upsert_stream(rows, state, F.col("event_type") != "error", [F.col("ts"), F.col("event_id")])
+
+
+@demo("""WITH RECURSIVE r AS (SELECT user_id, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, 0 AS ok, 0 AS errors, 0 AS skipped, 0 AS opened, 0 AS streak, TIMESTAMP '1900-01-01' AS until FROM events
+UNION ALL SELECT f.user_id, r.rn, ok + (ts >= until AND NOT bad)::INT, errors + (ts >= until AND bad)::INT, skipped + (ts < until)::INT, opened + (ts >= until AND bad AND streak = 1)::INT,
+CASE WHEN ts < until THEN 0 WHEN bad AND streak = 0 THEN 1 ELSE 0 END, CASE WHEN ts >= until AND bad AND streak = 1 THEN ts + INTERVAL 1 DAY ELSE until END
+FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)
+SELECT user_id, max(ok) AS ok, max(errors) AS errors, max(skipped) AS skipped, max(opened) AS opened FROM f GROUP BY user_id""")
+def stream_breaker(t):
+    # two errors in a row stop a user for a day; then the user may try again. Events come in two batches by time
+    rows = streams.in_slices(t.events.select("user_id", "ts", "event_id", "event_type", F.unix_date(F.to_date("ts")).alias("day")), "day", 2)
+    found = breaker_stream(rows, "user_id", "ts", "event_id", F.col("event_type") == "error", most=2, cool_down=86_400_000_000)
+    return found.select("user_id", *COUNTERS)
 
 
 @demo(DEMOS["failure_streaks"][1])

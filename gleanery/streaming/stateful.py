@@ -68,29 +68,42 @@ class Progress(StatefulProcessor):
         pass
 
 
-def latest_states(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """The last state that the processor gives for each user_id of a stream, after all that there is now."""
+def keyed_stream(rows: DataFrame, processor: StatefulProcessor, schema: str, *, keys: list[str], time_mode: str = "None", mode: str = "Update", root: str | None = None, progress: list | None = None) -> DataFrame:
+    """What the processor gives for the keys of a stream, after all that there is now, with the number of the batch.
+
+    Each batch is a table of its own number, so that a repeated batch takes the place of its first try. A root that is given
+    again goes on from its checkpoint, and all batches so far come back. progress gets what Spark tells of each batch.
+    """
     spark = rows.sparkSession
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    package = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
-    out, before = scratch(spark), spark.conf.get(PROVIDER, None)
+    if package not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), package]))
+    out, before = (root or scratch(spark)).rstrip("/"), spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        states = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
+        states = rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode)
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-        states.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        query = states.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").outputMode(mode.lower()).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress.extend(query.recentProgress)
     finally:
         if before is None:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    found = spark.read.schema(f"{schema}, batch bigint").parquet(out)
-    return found.groupBy("user_id").agg(*(F.max_by(c, "batch").alias(c) for c in found.columns if c not in ("user_id", "batch")))
+    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{out}/rows")
+
+
+def latest_states(rows: DataFrame, processor: StatefulProcessor, schema: str, *, key: str = "user_id", time_mode: str = "None", root: str | None = None) -> DataFrame:
+    """The last state that the processor gives for each key of a stream; the column seq, if there is one, orders rows of a batch."""
+    found = keyed_stream(rows, processor, schema, keys=[key], time_mode=time_mode, root=root)
+    order = F.struct(*(c for c in ("batch", "seq") if c in found.columns))
+    return found.groupBy(key).agg(*(F.max_by(c, order).alias(c) for c in found.columns if c not in (key, "batch")))
 
 
 def streak_stream(spark: SparkSession, path: str, most: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming twins: ingest each file once, first wins, windowed metrics, upserts by batch, progress."""
+"""Streaming twins: ingest each file once, windowed metrics, progress."""
 
 from __future__ import annotations
 
@@ -15,6 +15,20 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return instants(spark.readStream.schema(schema).parquet(f"{path}*"))  # a pattern, so that a single file will do
 
 
+def in_slices(df: DataFrame, order: str, slices: int) -> DataFrame:
+    """A stream that brings the rows of df slice by slice, in order of a column of whole numbers, a micro-batch each.
+
+    Each slice is written by itself, so that its files are newer than those before.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    ends = df.agg(F.min(order), F.max(order)).first()
+    low, high = (0, 0) if ends[0] is None else ends
+    step = (high - low) // slices + 1
+    for k in range(slices):
+        df.filter((F.col(order) >= low + k * step) & (F.col(order) < low + (k + 1) * step)).coalesce(1).write.parquet(f"{path}/slice={k}")
+    return instants(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/slice=*"))
+
+
 def run(stream: DataFrame, mode: str) -> DataFrame:
     """All that there is now, written as a table in the shared folder; restarts go on from the checkpoint beside it."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
@@ -34,36 +48,12 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
     return run(source(spark, path), "append")
 
 
-def first_wins(spark: SparkSession, path: str, keys: list[str], *, time: str = "ts", within: str = "3650 days") -> DataFrame:
-    """The first row of each key that comes within so long; state older than that is dropped."""
-    return run(source(spark, path).withWatermark(time, within).dropDuplicatesWithinWatermark(keys), "append")
-
-
 def windowed_metrics(spark: SparkSession, path: str, every: str, *, time: str = "ts") -> DataFrame:
     """Counts and sums per kind and tumbling window, all windows as they stand (complete mode)."""
     stream = source(spark, path).withWatermark(time, "1 day").groupBy("event_type", F.window(time, every).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return run(stream.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total"), "complete")
 
 
-def upserted(spark: SparkSession, path: str) -> DataFrame:
-    """State per user after all batches. A batch writes the state of its number, so a repeated batch changes nothing."""
-    root = scratch(spark)
-    empty = spark.createDataFrame([], "user_id bigint, last_id bigint, n_rows bigint")
-    empty.write.parquet(f"{root}/v0")
-    last = [0]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.count("*").alias("n_rows"))
-        old = spark.read.schema(empty.schema).parquet(f"{root}/v{number}")
-        both = old.unionByName(new).groupBy("user_id").agg(F.max("last_id").alias("last_id"), F.sum("n_rows").alias("n_rows"))
-        both.write.mode("overwrite").parquet(f"{root}/v{number + 1}")
-        last[0] = number + 1
-
-    query = source(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(empty.schema).parquet(f"{root}/v{last[0]}")
-
-
 def advanced(old: DataFrame, new: DataFrame, key: str, *, complete_at: int) -> DataFrame:
     """Progress after a run: counts add up, the first start stays, what has enough is complete."""
     n = new.select(key, *(F.col(c).alias(f"__{c}") for c in ("done", "last_id", "started_at")))

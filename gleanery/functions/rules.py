@@ -74,11 +74,16 @@ def title_key(text: Column) -> Column:
     return F.when((key != "") & ~key.rlike(r"^tt[0-9]+$"), key)
 
 
-def base_name(text: Column) -> Column:
-    """A name without what qualifies it: a year in brackets or a member tag at its end, and what follows the tag."""
-    name = F.regexp_replace(text, r"(?i)[\s–-]+s[0-9]{1,2}e[0-9]{1,3}(?![0-9a-z]).*$", "")
-    name = F.trim(F.regexp_replace(name, r"\s*\([0-9]{4}(?:[-–][0-9]{0,4})?\)\s*$", ""))
-    return F.when(name != "", name).otherwise(text)
+#: Fixed value: tags behind a name, and all that follows them.
+NAME_TAG = r"(?i)\s*[-–—:|,]?\s*(?:(?:temporadas?|seasons?|temp\.?|saison)(?:\s*[0-9]|\s+complet)|t[0-9]{1,2}(?![A-Za-z0-9_])|s[0-9]{1,2}(?:\s*e[0-9]{1,3})?(?![A-Za-z0-9_])|[0-9]{1,2}x[0-9]{2,3}(?![A-Za-z0-9_])).*$"
+
+
+def base_name(text: Column, known: Column | None = None) -> Column:
+    """A name without what qualifies it: a member or major tag ('S01E02', 'season 2', 'T4', '1x02') and what follows it, or a
+    year in brackets at its end; the known name, or null, where nothing is left."""
+    name = F.regexp_replace(text, NAME_TAG, "")
+    name = F.nullif(F.trim(F.regexp_replace(name, r"\s*\([0-9]{4}(?:[-–][0-9]{0,4})?\)\s*$", "")), F.lit(""))
+    return name if known is None else F.coalesce(name, known)
 
 
 def target(text: Column) -> Column:

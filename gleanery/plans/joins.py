@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import rules as R
 from gleanery.operators import merge as M
+from gleanery.operators.expand import expand_requests as expanded_requests
 from gleanery.operators.ranges import range_join as joined_by_range
 from gleanery.plans.demo import demo
 
@@ -178,3 +179,62 @@ def range_join(t):
 def range_anti_join(t):
     points, ranges = _windows(t)
     return joined_by_range(points, ranges, ["o_custkey"], "day", "low", "high", "left_anti").select("o_orderkey")
+
+
+_EXPANSION = """WITH ent AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 7 = 0 THEN 'single' ELSE 'group' END AS kind, c_name AS name, 1992 + c_nationkey % 7 AS year FROM customer WHERE c_custkey % 11 <> 3),
+req AS (SELECT c_custkey AS entity, c_custkey AS ord, CASE WHEN c_custkey % 6 = 3 THEN 'single' ELSE 'group' END AS kind, CASE c_custkey % 6 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 0 END AS major, CASE WHEN c_custkey % 6 = 2 THEN 5 END AS minor,
+CASE c_custkey % 3 WHEN 1 THEN 'Label ' || c_custkey || ' S02E01' WHEN 2 THEN c_name || ' (' || (1992 + c_nationkey % 7 + 3) || ')' END AS label FROM customer WHERE c_custkey % 5 <> 4
+UNION ALL SELECT c_custkey, 1000000000 + c_custkey, 'group', 1, 3, 'Extra' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 2000000000 + c_custkey, 'single', NULL, NULL, c_name || ' (2020)' FROM customer WHERE c_custkey % 14 = 0),
+mem AS (SELECT o_custkey AS entity, year(o_orderdate) - 1992 AS major, month(o_orderdate) AS minor, arg_min(o_orderpriority, o_orderkey) AS title FROM orders WHERE o_orderdate <= TIMESTAMP '1997-07-01' GROUP BY ALL),
+fal AS (SELECT c_custkey AS entity, m // 10 AS major, m % 10 AS minor, NULL AS title FROM customer, (SELECT unnest([11, 12, 13, 21]) AS m) WHERE c_custkey % 2 = 0),
+don AS (SELECT DISTINCT o_custkey AS entity, year(o_orderdate) - 1992 AS major, month(o_orderdate) AS minor FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0),
+ask AS (SELECT r.*, e.kind AS known, e.name, e.year, CASE WHEN r.kind = 'group' AND e.kind = 'single' THEN 'conflict' WHEN r.kind = 'group' AND major IS NULL OR r.kind = 'single' AND e.kind = 'group' THEN 'whole' WHEN r.kind = 'single' THEN 'single' WHEN minor IS NOT NULL THEN 'member' ELSE 'major' END AS grain,
+coalesce(CASE WHEN label LIKE 'Label %' THEN 'Label ' || r.entity WHEN label LIKE '% (%' THEN left(label, length(label) - 7) ELSE label END, e.name, CAST(r.entity AS VARCHAR)) AS shown FROM req r LEFT JOIN ent e USING (entity)),
+own AS (SELECT ord, entity, shown, m.major, m.minor, title FROM ask JOIN mem m USING (entity) WHERE grain = 'whole' AND m.major >= 1 OR grain = 'major' AND m.major = ask.major),
+exp AS (SELECT * FROM own UNION ALL SELECT ord, entity, shown, m.major, m.minor, title FROM ask JOIN fal m USING (entity) WHERE ord NOT IN (SELECT ord FROM own) AND (grain = 'whole' AND m.major >= 1 OR grain = 'major' AND m.major = ask.major)),
+pen AS (SELECT exp.* FROM exp ANTI JOIN don USING (entity, major, minor)),
+cnt AS (SELECT ord, count(*) AS n, (SELECT count(*) FROM pen WHERE pen.ord = exp.ord) AS pending, (SELECT count(DISTINCT major) FROM pen WHERE pen.ord = exp.ord) AS majors FROM exp GROUP BY ord)"""
+
+
+def _requests(t, **limits):
+    """Customers as entities, their orders as members (year, month): requests of every grain, conflicts and repeats among them."""
+    c, key = t.customer, F.col("c_custkey")
+    year, entity = (1992 + F.col("c_nationkey") % 7).cast("int"), key.alias("entity")
+    entities = c.filter("c_custkey % 11 <> 3").select(entity, F.when(key % 7 == 0, "single").otherwise("group").alias("kind"), F.col("c_name").alias("name"), year.alias("year"), F.lit(None).cast("int").alias("year_end"))
+    label = F.when(key % 3 == 1, F.concat(F.lit("Label "), key, F.lit(" S02E01"))).when(key % 3 == 2, F.concat("c_name", F.lit(" ("), year + 3, F.lit(")")))
+    major = F.when(key % 6 == 1, 2).when(key % 6 == 2, 3).when(key % 6 == 4, 0)
+    requests = c.filter("c_custkey % 5 <> 4").select(entity, key.alias("ord"), F.when(key % 6 == 3, "single").otherwise("group").alias("kind"), major.alias("major"), F.when(key % 6 == 2, 5).alias("minor"), label.alias("label"))
+    none = F.lit(None).cast("int")
+    requests = requests.unionByName(c.filter("c_custkey % 4 = 0").select(entity, (1_000_000_000 + key).alias("ord"), F.lit("group").alias("kind"), F.lit(1).alias("major"), F.lit(3).alias("minor"), F.lit("Extra").alias("label")))
+    requests = requests.unionByName(c.filter("c_custkey % 14 = 0").select(entity, (2_000_000_000 + key).alias("ord"), F.lit("single").alias("kind"), none.alias("major"), none.alias("minor"), F.concat("c_name", F.lit(" (2020)")).alias("label")))
+    at = [F.col("o_custkey").alias("entity"), (F.year("o_orderdate") - 1992).alias("major"), F.month("o_orderdate").alias("minor")]
+    members = t.orders.select(*at, F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("released"), F.col("o_orderkey").alias("pos"))
+    spare = F.explode(F.array(*(F.struct(F.lit(a).alias("major"), F.lit(b).alias("minor")) for a, b in ((1, 1), (1, 2), (1, 3), (2, 1))))).alias("m")
+    fallback = c.filter("c_custkey % 2 = 0").select(entity, spare).select("entity", "m.*", F.lit(None).cast("string").alias("title"), F.lit(None).cast("timestamp_ntz").alias("released"), F.lit(0).alias("pos"))
+    done = t.orders.filter("o_orderstatus = 'F' and o_orderkey % 3 = 0").select(*at)
+    return expanded_requests(requests, entities, members, now=F.expr("timestamp_ntz'1997-06-30 00:00:00'"), fallback=fallback, done=done, **limits)
+
+
+_TAG = "shown || printf(' S%02dE%02d', {0}.major, {0}.minor) || coalesce(' – ' || title, '')"
+_ALONE = f"""one AS (SELECT 'group' AS kind, ask.entity, ask.major, ask.minor, coalesce(label, {_TAG.format("ask")}) AS label, ord FROM ask LEFT JOIN mem m ON m.entity = ask.entity AND m.major = ask.major AND m.minor = ask.minor WHERE grain = 'member'
+UNION ALL SELECT 'single', entity, NULL, NULL, coalesce(label, name || ' (' || year || ')'), ord FROM ask WHERE grain = 'single')"""
+_ONCE = "SELECT kind, entity, major, minor, coalesce(arg_min(label, ord) FILTER (label <> CAST(entity AS VARCHAR) AND label <> ''), arg_min(label, ord)) AS label, min(ord) AS ord FROM every GROUP BY kind, entity, major, minor"
+
+
+@demo(f"""{_EXPANSION}, {_ALONE}, every AS (SELECT 'group' AS kind, entity, major, minor, {_TAG.format("pen")} AS label, ord FROM pen UNION ALL SELECT * FROM one) {_ONCE}""")
+def expand_requests(t):
+    return _requests(t)[0]
+
+
+@demo(f"""{_EXPANSION}, {_ALONE}, cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord, major, minor) AS turn, min(ord) OVER (PARTITION BY entity) AS first FROM pen) ORDER BY turn, first, entity LIMIT 230),
+every AS (SELECT 'group' AS kind, entity, major, minor, {_TAG.format("cap")} AS label, ord FROM cap UNION ALL SELECT * FROM one) {_ONCE}""")
+def expand_capped(t):
+    # the cap shares expanded members out among entities; explicit ones come in any case
+    return _requests(t, most=230)[0]
+
+
+@demo(f"""{_EXPANSION}, w AS (SELECT entity, ord, name, year, label, known, coalesce(n, 0) AS n, coalesce(pending, 0) AS pending, majors, CASE WHEN grain = 'conflict' THEN 'type_conflict' WHEN grain IN ('whole', 'major') AND coalesce(n, 0) = 0 THEN 'no_members' WHEN grain IN ('whole', 'major') AND pending = 0 THEN 'all_done'
+WHEN grain = 'whole' AND kind = 'single' AND n = pending THEN 'expanded' WHEN grain = 'single' AND regexp_extract(label, '[(]([0-9]{{4}})[)]', 1) <> '' AND NOT CAST(regexp_extract(label, '[(]([0-9]{{4}})[)]', 1) AS INT) BETWEEN year - 1 AND year + 1 THEN 'label_mismatch' END AS reason FROM ask LEFT JOIN cnt USING (ord))
+SELECT 'expand' AS stage, entity, reason, CASE reason WHEN 'no_members' THEN CASE WHEN known IS NULL THEN 'not known' ELSE 'none available' END WHEN 'expanded' THEN majors || ' majors, ' || pending || ' members' ELSE coalesce(name || ' (' || year || ')', CAST(entity AS VARCHAR)) END AS detail, ord FROM w WHERE reason IS NOT NULL""")
+def expansion_warnings(t):
+    return _requests(t)[1]

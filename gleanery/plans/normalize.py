@@ -187,10 +187,16 @@ def target_parse(t):
     return t.orders.select("o_orderkey", R.target(text).alias("t")).select("o_orderkey", "t.id", "t.major", "t.minor")
 
 
-@demo("SELECT p_partkey, p_name AS base FROM part")
+#: Behind a name, or alone where the name is missing.
+_TAGS = [" (1999–2004)", " S01E02 – a title", " – Temporada 1 completa", ": season 2", " T4", ", 1x02 x", "", " S03", " | seasons complete"]
+
+
+@demo(f"SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 AND p_partkey % {len(_TAGS)} IN (2, 3, 5, 8) THEN 'known ' || p_partkey ELSE p_name END AS base FROM part WHERE p_partkey % 10 < 9 OR p_partkey % {len(_TAGS)} IN (2, 3, 5, 8)")
 def base_name(t):
-    qualified = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (1999–2004)"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" S01E02 – a title"))).otherwise(F.col("p_name"))
-    return t.part.select("p_partkey", R.base_name(qualified).alias("base"))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("p_partkey") % len(_TAGS) + 1).cast("int"))
+    bare = F.col("p_partkey") % 10 == 9  # no name before the tag: the known one
+    rows = t.part.filter(~bare | (F.col("p_partkey") % len(_TAGS)).isin(2, 3, 5, 8))
+    return rows.select("p_partkey", R.base_name(F.concat(F.when(bare, "").otherwise(F.col("p_name")), tag), F.concat(F.lit("known "), "p_partkey")).alias("base"))
 
 
 @demo("""SELECT o_orderkey, year(o_orderdate) + o_orderkey % 4 AS label_year, NOT (year(o_orderdate) + o_orderkey % 4 BETWEEN year(o_orderdate) - 1 AND CASE WHEN o_orderstatus = 'O' THEN 9999 ELSE year(o_orderdate) + 1 END) AS mismatch FROM orders""")

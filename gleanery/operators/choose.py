@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.components import connected_components
 from gleanery.sources.tables import saved
 
 
@@ -30,22 +31,71 @@ def exclusive_slots(df: DataFrame, entity: list[str], key: str, slots: list[tupl
     return out
 
 
-def greedy_unique(df: DataFrame, key1: str, key2: str, order: list[Column], rounds: int = 100) -> DataFrame:
-    """Rows that a walk in the given (total) order keeps if neither key may repeat among kept rows.
+#: A round of greedy_unique that decides less than this share of the rows is the last one.
+LEAST_SHARE = 0.1
 
-    Rounds: rows that are first in both their groups are kept; rows that share a key with a kept one go. Each round is
-    a table in the shared folder; more than so many rounds raise an error.
+
+def greedy_unique(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows that a walk in the given (total) order keeps if no key may repeat among kept rows; a null key repeats nothing.
+
+    Rounds: rows that are first in all their groups are kept; rows that share a key with a kept one go. Where groups cross at
+    random each round decides a good part of the rows. Long chains, of which a round decides the head only, are left to a
+    walk of each connected component: components by stars, each in one task, row by row in order with the keys it has kept
+    so far in memory. No number of rounds or length of chain is too large; a single chain that holds most of a large table
+    would be walked by one task, as the walk of a chain has no order but its own.
     """
     rest = saved(df.withColumn("__place", F.struct(*order)))
-    kept = None
-    for _ in range(rounds):
-        first = rest.withColumn("__a", F.min("__place").over(Window.partitionBy(key1))).withColumn("__b", F.min("__place").over(Window.partitionBy(key2)))
-        won = saved(first.filter("__place = __a and __place = __b").drop("__a", "__b"))
-        kept = won if kept is None else kept.unionByName(won)
-        rest = saved(rest.join(won.select(key1), key1, "left_anti").join(won.select(key2), key2, "left_anti"))
-        if rest.isEmpty():
-            return kept.drop("__place")
-    raise RuntimeError(f"undecided rows after {rounds} rounds")
+    n = rest.count()
+    kept = rest.limit(0)
+    while n:
+        first, wins = rest, F.lit(True)
+        for k, key in enumerate(keys):
+            least = rest.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("__place").alias(f"__first{k}"))
+            first = first.join(least, key, "left")
+            wins = wins & (F.col(key).isNull() | (F.col("__place") == F.col(f"__first{k}")))
+        won = saved(first.filter(wins).select(rest.columns))
+        kept = kept.unionByName(won)
+        for key in keys:
+            rest = rest.join(won.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
+        rest = saved(rest.join(won.filter(_none(keys)).select("__place"), "__place", "left_anti").select(won.columns))
+        left = rest.count()
+        if left and n - left < LEAST_SHARE * n:
+            return kept.unionByName(_walked(rest, keys)).select(df.columns)
+        n = left
+    return kept.select(df.columns)
+
+
+def _none(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(key).isNull()
+    return out
+
+
+def _walked(rest: DataFrame, keys: list[str]) -> DataFrame:
+    """The walk in each connected component of rows that share keys."""
+    nodes = [F.when(F.col(key).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(key).cast("string"))) for k, key in enumerate(keys)]
+    rows = rest.withColumn("__node", F.coalesce(*nodes))
+    edges = rows.select("__node", F.explode(F.array(*nodes)).alias("other")).filter("other is not null")
+    found = connected_components(edges, "__node", "other").select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    joined = rows.join(found, "__node").repartition("__component").sortWithinPartitions("__component", "__place")
+
+    def walk(batches):
+        component, used = None, [set() for _ in keys]
+        for batch in batches:
+            values = [batch.column(key).to_pylist() for key in keys]
+            keep = []
+            for n, own in enumerate(batch.column("__component").to_pylist()):
+                if own != component:
+                    component, used = own, [set() for _ in keys]
+                row = [v[n] for v in values]
+                if not any(x is not None and x in u for x, u in zip(row, used, strict=True)):
+                    keep.append(n)
+                    for x, u in zip(row, used, strict=True):
+                        u.add(x)
+            yield batch.take(keep)
+
+    return joined.mapInArrow(walk, joined.schema).select(rest.columns)
 
 
 def cap_and_fill(df: DataFrame, stratum: str, order: list[Column], cap: int, target: int) -> DataFrame:

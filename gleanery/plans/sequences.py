@@ -38,11 +38,23 @@ def exclusive_slots(t):
     return C.exclusive_slots(ranked(t), ["source"], "doc_id", slots).select("source", "doc_id", "slot")
 
 
-@demo()
+def _greedy_sql(rounds: int) -> str:
+    """The walk as rounds, one common table after another: rows first in both their groups stay, rows that share a key with one go.
+
+    Rounds after the last that finds something find nothing; a table of 60,000 rows takes about ten.
+    """
+    tables = ["r0 AS MATERIALIZED (SELECT DISTINCT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem)"]
+    for k in range(rounds):
+        tables.append(f"k{k} AS MATERIALIZED (SELECT * FROM r{k} QUALIFY place = min(place) OVER (PARTITION BY l_partkey) AND place = min(place) OVER (PARTITION BY l_orderkey))")
+        tables.append(f"r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} WHERE l_partkey NOT IN (SELECT l_partkey FROM k{k}) AND l_orderkey NOT IN (SELECT l_orderkey FROM k{k}))")
+    return "WITH " + ", ".join(tables) + " " + " UNION ALL ".join(f"SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM k{k}" for k in range(rounds))
+
+
+@demo(_greedy_sql(30))
 def greedy_two_key(t):
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     rows = t.lineitem.select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    return C.greedy_unique(rows, "l_partkey", "l_orderkey", order)
+    return C.greedy_unique(rows, ["l_partkey", "l_orderkey"], order)
 
 
 @demo("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) SELECT p_partkey, p_brand, place FROM r ORDER BY place > 3, place, p_brand LIMIT 100""")

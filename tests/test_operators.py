@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import rules as R
 from gleanery.operators import choose, merge, streaks
+from gleanery.operators.components import connected_components
+from gleanery.operators.rank import ranked
 from gleanery.sources import tables
 
 
@@ -37,7 +39,57 @@ def test_greedy_unique_is_the_walk(spark):
         if x not in a and y not in b:
             a.add(x), b.add(y), want.append(i)
     df = spark.createDataFrame(rows, "i int, x int, y int").repartition(5)
-    assert sorted(r["i"] for r in choose.greedy_unique(df, "x", "y", [F.col("i")]).collect()) == want
+    assert sorted(r["i"] for r in choose.greedy_unique(df, ["x", "y"], [F.col("i")]).collect()) == want
+
+
+def walked(rows):
+    used, out = [set(), set(), set()], []
+    for i, *keys in rows:
+        if not any(k is not None and k in u for k, u in zip(keys, used, strict=False)):
+            out.append(i)
+            for k, u in zip(keys, used, strict=False):
+                u.add(k)
+    return out
+
+
+def test_greedy_unique_walks_long_chains(spark):
+    """10,000 rows of which each shares a key with the next one, in an order that no round decides, and others beside them."""
+    rng = random.Random(16)
+    chain = [(i, f"x{(i + 1) // 2}", f"y{i // 2}", None) for i in range(10_000)]
+    others = [(10_000 + i, rng.choice([None, f"a{rng.randrange(40)}"]), rng.choice([None, f"b{rng.randrange(40)}"]), rng.choice([None, f"c{rng.randrange(90)}"])) for i in range(400)]
+    rows = [*chain, *others, (20_000, None, None, None), (20_001, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, x string, y string, z string").repartition(5)
+    assert sorted(r["i"] for r in choose.greedy_unique(df, ["x", "y", "z"], [F.col("i")]).collect()) == walked(rows)
+    assert choose.greedy_unique(df.limit(0), ["x", "y"], [F.col("i")]).count() == 0
+
+
+def test_components_are_those_of_the_graph(spark):
+    rng = random.Random(18)
+    edges = [(k, k + 1) for k in range(100, 400)] + [(1000, k) for k in range(1001, 1200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5), (None, 6), (7, None)]
+    rng.shuffle(edges)
+    leader = {}
+
+    def find(x):
+        while leader.setdefault(x, x) != x:
+            x = leader[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((find(a), find(b)))
+            leader[high] = low
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a int, b int").repartition(4), "a", "b").collect()}
+    assert got == {x: find(x) for x in leader}
+
+
+def test_ranks_are_places(spark):
+    rng = random.Random(19)
+    rows = [(rng.choice([None, *range(50)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "a int, i int").repartition(7)
+    got = [(r["a"], r["i"]) for r in sorted(ranked(df, [F.desc_nulls_last("a"), F.asc("i")]).collect(), key=lambda r: r["place"])]
+    assert got == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted(r["place"] for r in ranked(df, [F.col("i")]).collect()) == list(range(1, 701))
+    assert ranked(df.limit(0), [F.col("i")]).count() == 0
 
 
 def test_failure_streaks_are_the_loop(spark):

@@ -116,3 +116,13 @@ def consensus(df: DataFrame, keys: list[str], value: str, least: int = 3) -> Dat
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("support"))
     best = counts.withColumn("total", F.sum("support").over(Window.partitionBy(*keys))).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("support"), value))).filter("rn = 1")
     return best.select(*keys, F.when((F.col("support") >= least) & (2 * F.col("support") >= F.col("total")), F.col(value)).alias(value), "support", "total")
+
+
+def priority_union(tiers: list[DataFrame], key: str, order: str, keep: list[str] = ()) -> DataFrame:
+    """One row per key of tables in order of priority: that of the first tier that has the key, its first by the order column, with tier
+    (from 1) and the kept columns. Null keys go."""
+    every = None
+    for n, rows in enumerate(tiers, 1):
+        one = rows.select(key, F.struct(F.lit(n).alias("tier"), F.col(order).alias(order), *keep).alias("__first"))
+        every = one if every is None else every.unionByName(one)
+    return every.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("__first").alias("__first")).select(key, "__first.*")

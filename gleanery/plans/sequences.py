@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.rules import rounded
 from gleanery.operators import choose as C
+from gleanery.operators import rotation as R
 from gleanery.operators import streaks as S
+from gleanery.operators.rank import ranked as ranked_rows
 from gleanery.plans.demo import demo
 from gleanery.plans.normalize import SCORED_SQL, scored
 
@@ -71,20 +73,69 @@ def stratified_sample(t):
     return reserved.unionByName(general)
 
 
-@demo("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'seen' WHEN row_number() OVER (PARTITION BY o_orderstatus = 'F', o_custkey ORDER BY o_orderkey) > 1 THEN 'dup' ELSE 'keep' END AS action FROM orders) SELECT action, count(*) AS n FROM c GROUP BY 1""")
+#: Priority strata and catalogs of the rotation, in their order.
+_STRATA, _CATALOGS = ["PROMO", "ECONOMY", "SMALL"], [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
+_CURSOR, _SIZE = 4, 1000
+
+
+def _rotation(t):
+    """Orders of some days as a list of requests (the customer asked for, with a major for every fourth), parts as candidates.
+
+    Seen are customers of finished orders and every seventh part; urgent requests are protected; customers with open orders
+    of the top priority whom the list has lost are resumed.
+    """
+    o = t.orders
+    current = o.filter("o_orderkey % 10 < 1").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), "o_custkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, "series").otherwise("single").alias("kind"), F.lit(None).cast("string").alias("title"), F.when(F.col("o_orderkey") % 4 == 0, 1 + F.col("o_custkey") % 5).cast("int").alias("major"), (F.col("o_orderpriority").like("1%") & (F.col("o_orderkey") % 4 != 0)).alias("urgent"))
+    done = o.filter("o_orderstatus = 'F' and o_orderkey % 10 >= 7").select(F.lit("id").alias("kind"), F.concat(F.lit("c"), "o_custkey").alias("value"))
+    seen = done.unionByName(t.part.filter("p_partkey % 7 = 0").select(F.lit("id").alias("kind"), F.concat(F.lit("p"), "p_partkey").alias("value")))
+    part = t.part.select(F.when(F.col("p_partkey") % 5 == 0, "series").otherwise("single").alias("kind"), "p_type", F.col("p_brand").alias("catalog"), F.col("p_size").alias("pos"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit(None).cast("string").alias("title"))
+    first = F.split("p_type", " ")[0]
+    focus = part.filter(first.isin(_STRATA)).select("kind", first.alias("stratum"), "pos", "id", "title")
+    resumed = o.filter("o_orderstatus = 'P' and o_orderpriority like '1%' and o_custkey % 20 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit(None).cast("string").alias("title"))
+    return R.rotate(current, seen, focus, part.drop("p_type"), size=_SIZE, strata=_STRATA, catalogs=_CATALOGS, protected=F.col("urgent"), cursor=_CURSOR, resumed=resumed)
+
+
+_ROTATION = f"""WITH cur AS (SELECT o_orderkey AS ord, 'c' || o_custkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'series' ELSE 'single' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 1 + o_custkey % 5 END AS major, o_orderpriority LIKE '1%' AND o_orderkey % 4 <> 0 AS urgent FROM orders WHERE o_orderkey % 10 < 1),
+done AS (SELECT DISTINCT 'c' || o_custkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 >= 7),
+c AS (SELECT *, major IS NULL AND id IN (SELECT id FROM done) AS seen FROM cur), able AS (SELECT *, row_number() OVER (PARTITION BY id, major ORDER BY ord) AS rn FROM c WHERE urgent OR NOT seen), kept AS (SELECT * FROM able WHERE rn = 1),
+again AS (SELECT DISTINCT 'c' || o_custkey AS id FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%' AND o_custkey % 20 = 0 AND 'c' || o_custkey NOT IN (SELECT id FROM kept)),
+need AS (SELECT greatest({_SIZE} - (SELECT count(*) FROM kept) - (SELECT count(*) FROM again), 0) AS n), goal AS (SELECT unnest(['series', 'single']) AS kind, unnest([CASE WHEN n = 0 THEN 0 ELSE greatest(1, floor(n * 0.2 + 0.5)) END, CASE WHEN n = 0 THEN 0 ELSE n - greatest(1, floor(n * 0.2 + 0.5)) END])::BIGINT AS target FROM need),
+p AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'series' ELSE 'single' END AS kind, string_split(p_type, ' ')[1] AS stratum, p_brand AS catalog, p_size AS pos, 'p' || p_partkey AS id FROM part WHERE p_partkey % 7 <> 0),
+f AS (SELECT kind, stratum, id, row_number() OVER (PARTITION BY kind ORDER BY turn) AS nth FROM (SELECT *, (list_position({_STRATA}, stratum) - 1 - {_CURSOR} % 3 + 3) % 3 AS turn FROM p WHERE stratum IN {tuple(_STRATA)} QUALIFY row_number() OVER (PARTITION BY kind, stratum ORDER BY pos, id) = 1)),
+fp AS (SELECT f.* FROM f JOIN goal USING (kind) WHERE nth <= CASE WHEN target <= 0 THEN 0 WHEN target = 1 THEN CASE WHEN {_CURSOR} % 4 < 3 THEN 1 ELSE 0 END ELSE least(3, target // 2) END),
+g AS (SELECT kind, target - (SELECT count(*) FROM fp WHERE fp.kind = goal.kind) AS need FROM goal), h AS (SELECT kind, need, CASE WHEN need <= 3 THEN need ELSE greatest(2, ceil(need / 6)) END AS cap FROM g WHERE need > 0),
+q AS (SELECT p.kind, p.id, need, cap, (list_position({_CATALOGS}, catalog) - 1 - {_CURSOR} + 25) % 25 AS turn, row_number() OVER (PARTITION BY p.kind, catalog ORDER BY pos, id) AS rn FROM p JOIN h USING (kind) WHERE id NOT IN (SELECT id FROM fp)),
+gp AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY rn > cap, turn, rn) AS nth, need FROM q WHERE turn < CASE WHEN need <= 3 THEN 25 ELSE least(25, greatest(10, ceil(need / cap) + 4)) END),
+added AS (SELECT kind, id, stratum, 0 AS phase, nth FROM fp UNION ALL SELECT kind, id, NULL, 1, nth FROM gp WHERE nth <= need),
+u AS (SELECT 0 AS part, 0 AS o1, 0 AS o2, 0 AS o3, id, 'series' AS kind, NULL AS major, NULL AS stratum, 'resumed' AS action FROM again UNION ALL SELECT 1, ord, 0, 0, id, CASE WHEN urgent THEN 'series' ELSE kind END, major, NULL, 'kept' FROM kept
+UNION ALL SELECT 2, phase, CASE kind WHEN 'series' THEN 0 ELSE 1 END, nth, id, kind, NULL, stratum, 'added' FROM added)"""
+
+
+@demo(f"{_ROTATION} SELECT row_number() OVER (ORDER BY part, o1, o2, o3, id) AS place, action, id, kind, major, stratum FROM u")
+def rotate_list(t):
+    return _rotation(t)[0].select("place", "action", "id", "kind", "major", "stratum")
+
+
+@demo(f"""{_ROTATION} SELECT action, count(*) AS n FROM (SELECT action FROM u UNION ALL SELECT CASE WHEN urgent OR NOT seen THEN 'duplicate' ELSE 'seen' END FROM c WHERE ord NOT IN (SELECT ord FROM kept)) GROUP BY 1""")
 def rotation_plan(t):
-    seen = F.col("o_orderstatus") == "F"
-    place = F.row_number().over(Window.partitionBy(seen, "o_custkey").orderBy("o_orderkey"))
-    return t.orders.select(F.when(seen, "seen").when(place > 1, "dup").otherwise("keep").alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+    kept, removed = _rotation(t)
+    return kept.select("action").unionByName(removed.select(F.col("reason").alias("action"))).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@demo("""WITH u AS (SELECT o_custkey AS k, 1 AS tier FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT c_custkey, 3 FROM customer) SELECT k AS c_custkey, min(tier) AS tier FROM u GROUP BY 1""")
-def priority_union(t):
-    def of(rows, key, tier):
-        return rows.select(F.col(key).alias("c_custkey"), F.lit(tier).alias("tier"))
+_TIERS = """SELECT o_custkey AS k, 1 AS tier, o_orderkey AS ord FROM orders WHERE o_orderkey = 33 UNION ALL SELECT * FROM (SELECT o_custkey, 2, o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1)
+UNION ALL SELECT o_custkey, 3, o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 4, o_orderkey FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_custkey, 5, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT c_custkey, 6, c_custkey FROM customer"""
+
 
-    tiers = [of(t.orders.filter("o_orderpriority like '1%'"), "o_custkey", 1), of(t.orders.filter("o_totalprice > 200000"), "o_custkey", 2), of(t.customer, "c_custkey", 3)]
-    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("c_custkey").agg(F.min("tier").alias("tier"))
+@demo(f"SELECT k AS c_custkey, min((tier, ord))[1] AS tier, min((tier, ord))[2] AS ord, row_number() OVER (ORDER BY min((tier, ord)), k) AS place FROM ({_TIERS}) GROUP BY k")
+def priority_union(t):
+    # six tiers, the first that has a customer counts; places follow tiers and the order inside them
+    def of(rows, key="o_custkey", order="o_orderkey"):
+        return rows.select(F.col(key).alias("c_custkey"), F.col(order).alias("ord"))
+
+    o = t.orders
+    active = o.filter("o_orderstatus = 'P'").orderBy("o_orderkey").limit(1)
+    tiers = [of(o.filter("o_orderkey = 33")), of(active), of(o.filter("o_orderpriority like '1%'")), of(o.filter("o_totalprice > 200000")), of(o.filter("o_orderstatus = 'O'")), of(t.customer, "c_custkey", "c_custkey")]
+    return ranked_rows(C.priority_union(tiers, "c_custkey", "ord"), [F.col("tier"), F.col("ord"), F.col("c_custkey")])
 
 
 @demo("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 1")

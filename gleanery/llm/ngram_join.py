@@ -156,6 +156,7 @@ def ngram_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, text: s
     joined = saved(classed.join(several, "i").select("a", F.col("c").alias("b")), "joined")
     if not joined.isEmpty():
         classed = classed.join(components(joined).toDF("c", "whole"), "c", "left").select("i", F.coalesce("whole", "c").alias("c"))
-    least = classed.groupBy("c").agg(F.min("i").alias("least"))
+    # a table of its own, so that Spark can split a component of very many members, or send the table around
+    least = saved(classed.groupBy("c").agg(F.min("i").alias("least")), "least")
     member = classed.join(least, "c").select("i", "least").distinct()
     return table.join(member, "i", "left").select(F.col("i").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "i").alias("component_id"))

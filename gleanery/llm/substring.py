@@ -100,8 +100,10 @@ def repeated_passages(docs: DataFrame, *, width: int = 13, text: str = "text", d
                 a, b = (windows(h, width, seed=s)[at].view(np.int64) for s in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), i)), pa.array(at, pa.int32())], names=["a", "b", "i", "at"])
 
-    same = Window.partitionBy("a", "b")
-    later = single.join(hits, "i").mapInArrow(extended, "a bigint, b bigint, i bigint, at int").withColumn("least", F.min("i").over(same)).filter("i > least")
+    # a passage of very many texts is one row of an aggregate, and a key of a join that Spark can split
+    passages = saved(single.join(hits, "i").mapInArrow(extended, "a bigint, b bigint, i bigint, at int"), "passages")
+    least = saved(passages.groupBy("a", "b").agg(F.min("i").alias("least"), F.max("i").alias("most")).filter("least < most").select("a", "b", "least"), "least")
+    later = passages.join(least, ["a", "b"]).filter("i > least")
     starts = saved(later.groupBy("i").agg(F.collect_set("at").alias("starts")), "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,15 +235,70 @@ def test_license_bands_keep_their_miss_rate(spark):
     """Windows in many contexts that hold 4 of 5 (5 of 6) shingles of a template miss all bands with at most 0.001."""
     n = 20_000
     for own in (5, 6):
-        words = own + licenses.SHINGLE - 1
         hashes = lambda first, count: F.transform(F.sequence(F.lit(first), F.lit(first + count - 1)), lambda j: F.xxhash64(F.col("id"), j))
-        sets = spark.range(n).select(hashes(1, own).alias("t"), hashes(2, 2 * words - licenses.SHINGLE + 1).alias("x"))
-        seeds = [F.xxhash64(F.col("id"), F.lit(-1 - j)) for j in range(licenses.bands_for(words, (own - 1) / own, 1e-3))]
+        sets = spark.range(n).select(hashes(1, own).alias("t"), hashes(2, 2 * own).alias("x"))
+        seeds = [F.xxhash64(F.col("id"), F.lit(-1 - j)) for j in range(licenses.bands_for(own, 2 * own, (own - 1) / own, 1e-3))]
         met = F.array(*(licenses.least(F.col("t"), s) == licenses.least(F.col("x"), s) for s in seeds))
         missed = sets.filter(~F.exists(met, lambda m: m)).count()
         assert missed < 40, missed  # 20 are expected, with a deviation of 4.5
 
 
+def license_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or "")) if w]
+
+
+def plain_licenses(text, templates, share=0.8):
+    """Containment at every place of the text, with sets of words and no hashes."""
+    shingles = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    known = {(name, tuple(w)): set(shingles(w)) for name, w in ((name, license_words(t)) for name, t in templates) if len(w) >= 3}
+    mine = shingles(license_words(text))
+    found = {}
+    for (name, w), t in known.items():
+        at = [k for k, x in enumerate(mine) if x in t]
+        if any(len({mine[j] for j in at if k <= j <= k + 3 * len(w) + 60}) >= share * len(t) for k in at):
+            found[name, w] = t
+    part = lambda only: len(only & set(mine)) / len(only) if only else 0.0
+    gone = set()
+    for a, t in found.items():
+        for b, u in found.items():
+            if a[0] != b[0] and len(t & u) >= share * min(len(t), len(u)) and part(t - u) < 0.5 and part(t - u) < part(u - t):
+                gone.add(a)
+    return sorted({name for name, _ in found.keys() - gone})
+
+
+def test_licenses_by_brute_force(spark):
+    """Copies with words put in until 80 % of their shingles are left, with words changed and taken out; repeated ids and none."""
+    rng, rows = random.Random(44), []
+    junk = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        ws = license_words(text)
+        total = len({tuple(ws[j : j + 3]) for j in range(len(ws) - 2)})
+        for way in range(6):
+            mine = list(ws)
+            while way:
+                more = list(mine)
+                at = rng.randrange(1, len(more))
+                if way < 4:
+                    more[at:at] = junk(rng.choice((1, 1, 2, 12 if way == 3 else 1)))
+                elif way == 4:
+                    more[at] = junk(1)[0]
+                else:
+                    del more[at]
+                if len({tuple(more[j : j + 3]) for j in range(len(more) - 2)} & {tuple(ws[j : j + 3]) for j in range(len(ws) - 2)}) < 0.8 * total:
+                    break
+                mine = more
+            rows.append((10 * k + way, " ".join(junk(rng.randrange(40)) + mine + junk(rng.randrange(40)))))
+    both = licenses.TEMPLATES[0][1] + " and " + " ".join(junk(30)) + licenses.TEMPLATES[4][1]
+    rows += [(7, both), (7, "nothing here"), (None, licenses.TEMPLATES[4][1]), (None, None), (9000, ""), (9001, "under the"), (9002, " ".join(w + " " + " ".join(junk(80)) for w in licenses.TEMPLATES[4][1].split()))]
+    docs = spark.createDataFrame([(i, t, "r", 1, "h") for i, t in rows], "doc_id bigint, text string, row string, hits int, license string").repartition(6)
+    templates = spark.createDataFrame([*licenses.TEMPLATES, licenses.TEMPLATES[0], ("short", "a b"), ("none", None)], "license string, notice string")
+    got = sorted(((r["doc_id"], r["licenses"]) for r in licenses.scan_licenses(docs, templates).collect()), key=str)
+    want = sorted(((i, plain_licenses(t, licenses.TEMPLATES)) for i, t in rows), key=str)
+    wrong = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
+    assert not wrong, wrong
+    assert sum(bool(x) for _, x in want) >= 6 * len(licenses.TEMPLATES)
+
+
 def test_license_query_knows_whole_texts(spark, tmp_path):
     """Texts with edits and a copyright line among prose are named, and nearly equal licenses are told apart."""
     from gleanery.llm import license_texts, queries

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gleanery.plans.demo import DEMOS
-from gleanery.plans import aggregates, joins, normalize, records, sequences, tables  # noqa: F401, I001  (each registers its queries)
+from gleanery.plans import aggregates, joins, normalize, records, requests, sequences, tables  # noqa: F401, I001  (each registers its queries)
 
 
 def queries():

@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
-
-
-def fold(text: Column) -> Column:
-    """Lower case without the accents of ACCENTED."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
-
-
 def first_match(rules: list[tuple[str, str]], *texts: Column) -> Column:
     """Label of the first rule (label, pattern) that the first text matches, else by the next text, else null.
 
@@ -57,21 +47,13 @@ def size_bytes(text: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """'1.5 GB' and the like: one decimal from KB on."""
+    """'1.5 GB' and the like: one decimal from KB on, none from 100 on; null for nothing and less."""
     out = F.format_string("%d B", size.cast("bigint"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        scaled = F.floor(size / float(1024**power) * 10 + 0.5) / 10
-        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", scaled), F.lit(f" {unit}"))).otherwise(out)
-    return F.when(size.isNotNull(), out)
-
-
-def title_key(text: Column) -> Column:
-    """Accent-free lower case up to a season tag, without years in brackets, words joined by one blank; null if empty
-    or if it looks like an id."""
-    key = F.regexp_replace(fold(text), r"\([0-9]{4}([-–][0-9]{0,4})?\)", " ")
-    key = F.regexp_replace(key, r"(?s)(^|[^a-z0-9])s[0-9]{1,2}e[0-9]{1,3}.*$", " ")
-    key = F.trim(F.regexp_replace(key, r"[^a-z0-9]+", " "))
-    return F.when((key != "") & ~key.rlike(r"^tt[0-9]+$"), key)
+        value = size / float(1024**power)
+        shown = F.when(value >= 100, F.format_string("%d", F.floor(value + 0.5))).otherwise(F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10))
+        out = F.when(size >= 1024**power, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
+    return F.when(size > 0, out)
 
 
 #: Fixed value: tags behind a name, and all that follows them.
@@ -87,16 +69,10 @@ def base_name(text: Column, known: Column | None = None) -> Column:
 
 
 def target(text: Column) -> Column:
-    """struct(id, major, minor) of an id alone, with a label behind it, with coordinates (id:1:2), or in a url."""
-    pattern = r"^(?:https?://\S*/)?(tt[0-9]{7,})(?::([0-9]+):([0-9]+))?(?![0-9A-Za-z])"
-    part = lambda k: F.nullif(F.regexp_extract(F.trim(text), pattern, k), F.lit(""))
-    return F.struct(part(1).alias("id"), part(2).cast("bigint").alias("major"), part(3).cast("bigint").alias("minor"))
-
-
-def significant_words(text: Column, stop: list[str], least: int = 3) -> Column:
-    """Distinct folded words of letters, at least so long and not in the stop list, in order of first place."""
-    words = F.filter(F.split(fold(text), "[^a-z]+"), lambda w: F.length(w) >= least)
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, stop)).cast("array<string>"))
+    """struct(id, major, minor, label) of an id alone, with coordinates (id:s1, id:s1:e2 or id:1:2), with a label behind it, or in a url."""
+    pattern = r"(?i)^(?:https?://\S*/)?(tt[0-9]{7,10})(?::s?([0-9]{1,2})(?::e?([0-9]{1,3}))?)?(?:(?:\s+(.*))|(?:[/?#]\S*))?$"
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(F.trim(text), pattern, k)), F.lit(""))
+    return F.struct(F.lower(part(1)).alias("id"), part(2).cast("bigint").alias("major"), part(3).cast("bigint").alias("minor"), part(4).alias("label"))
 
 
 def composite_key(*parts: Column) -> Column:

@@ -60,6 +60,14 @@ def coalesce_enrich(base: DataFrame, key: str, sources: list[tuple[str, DataFram
     return out.select(*base.columns, *(f"{c}_from" for c in columns))
 
 
+def source_hits(enriched: DataFrame, sources: list[str], columns: list[str]) -> DataFrame:
+    """source, and for each column of coalesce_enrich's rows how many values came from it ('own': were there before, 'none': are missing)."""
+    counts = [F.struct(F.lit(s).alias("source"), *(F.count_if(F.col(f"{c}_from") == s).alias(c) for c in columns)) for s in sources]
+    own = F.struct(F.lit("own").alias("source"), *(F.count_if(F.col(f"{c}_from").isNull() & F.col(c).isNotNull()).alias(c) for c in columns))
+    none = F.struct(F.lit("none").alias("source"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
+    return enriched.agg(F.array(*counts, own, none).alias("s")).select(F.inline("s"))
+
+
 def upsert(target: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """target with delta merged by key: an unknown (null) value never overwrites a known one; action tells what happened.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import rules as R
 from gleanery.operators import merge as M
 from gleanery.operators.expand import expand_requests as expanded_requests
+from gleanery.operators.rank import ranked
 from gleanery.operators.ranges import range_join as joined_by_range
 from gleanery.plans.demo import demo
 
@@ -65,8 +66,11 @@ def fallback_source(t):
     return rows.select("n_nationkey", F.when(enough, F.col("own")).otherwise(F.coalesce("of_region", F.lit(0))).alias("suppliers"), F.when(enough, "nation").otherwise("region").alias("origin"))
 
 
-@demo("""WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM orders), s1 AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), s2 AS (SELECT l_orderkey AS k, sum(l_quantity) AS price FROM lineitem GROUP BY 1)
-SELECT o_orderkey, round(coalesce(b.price, s1.price, s2.price), 2) AS price, CASE WHEN b.price IS NOT NULL THEN NULL WHEN s1.price IS NOT NULL THEN 'lines' WHEN s2.price IS NOT NULL THEN 'quantity' END AS price_from FROM b LEFT JOIN s1 ON s1.k = o_orderkey LEFT JOIN s2 ON s2.k = o_orderkey""")
+_ENRICHED = """b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM orders), s1 AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), s2 AS (SELECT l_orderkey AS k, sum(l_quantity) AS price FROM lineitem GROUP BY 1),
+e AS (SELECT o_orderkey, round(coalesce(b.price, s1.price, s2.price), 2) AS price, CASE WHEN b.price IS NOT NULL THEN NULL WHEN s1.price IS NOT NULL THEN 'lines' WHEN s2.price IS NOT NULL THEN 'quantity' END AS price_from FROM b LEFT JOIN s1 ON s1.k = o_orderkey LEFT JOIN s2 ON s2.k = o_orderkey)"""
+
+
+@demo(f"WITH {_ENRICHED} SELECT o_orderkey, price, price_from FROM e")
 def coalesce_enrich(t):
     base = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price"))
     lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
@@ -74,10 +78,21 @@ def coalesce_enrich(t):
     return M.coalesce_enrich(base, "o_orderkey", sources, ["price"]).withColumn("price", F.round("price", 2))
 
 
-@demo("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@demo(f"WITH {_ENRICHED} SELECT coalesce(s.source, e.source) AS source, coalesce(n, 0) AS price FROM (SELECT unnest(['lines', 'quantity', 'own', 'none']) AS source) s LEFT JOIN (SELECT coalesce(price_from, CASE WHEN price IS NULL THEN 'none' ELSE 'own' END) AS source, count(*) AS n FROM e GROUP BY 1) e USING (source)")
+def enrich_hits(t):
+    return M.source_hits(coalesce_enrich(t), ["lines", "quantity"], ["price"])
+
+
+@demo("""WITH w AS (SELECT c_custkey AS id, c_custkey AS ord FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_custkey AS id, min(o_orderdate) AS since, count(*) AS open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+m AS (SELECT id, since, open FROM o WHERE id NOT IN (SELECT id FROM w)), u AS (SELECT 0 AS part, id, since, open FROM m UNION ALL SELECT 1, w.id, o.since, coalesce(o.open, 0) FROM w LEFT JOIN o USING (id))
+SELECT row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN since END, id) AS place, id, part = 0 AS resumed, open FROM u""")
 def reinject_missing(t):
-    wanted = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t.orders.filter("o_orderstatus = 'O'").select("o_custkey").distinct().join(wanted, "o_custkey", "left_anti")
+    # open entities that the list of requests has lost come first again, the longest open one before; then the list as it is
+    wanted = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    state = t.orders.filter("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("since"), F.count("*").alias("open"))
+    lost = state.join(wanted, "id", "left_anti").select(F.lit(True).alias("resumed"), "id", "since", "open")
+    rows = lost.unionByName(wanted.join(state, "id", "left").select(F.lit(False).alias("resumed"), "id", F.lit(None).cast("timestamp_ntz").alias("since"), F.coalesce("open", F.lit(0)).alias("open")))
+    return ranked(rows, [F.desc("resumed"), F.asc("since"), F.asc("id")]).select("place", "id", "resumed", "open")
 
 
 @demo("""WITH a AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY ALL) SELECT DISTINCT e.user_id, coalesce(h.event_type, o.event_type) AS event_type FROM events e LEFT JOIN a h ON h.user_id = e.user_id AND h.event_type = 'signup' LEFT JOIN a o ON o.user_id = e.user_id AND o.event_type = 'purchase'""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import notations as N
 from gleanery.functions import rules as R
+from gleanery.functions import titles as TT
 from gleanery.plans.demo import demo
 from gleanery.sources import tables as T
 
@@ -32,9 +33,9 @@ def priority_coalesce(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(field, text, "l_linenumber").alias("chosen"), F.when(field.isNotNull(), "field").when(text.isNotNull(), "text").otherwise("weak").alias("origin"))
 
 
-@demo("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity * 1073741824.0 + 0.5) AS BIGINT) AS bytes, printf('%.1f GB', l_quantity) AS shown FROM lineitem""")
+@demo("""WITH s AS (SELECT *, l_quantity * (1 + l_partkey % 5) AS q FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(q * 1073741824.0 + 0.5) AS BIGINT) AS bytes, CASE WHEN q >= 100 THEN printf('%d GB', CAST(q AS BIGINT)) ELSE printf('%.1f GB', q) END AS shown FROM s""")
 def size_units(t):
-    text = F.concat(F.replace(F.format_string("%.1f", "l_quantity"), F.lit("."), F.lit(",")), F.lit(" GiB"))
+    text = F.concat(F.replace(F.format_string("%.1f", F.col("l_quantity") * (1 + F.col("l_partkey") % 5)), F.lit("."), F.lit(",")), F.lit(" GiB"))
     size = R.size_bytes(text)
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", size.cast("bigint").alias("bytes"), R.size_text(size).alias("shown"))
 
@@ -84,10 +85,15 @@ def url_params(t):
     return t.pages.select("page_id", F.concat_ws(",", R.param_values(F.col("url"), "utm_source")).alias("utm_source"), F.concat_ws(",", R.param_values(F.col("url"), "page")).alias("page_no"))
 
 
-@demo(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(string_split(text, chr(10))[1]), '{R.ACCENTED}', '{R.PLAIN}'), '\\([0-9]{{4}}([-–][0-9]{{0,4}})?\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)
-SELECT doc_id, CASE WHEN k <> '' AND NOT regexp_matches(k, '^tt[0-9]+$') THEN k END AS title_key FROM d""")
+#: Behind the first line of a text, by its id.
+_SUFFIXES = ["", " (2001–2004)", " S01E02 more", " – season 2 x", " 1x02", " Temporada 3", " (1999)", " s04"]
+
+
+@demo(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] || [{", ".join(f"'{x}'" for x in _SUFFIXES)}][doc_id % {len(_SUFFIXES)} + 1] AS t FROM documents),
+k AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(t), '{TT.YEARS}', ' ', 'g'), '{TT.TAG}', ' ')), '[^a-z0-9]+', ' ', 'g')) AS k FROM d) SELECT doc_id, CASE WHEN k <> '' AND NOT regexp_full_match(k, 'tt[0-9]{{7,10}}') THEN k END AS title_key FROM k""")
 def title_key(t):
-    return t.documents.select("doc_id", R.title_key(F.split("text", "\n")[0]).alias("title_key"))
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
+    return t.documents.select("doc_id", TT.title_key(F.concat(F.split("text", "\n")[0], suffix)).alias("title_key"))
 
 
 @demo("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(':', l_orderkey, l_linenumber) AS item_key, 'S' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || 'E' || CASE WHEN length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) < 2 THEN lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 2, '0') ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS tag FROM lineitem""")
@@ -95,10 +101,13 @@ def composite_key(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.composite_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("item_key"), R.member_tag(F.col("l_linenumber"), F.col("l_quantity").cast("bigint")).alias("tag"))
 
 
-@demo(f"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(translate(lower(text), '{R.ACCENTED}', '{R.PLAIN}'), '[^a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'les', 'des', 'der', 'die', 'und', 'que'))) AS w FROM documents)
+_STOP = ["the", "and", "les", "des", "der", "die", "und", "que"]
+
+
+@demo(f"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_STOP}, w))) AS w FROM documents)
 SELECT doc_id, len(w) AS n_words, list_max(w) AS last_word FROM d""")
 def sig_words(t):
-    words = R.significant_words(F.col("text"), ["the", "and", "les", "des", "der", "die", "und", "que"])
+    words = TT.significant_words(F.col("text"), _STOP)
     return t.documents.select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.array_max("w").alias("last_word"))
 
 
@@ -178,13 +187,15 @@ def overlap_bonus(t):
     return t.documents.select("doc_id").join(shared, "doc_id", "left").select("doc_id", F.least(F.lit(0.15), 0.03 * F.coalesce("n", F.lit(0))).alias("bonus"))
 
 
-@demo("""SELECT o_orderkey, 'tt' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, CASE WHEN o_orderkey % 4 = 2 THEN 1 + o_orderkey % 9 END AS major, CASE WHEN o_orderkey % 4 = 2 THEN 1 + o_orderkey % 20 END AS minor FROM orders""")
+@demo("""SELECT o_orderkey, 'tt' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, CASE WHEN o_orderkey % 7 IN (2, 4, 5) THEN 1 + o_orderkey % 9 END AS major, CASE WHEN o_orderkey % 7 IN (2, 4) THEN 1 + o_orderkey % 20 END AS minor, CASE o_orderkey % 7 WHEN 1 THEN 'a label: 3:4' WHEN 4 THEN 'named' END AS label FROM orders WHERE o_orderkey % 7 < 6
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 6""")
 def target_parse(t):
-    # an id alone, with a label, with coordinates, or in a url
+    # an id alone, with a label, with coordinates in both forms, in a url, and what is no id
     plain = F.concat(F.lit("tt"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
-    form = F.col("o_orderkey") % 4
-    text = F.when(form == 0, plain).when(form == 1, F.concat(plain, F.lit("  a label: 3:4"))).when(form == 2, F.concat_ws(":", plain, 1 + F.col("o_orderkey") % 9, 1 + F.col("o_orderkey") % 20)).otherwise(F.concat(F.lit("https://x.org/title/"), plain, F.lit("/?ref=1")))
-    return t.orders.select("o_orderkey", R.target(text).alias("t")).select("o_orderkey", "t.id", "t.major", "t.minor")
+    form, major, minor = F.col("o_orderkey") % 7, 1 + F.col("o_orderkey") % 9, 1 + F.col("o_orderkey") % 20
+    text = F.when(form == 0, plain).when(form == 1, F.concat(F.upper(plain), F.lit("  a label: 3:4 "))).when(form == 2, F.concat_ws(":", plain, major, minor)).when(form == 3, F.concat(F.lit("https://x.org/title/"), plain, F.lit("/?ref=1")))
+    text = text.when(form == 4, F.concat(plain, F.lit(":s"), major, F.lit(":E"), minor, F.lit(" named"))).when(form == 5, F.concat(plain, F.lit(":S"), major)).otherwise(F.concat(plain, F.lit("x:s1")))
+    return t.orders.select("o_orderkey", R.target(text).alias("t")).select("o_orderkey", "t.*")
 
 
 #: Behind a name, or alone where the name is missing.

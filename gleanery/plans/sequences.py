@@ -187,29 +187,46 @@ def interleave_buckets(t):
     return rows.select("q", F.row_number().over(Window.orderBy("rn", F.desc("bucket"))).alias("place"))
 
 
-@demo("""WITH a AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), b AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_regionkey) * 5 AS i FROM region), u AS (SELECT name, i, 1 AS part FROM a UNION ALL SELECT name, i, 0 FROM b) SELECT name, row_number() OVER (ORDER BY i, part, name) AS place FROM u""")
+@demo("""WITH a AS (SELECT 'o' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, 1 AS part FROM orders), n AS (SELECT greatest((SELECT count(*) FROM orders) // greatest((SELECT count(*) FROM customer), 1), 1) AS step),
+b AS (SELECT 'c' || c_custkey AS name, row_number() OVER (ORDER BY c_custkey) * step AS i, 0 AS part FROM customer, n), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT name, row_number() OVER (ORDER BY i, part, name) AS place FROM u""")
 def spread_merge(t):
-    a = t.nation.select(F.col("n_name").alias("name"), F.row_number().over(Window.orderBy("n_nationkey")).alias("i"), F.lit(1).alias("part"))
-    b = t.region.select(F.col("r_name").alias("name"), (F.row_number().over(Window.orderBy("r_regionkey")) * 5).alias("i"), F.lit(0).alias("part"))
-    return a.unionByName(b).select("name", F.row_number().over(Window.orderBy("i", "part", "name")).alias("place"))
+    # one of b before every step-th of a; what is left of either stands at the end
+    a = ranked_rows(t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("name"), "o_orderdate", "o_orderkey"), [F.col("o_orderdate"), F.col("o_orderkey")], "i")
+    b = ranked_rows(t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("name"), "c_custkey"), [F.col("c_custkey")], "i")
+    size = lambda rows: rows.agg(F.count("*").alias("n"))  # noqa: E731  (one row)
+    step = size(a).crossJoin(size(b).withColumnRenamed("n", "m")).select(F.greatest(F.expr("n div greatest(m, 1)"), F.lit(1)).alias("step"))
+    spread = b.crossJoin(F.broadcast(step)).select("name", (F.col("i") * F.col("step")).alias("i"), F.lit(0).alias("part"))
+    rows = a.select("name", "i", F.lit(1).alias("part")).unionByName(spread)
+    return ranked_rows(rows, [F.col("i"), F.col("part"), F.col("name")]).select("name", "place")
 
 
-@demo("SELECT n_name, (n_nationkey - 7 + 25) % 25 AS place FROM nation")
+@demo("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1 - 7 + count(*) OVER ()) % count(*) OVER () AS place FROM orders")
 def cursor_rotate(t):
-    total = t.nation.count()
-    return t.nation.select("n_name", F.pmod(F.col("n_nationkey") - 7, F.lit(total)).alias("place"))
+    rows = ranked_rows(t.orders.select("o_orderkey"), [F.col("o_orderkey")], "i")
+    total = rows.agg(F.count("*").alias("n"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("o_orderkey", F.pmod(F.col("i") - 1 - 7, F.col("n")).alias("place"))
 
 
-@demo("SELECT o_orderkey, coalesce(max(l_extendedprice), -1) AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY best DESC, o_orderkey LIMIT 50")
+@demo("WITH b AS (SELECT o_orderkey, coalesce(max(l_extendedprice), -1) AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT *, row_number() OVER (ORDER BY best DESC, o_orderkey) AS place FROM b ORDER BY place LIMIT 50")
 def sort_nested_max(t):
     picks = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_extendedprice")).alias("picks"))
     best_pick = F.coalesce(F.array_max(F.transform("picks", lambda p: p["l_extendedprice"])), F.lit(-1.0))
-    return t.orders.select("o_orderkey").join(picks, "o_orderkey", "left").select("o_orderkey", best_pick.alias("best")).orderBy(F.desc("best"), "o_orderkey").limit(50)
+    order = [F.desc("best"), F.asc("o_orderkey")]
+    return _numbered(t.orders.select("o_orderkey").join(picks, "o_orderkey", "left").select("o_orderkey", best_pick.alias("best")).orderBy(*order).limit(50), order)
 
 
-@demo("SELECT p_partkey, CASE WHEN p_size > 30 THEN NULL ELSE p_size END AS size FROM part ORDER BY size DESC NULLS LAST, p_partkey LIMIT 40")
+def _numbered(rows, order):
+    """Places of a page of rows: few, whatever the table."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@demo("SELECT p_partkey, size, row_number() OVER (ORDER BY size DESC NULLS LAST, p_partkey) AS place FROM (SELECT p_partkey, CASE WHEN p_size <= 30 THEN p_size END AS size FROM part) QUALIFY place > (SELECT count(*) FROM part WHERE p_size <= 30) - 20 ORDER BY place LIMIT 40")
 def null_order(t):
-    return t.part.select("p_partkey", F.when(F.col("p_size") <= 30, F.col("p_size")).alias("size")).orderBy(F.desc_nulls_last("size"), "p_partkey").limit(40)
+    # the page where values end and nulls begin
+    rows = t.part.select("p_partkey", F.when(F.col("p_size") <= 30, F.col("p_size")).alias("size"))
+    placed = ranked_rows(rows, [F.desc_nulls_last("size"), F.asc("p_partkey")])
+    known = rows.agg(F.count("size").alias("known"))  # one row
+    return placed.crossJoin(F.broadcast(known)).filter("place > known - 20").orderBy("place").limit(40).drop("known")
 
 
 @demo("SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
@@ -219,9 +236,14 @@ def page_with_total(t):
     return rows.select("o_orderkey").orderBy("o_orderkey").offset(40).limit(20).crossJoin(F.broadcast(total))
 
 
-@demo("SELECT n_name FROM nation")
+#: In the order of a Spanish dictionary: accents count after letters, small before capital, ñ is a letter behind n.
+_DICTIONARY = ["árbol", "arca", "canción", "candado", "nube", "Nube", "nutria", "ñandú", "oca", "óptica", "zorro", "Zorro"]
+
+
+@demo(f"SELECT p_partkey, row_number() OVER (ORDER BY (p_partkey * 7) % {len(_DICTIONARY)}, p_partkey) AS place FROM part")
 def locale_sort(t):
-    return t.nation.select("n_name").orderBy(F.collate("n_name", "es"))
+    name = F.element_at(F.array(*map(F.lit, _DICTIONARY)), ((F.col("p_partkey") * 7) % len(_DICTIONARY) + 1).cast("int"))
+    return ranked_rows(t.part.select("p_partkey", name.alias("name")), [F.collate("name", "es"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 @demo("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey <> 33, o_orderdate, o_orderkey) AS place FROM orders ORDER BY place LIMIT 10")

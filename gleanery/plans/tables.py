@@ -73,9 +73,9 @@ def flat_export(t):
     return items.select("source", F.inline("picks")).select("source", "lang", F.element_at(labels, F.col("lang")).alias("label"), "doc_id")
 
 
-@demo("SELECT '# ' || n_name || chr(10) || n_nationkey AS value FROM nation")
+@demo("SELECT '# ' || p_name || chr(10) || p_partkey AS value FROM part")
 def text_export(t):
-    return t.nation.select(F.format_string("# %s\n%d", "n_name", "n_nationkey").alias("value"))
+    return t.part.select(F.format_string("# %s\n%d", "p_name", "p_partkey").alias("value"))
 
 
 @demo("SELECT lang AS kind, source, min(doc_id) AS doc_id FROM documents WHERE n_chars > 500 GROUP BY ALL")

@@ -46,23 +46,46 @@ def read_snapshot(spark: SparkSession, index: DataFrame, path: str, key: str, sc
     return index.join(docs, key, "left").withColumn(records, F.coalesce(records, F.array().cast(kind)))
 
 
-def publish(df: DataFrame, root: str, version: str, by: str) -> str:
+POINTER = "version string, number bigint, at bigint"
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[str | None, int]:
+    """The version that readers follow, and its number (0 where nothing is published)."""
+    path = f"{root.rstrip('/')}/CURRENT"
+    # the folder is made by the first publisher; a line without a version is no pointer
+    spark.createDataFrame([], POINTER).coalesce(1).write.mode("ignore").json(path)
+    lines = spark.read.schema(POINTER).json(path).filter("version is not null")
+    last = lines.agg(F.max_by(F.struct("version", "number"), F.struct(F.coalesce("number", F.lit(0)), "at")).alias("p")).first()["p"]
+    return (None, 0) if last is None else (last["version"], last["number"] or 0)
+
+
+def publish(df: DataFrame, root: str, version: str, by: str, projections: dict[str, list[str]] | None = None) -> str:
     """Writes one JSON folder per value of a column under a new version, then adds a line to CURRENT that points at it.
 
-    Readers follow the latest line, so the old version stays theirs until the new one is whole, and there is a pointer
-    at any time: a line is added by one commit and none is taken away.
+    With projections (name: columns, the one of by among them) the same rows are written once for each, in a folder of that name;
+    df is worked out once. Readers follow the line of the largest number, so the old version stays theirs until all of the new one
+    is there, and there is a pointer at any time: a line is added by one commit and none is taken away. Numbers grow
+    by one, whatever the clock says; of two publishers at once that take the same number the later one counts.
     """
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/{version}"
-    df.write.partitionBy(by).json(path)
-    line = spark.createDataFrame([(version,)], "version string").withColumn("at", F.unix_micros(F.current_timestamp()))
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{version}"
+    if projections is None:
+        df.write.partitionBy(by).json(path)
+    else:
+        rows = saved(df)
+        for name, columns in projections.items():
+            rows.select(*columns).write.partitionBy(by).json(f"{path}/{name}")
+    _, number = _pointer(spark, root)
+    line = spark.createDataFrame([(version, number + 1)], "version string, number bigint").withColumn("at", F.unix_micros(F.current_timestamp()))
     line.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/CURRENT")
     return path
 
 
-def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    version = spark.read.schema("version string, at bigint").json(f"{root.rstrip('/')}/CURRENT").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.schema(schema).json(f"{root.rstrip('/')}/{version}")
+def current(spark: SparkSession, root: str, schema: str, projection: str | None = None) -> DataFrame:
+    """The rows of the version (of one of its projections) that is published now; none where nothing is."""
+    version, _ = _pointer(spark, root)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json("/".join(filter(None, [root.rstrip("/"), version, projection])))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -173,7 +173,12 @@ def test_sizes_and_targets(spark):
     assert got == [700, 1536, 2 << 20, None, None]
     texts = [("tt0123456",), (" tt0123456 label",), ("tt0123456:2:11",), ("https://a.b/title/tt0123456/?x",), ("xtt0123456",), ("",), (None,)]
     got = [tuple(r[0]) for r in spark.createDataFrame(texts, "t string").coalesce(1).select(R.target(F.col("t"))).collect()]
-    assert got == [("tt0123456", None, None)] * 2 + [("tt0123456", 2, 11), ("tt0123456", None, None)] + [(None, None, None)] * 3
+    assert got == [("tt0123456", None, None, None), ("tt0123456", None, None, "label"), ("tt0123456", 2, 11, None), ("tt0123456", None, None, None)] + [(None,) * 4] * 3
+    texts = [("TT0123456:S2:e11 A  name ",), ("tt0123456:s2",), ("tt0123456:s2x",), ("tt012345",), ("http://x/tt0123456#a",)]
+    got = [tuple(r[0]) for r in spark.createDataFrame(texts, "t string").coalesce(1).select(R.target(F.col("t"))).collect()]
+    assert got == [("tt0123456", 2, 11, "A  name"), ("tt0123456", 2, None, None), (None,) * 4, (None,) * 4, ("tt0123456", None, None, None)]
+    sizes = [(None,), (0,), (512,), (1536,), (100 << 20,), (102350,), (1 << 50,)]
+    assert [r[0] for r in spark.createDataFrame(sizes, "n bigint").coalesce(1).select(R.size_text(F.col("n"))).collect()] == [None, None, "512 B", "1.5 KB", "100 MB", "100.0 KB", "1024 TB"]
 
 
 def test_publishing_again_moves_the_pointer(spark, tmp_path):
@@ -183,6 +188,47 @@ def test_publishing_again_moves_the_pointer(spark, tmp_path):
         assert [r["v"] for r in tables.current(spark, root, "v string, k string").collect()] == [version]
 
 
+def test_the_pointer_does_not_follow_the_clock(spark, tmp_path):
+    """A publisher whose clock is ahead does not hold back those after it; two projections of the same rows go out together."""
+    root = str(tmp_path / "out")
+    assert tables.current(spark, root, "v string, k string").count() == 0
+    df = spark.createDataFrame([("a", "old", 1)], "k string, v string, secret int")
+    tables.publish(df, root, "v1", "k")
+    ahead = spark.createDataFrame([("v1", 1, 2**60)], tables.POINTER)
+    ahead.coalesce(1).write.mode("append").json(f"{root}/CURRENT")
+    tables.publish(df.withColumn("v", F.lit("new")), root, "v2", "k", {"full": ["k", "v", "secret"], "public": ["k", "v"]})
+    assert [tuple(r) for r in tables.current(spark, root, "v string, secret int, k string", "full").collect()] == [("new", 1, "a")]
+    assert [tuple(r) for r in tables.current(spark, root, "v string, secret int, k string", "public").collect()] == [("new", None, "a")]
+
+
 def test_fitting_keeps_the_target_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert tables.fitting(df, df.select("c", "a")).columns == ["a", "c"]
+
+
+def test_titles_are_folded_in_any_script(spark):
+    """Against unicodedata: ligatures, full width, marks of several kinds, tags and years; ASCII does not go to Python."""
+    import re
+    import unicodedata
+
+    from gleanery.functions import titles
+
+    def plain(text):
+        if text is None:
+            return None
+        t = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text))
+        t = re.sub(titles.YEARS, " ", t)
+        t = re.sub(titles.TAG.replace(r"\b", titles._EDGE), " ", t, count=1)
+        t = re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+        return t if t and not re.fullmatch("tt[0-9]{7,10}", t) else None
+
+    rng = random.Random(23)
+    parts = ["Ábc", "\ufb01n", "\uff21\uff22", "e\u0301", "\u01d6", "\u2460", "\u212b", "x", "S01E02", "s3", "Season 2", "1x02", "(1999)", "( 2001 \u2013 2004 )", "\u00df", "\u0416", " ", "-", "tt1234567", "\u1e69", "Temporada 4"]
+    texts = [None, "", "tt1234567", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 7))) for _ in range(800))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r["i"]: (r["k"], r["w"]) for r in df.select("i", titles.title_key(F.col("t")).alias("k"), titles.significant_words(F.col("t"), ["fin"]).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == plain(t), t
+        if t is not None:
+            words = re.findall("[a-z0-9]+", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t)).lower())
+            assert got[i][1] == [w for w in dict.fromkeys(words) if re.fullmatch("[a-z]{3,}", w) and w != "fin"], t

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from gleanery.sources.tables import saved
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def failure_streaks(df: DataFrame, keys: list[str], order: list[Column], failed: Column, most: int) -> DataFrame:
@@ -26,27 +26,34 @@ def breaker_streaks(df: DataFrame, source: str, kind: str, order: list[Column],
 
     A (source, kind) closes at its most-th error since its last ok, or at a limited row that is at least the
     (3 * most)-th of its source since the last ok of any kind there; its later rows are skipped and count for nothing.
-    What closes first in a source changes only what comes later, so each round settles one kind of each source: there
-    are as many rounds as a source has kinds that close, each a few windows and a table in the shared folder.
+
+    What one kind does changes what others of its source may do, so a source is walked in order: one shuffle by source, rows sorted within
+    it, and a walk batch by batch that keeps two small numbers for each kind of the source at hand.
     """
-    rows = saved(df.withColumn("__at", F.struct(*order)))
-    closed = None
-    by_kind, by_source = Window.partitionBy(source, kind).orderBy("__at"), Window.partitionBy(source).orderBy("__at")
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    is_ok = F.coalesce(~F.col(outcome).isin("error", "limited"), F.lit(True)).cast("int")
-    while True:
-        live = rows if closed is None else rows.join(closed, [source, kind], "left").filter("__closed is null or __at <= __closed")
-        live = live.withColumn("__own", F.sum(is_ok).over(upto(by_kind))).withColumn("__all", F.sum(is_ok).over(upto(by_source)))
-        errors = F.count_if(F.col(outcome) == "error").over(upto(Window.partitionBy(source, kind, "__own").orderBy("__at")))
-        limits = F.count_if(F.col(outcome) == "limited").over(upto(Window.partitionBy(source, "__all").orderBy("__at")))
-        breach = ((F.col(outcome) == "error") & (errors >= most)) | ((F.col(outcome) == "limited") & (limits >= 3 * most))
-        found = live.withColumn("__breach", breach).filter("__breach")
-        if closed is not None:
-            found = found.filter("__closed is null")
-        first = found.groupBy(source).agg(F.min_by(kind, "__at").alias(kind), F.min("__at").alias("__closed"))
-        now = saved(first.select(source, kind, "__closed") if closed is None else closed.unionByName(first.select(source, kind, "__closed")))
-        if closed is not None and now.count() == closed.count() or closed is None and now.isEmpty():
-            break
-        closed = now
-    out = rows.withColumn("__closed", F.lit(None)) if closed is None else rows.join(closed, [source, kind], "left")
-    return out.withColumn("skipped", F.coalesce(F.col("__at") > F.col("__closed"), F.lit(False)) if closed is not None else F.lit(False)).select(*df.columns, "skipped")
+    numbered = df.withColumn("__at", F.struct(*order))
+    code = F.when(F.col(outcome) == "error", 1).when(F.col(outcome) == "limited", 2).otherwise(0)
+    rows = numbered.withColumn("__code", code).withColumn("__who", F.struct(source)).repartition(source).sortWithinPartitions(source, "__at")
+
+    def walk(batches):
+        at, errors, closed, strikes = None, {}, set(), 0
+        for batch in batches:
+            skipped = []
+            for who, what, code in zip(batch.column("__who").to_pylist(), batch.column(kind).to_pylist(), batch.column("__code").to_pylist(), strict=True):
+                if at is None or who != at:
+                    at, errors, closed, strikes = who, {}, set(), 0
+                skipped.append(what in closed)
+                if skipped[-1]:
+                    continue
+                if code == 0:
+                    errors[what], strikes = 0, 0
+                elif code == 1:
+                    errors[what] = errors.get(what, 0) + 1
+                    if errors[what] >= most:
+                        closed.add(what)
+                else:
+                    strikes += 1
+                    if strikes >= 3 * most:
+                        closed.add(what)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(skipped, pa.bool_())], names=[*batch.schema.names, "skipped"])
+
+    return rows.mapInArrow(walk, StructType([*rows.schema.fields, StructField("skipped", BooleanType())])).select(*df.columns, "skipped")

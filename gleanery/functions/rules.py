@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def first_match(rules: list[tuple[str, str]], *texts: Column) -> Column:
@@ -120,3 +120,19 @@ def param_values(url: Column, name: str) -> Column:
     query = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
     pairs = F.filter(F.split(query, "&"), lambda p: F.startswith(p, F.lit(f"{name}=")))
     return F.array_distinct(F.array_compact(F.transform(pairs, lambda p: F.try_url_decode(F.substring(p, len(name) + 2, 1 << 20)))))
+
+
+def faceted(items: DataFrame, picks: str, *, text: list[str], terms: str = "", quality: str | None = None, slot: str | None = None, fewer: int | None = None) -> DataFrame:
+    """Items of which some pick (slot, quality) has the quality, which have the slot, have fewer distinct slots than asked, and whose
+    text columns together hold all terms, whatever their case. A facet that is not given lets all through."""
+    hay = F.lower(F.concat_ws(" ", *text))
+    out = items
+    if quality is not None:
+        out = out.filter(F.exists(picks, lambda p: p["quality"] == quality))
+    if slot is not None:
+        out = out.filter(F.exists(picks, lambda p: p["slot"] == slot))
+    if fewer is not None:
+        out = out.filter(F.size(F.array_distinct(F.transform(picks, lambda p: p["slot"]))) < fewer)
+    for term in terms.lower().split():
+        out = out.filter(F.contains(hay, F.lit(term)))
+    return out

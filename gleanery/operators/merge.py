@@ -80,17 +80,22 @@ def upsert(target: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "full_outer").select(key, *(F.coalesce(f"__{c}", c).alias(c) if c in delta.columns else F.col(c) for c in values), action.alias("action"))
 
 
-def prepared(delta: DataFrame, key: str, valid: Column, order: list[Column]) -> DataFrame:
-    """delta with reason: 'invalid' for rows that aren't valid (null counts as not), 'duplicate' for valid rows of a key but
-    the first in the given order, null for those that an upsert takes."""
+def prepared(delta: DataFrame, key: str, valid: Column, order: list[Column], seen: DataFrame | None = None) -> DataFrame:
+    """delta with reason: 'invalid' for rows that aren't valid (null counts as not), 'seen' for those whose key is in seen, 'duplicate' for other
+    rows of a key but the first in the given order, null for those that an upsert takes."""
     rows = delta.withColumn("__ok", F.coalesce(valid, F.lit(False)))
+    if seen is None:
+        rows = rows.withColumn("__seen", F.lit(False))
+    else:
+        known = seen.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__seen", F.lit(True))
+        rows = rows.join(known, key, "left").withColumn("__seen", F.coalesce("__seen", F.lit(False)))
     place = F.row_number().over(Window.partitionBy(key, "__ok").orderBy(*order))
-    return rows.withColumn("reason", F.when(~F.col("__ok"), "invalid").when(place > 1, "duplicate")).drop("__ok")
+    return rows.withColumn("reason", F.when(~F.col("__ok"), "invalid").when(F.col("__seen"), "seen").when(place > 1, "duplicate")).select(*delta.columns, "reason")
 
 
-def upsert_checked(target: DataFrame, delta: DataFrame, key: str, valid: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def upsert_checked(target: DataFrame, delta: DataFrame, key: str, valid: Column, order: list[Column], seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The upsert of the rows that are valid and first of their key, and the rejected rows with their reason."""
-    rows = prepared(delta, key, valid, order)
+    rows = prepared(delta, key, valid, order, seen)
     return upsert(target, rows.filter("reason is null").drop("reason"), key), rows.filter("reason is not null")
 
 

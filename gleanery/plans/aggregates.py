@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import rules as R
+from gleanery.operators import checks as K
 from gleanery.operators import choose as C
 from gleanery.operators import merge as M
 from gleanery.plans.demo import demo
+from gleanery.plans.sequences import BREAKERS, breaker_outcomes
 
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
 _ORD = ", ".join(LINE_ORDER)
@@ -43,10 +45,13 @@ def source_contribution(t):
     return t.supplier.select("s_suppkey").join(found, "s_suppkey", "left").select("s_suppkey", F.coalesce("p", F.lit(0)).alias("picks"), F.coalesce("u", F.lit(0)).alias("unique_picks"))
 
 
-@demo("""SELECT user_id, count(*) AS requests, count_if(event_type = 'view') AS ok, count_if(event_type = 'error') AS errors, floor(avg(value) FILTER (event_type <> 'error') + 0.5) AS mean_value FROM events GROUP BY user_id""")
+@demo(f"""{BREAKERS} SELECT f.user_id, count_if(did <> 's') AS requests, count_if(did = 'o') AS ok, count_if(did IN ('e', 'l')) AS errors, count_if(did = 'l') AS limited, count_if(did = 's') AS skipped, floor(avg(value) FILTER (did = 'o') + 0.5) AS mean_value FROM f JOIN r USING (user_id, rn) GROUP BY 1""")
 def source_metrics(t):
-    ok = F.col("event_type") != "error"
-    return t.events.groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "view").alias("ok"), F.count_if(~ok).alias("errors"), R.rounded(F.avg(F.when(ok, F.col("value"))), 0).alias("mean_value"))
+    # what a source was asked, and what became of it after its breakers: limited rows are errors too; the mean of rows that went well, if there are any
+    did = breaker_outcomes(t)
+    n = lambda *kinds: F.count_if(F.col("did").isin(*kinds))
+    mean = R.rounded(F.avg(F.when(F.col("did") == "ok", F.col("value"))), 0)
+    return did.groupBy("user_id").agg(n("ok", "error", "limited").alias("requests"), n("ok").alias("ok"), n("error", "limited").alias("errors"), n("limited").alias("limited"), n("skipped").alias("skipped"), mean.alias("mean_value"))
 
 
 @demo("SELECT count(DISTINCT source) AS entities, count(DISTINCT CASE WHEN lang = 'es' THEN source END) AS es_found, count(DISTINCT source) - count(DISTINCT CASE WHEN lang = 'es' THEN source END) AS es_missing, count_if(lang = 'en') AS en_rows FROM documents")
@@ -98,12 +103,42 @@ def status_cascade(t):
     return rows.select("l_orderkey", F.when(F.col("r"), "error").when(F.col("all_open"), "skipped").when(F.col("some_open"), "unknown").when(F.col("q") < 10, "empty").otherwise("saved").alias("state"))
 
 
-@demo("""SELECT * FROM (SELECT 'quantity_not_negative' AS rule, count_if(l_quantity < 0) AS violations FROM lineitem UNION ALL SELECT 'flag_in_domain', count_if(l_returnflag NOT IN ('A', 'N')) FROM lineitem UNION ALL SELECT 'discount_range', count_if(l_discount > 0.09) FROM lineitem UNION ALL SELECT 'key_unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))""")
+@demo("""SELECT 'quantity_not_negative' AS rule, count_if(l_quantity < 0) AS violations FROM lineitem UNION ALL SELECT 'flag_in_domain', count_if(l_returnflag NOT IN ('A', 'N')) FROM lineitem UNION ALL SELECT 'discount_range', count_if(l_discount > 0.09) FROM lineitem UNION ALL SELECT 'key_unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
 def dq_constraints(t):
-    flat = t.lineitem.agg(F.count_if(F.col("l_quantity") < 0).alias("a"), F.count_if(~F.col("l_returnflag").isin("A", "N")).alias("b"), F.count_if(F.col("l_discount") > 0.09).alias("c"))
-    rows = flat.selectExpr("stack(3, 'quantity_not_negative', a, 'flag_in_domain', b, 'discount_range', c) as (rule, violations)")
-    repeated = t.lineitem.groupBy("l_orderkey", "l_linenumber").count().filter("count > 1").agg(F.count("*").alias("violations"))
-    return rows.unionByName(repeated.withColumn("rule", F.lit("key_unique")))
+    rules = {"quantity_not_negative": F.col("l_quantity") >= 0, "flag_in_domain": F.col("l_returnflag").isin("A", "N"), "discount_range": F.col("l_discount") <= 0.09}
+    return K.violations(t.lineitem, rules, {"key_unique": ["l_orderkey", "l_linenumber"]})
+
+
+def _keyed(t):
+    """Documents with a hash of their text as key, some of them damaged: blanks and capitals, cut short, all zero."""
+    form, key = F.col("doc_id") % 9, F.sha1("text")
+    damaged = F.when(form == 1, F.concat(F.lit("  "), F.upper(key), F.lit(" "))).when(form == 2, F.left(key, F.lit(39))).when(form == 3, F.repeat(F.lit("0"), F.lit(40))).otherwise(key)
+    return t.documents.select("doc_id", damaged.alias("key"))
+
+
+_KEYED = "k AS (SELECT doc_id, sha1(text) AS own, doc_id % 9 AS form FROM documents)"
+
+
+@demo(f"""WITH {_KEYED} SELECT 'key_canonical' AS rule, count_if(form = 1) AS violations FROM k UNION ALL SELECT 'key_format', count_if(form IN (1, 2, 3)) FROM k UNION ALL SELECT 'key_unique', count(*) FROM (SELECT 1 FROM k GROUP BY CASE form WHEN 1 THEN '  ' || upper(own) WHEN 2 THEN left(own, 39) WHEN 3 THEN '0' ELSE own END HAVING count(*) > 1)""")
+def dq_keys(t):
+    rows, key = _keyed(t), F.col("key")
+    return K.violations(rows, {"key_canonical": key == F.lower(F.trim(key)), "key_format": key.rlike("^[0-9a-f]{40}$") & ~key.rlike("^0+$")}, {"key_unique": ["key"]})
+
+
+@demo(f"""WITH {_KEYED}, r AS (SELECT doc_id, own AS key, row_number() OVER (PARTITION BY own ORDER BY doc_id) AS place FROM k WHERE form NOT IN (2, 3)) SELECT doc_id, key, NULL AS reason FROM r WHERE place = 1 UNION ALL SELECT doc_id, key, 'repeated' FROM r WHERE place > 1 UNION ALL SELECT doc_id, NULL, 'no_key' FROM k WHERE form IN (2, 3)""")
+def dq_backfill(t):
+    # keys in canonical form; what then has no key, or one that an earlier row has, is set aside
+    rows, rejects = K.repaired(_keyed(t), "key", R.valid_key(F.col("key")), [F.col("doc_id")])
+    return rows.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects)
+
+
+@demo("""WITH i AS (SELECT l_orderkey AS id, list(DISTINCT l_returnflag) AS slots, bool_or(l_linestatus = 'F') AS any_f FROM lineitem GROUP BY 1), x AS (SELECT i.*, lower(c_name || ' ' || o_orderpriority || ' ' || o_orderkey) AS hay FROM i JOIN orders ON id = o_orderkey JOIN customer ON c_custkey = o_custkey)
+SELECT id, len(slots) AS n_slots FROM x WHERE any_f AND list_contains(slots, 'A') AND len(slots) < 3 AND contains(hay, 'customer') AND contains(hay, 'high')""")
+def facet_items(t):
+    # items of orders: a pick of quality F, the slot A taken, not all three slots, and all terms in the text
+    picks = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.struct(F.col("l_returnflag").alias("slot"), F.col("l_linestatus").alias("quality"))).alias("picks"))
+    items = t.orders.withColumnRenamed("o_orderkey", "id").join(picks, "id").join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return R.faceted(items, "picks", text=["c_name", "o_orderpriority", "id"], terms="CUSTOMER high", quality="F", slot="A", fewer=3).select("id", F.size(F.array_distinct("picks.slot")).cast("bigint").alias("n_slots"))
 
 
 @demo("SELECT concat_ws(',', CASE WHEN l_discount > 0.05 THEN 'discount' END, CASE WHEN l_tax > 0.04 THEN 'tax' END) AS signature, count(*) AS n_rows FROM lineitem GROUP BY 1")

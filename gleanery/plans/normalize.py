@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import metadata as MD
 from gleanery.functions import notations as N
 from gleanery.functions import rules as R
 from gleanery.functions import titles as TT
@@ -26,11 +27,16 @@ def key_validate(t):
     return t.documents.select("doc_id", F.sha1("text").alias("key"), R.valid_key(raw).alias("valid_key"))
 
 
-@demo("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN l_discount > 0.05 THEN l_quantity END, CASE WHEN l_returnflag = 'R' THEN l_tax * 100 END, l_linenumber) AS chosen,
-CASE WHEN l_discount > 0.05 THEN 'field' WHEN l_returnflag = 'R' THEN 'text' ELSE 'weak' END AS origin FROM lineitem""")
+@demo("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(coalesce(CASE WHEN l_discount > 0.05 AND l_quantity > 3 THEN l_quantity END, CASE WHEN l_returnflag = 'R' THEN l_partkey END, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END) AS BIGINT) AS chosen,
+CASE WHEN l_discount > 0.05 AND l_quantity > 3 THEN 'field' WHEN l_returnflag = 'R' THEN 'text' WHEN l_suppkey % 3 > 0 THEN 'weak' END AS origin FROM lineitem""")
 def priority_coalesce(t):
-    field, text = F.when(F.col("l_discount") > 0.05, F.col("l_quantity")), F.when(F.col("l_returnflag") == "R", F.col("l_tax") * 100)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(field, text, "l_linenumber").alias("chosen"), F.when(field.isNotNull(), "field").when(text.isNotNull(), "text").otherwise("weak").alias("origin"))
+    # a number of its own beats one in the first line of a text, which beats one further down; '?' is unknown, and 3 or less is no valid field
+    field = F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))
+    text = F.concat(F.lit("n: "), F.when(F.col("l_returnflag") == "R", F.col("l_partkey").cast("string")).otherwise("?"), F.lit("\nelse n="), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey").cast("string")).otherwise("?"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(field > 3, field).cast("bigint").alias("field"), text.alias("text"))
+    found = lambda pattern: F.regexp_extract("text", pattern, 1).try_cast("bigint")
+    strong, weak = found("^n: ([0-9]+)"), found("\\nelse n=([0-9]+)")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("field", strong, weak).alias("chosen"), F.when(F.col("field").isNotNull(), "field").when(strong.isNotNull(), "text").when(weak.isNotNull(), "weak").alias("origin"))
 
 
 @demo("""WITH s AS (SELECT *, l_quantity * (1 + l_partkey % 5) AS q FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(q * 1073741824.0 + 0.5) AS BIGINT) AS bytes, CASE WHEN q >= 100 THEN printf('%d GB', CAST(q AS BIGINT)) ELSE printf('%.1f GB', q) END AS shown FROM s""")
@@ -309,21 +315,39 @@ def parse_quality_counts(t):
 
 @demo("""WITH u AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')) AS key FROM pages WHERE regexp_matches(url, '^https?://')) SELECT key, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM u GROUP BY key""")
 def url_list_dedupe(t):
+    # lists are pasted from pages: signs without width and blanks around an url are no part of it
+    pasted = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\ufeff "), "url", F.lit("\u200b"))).when(F.col("page_id") % 3 == 1, F.concat(F.left("url", F.lit(9)), F.lit("\u200d"), F.substring("url", 10, 1 << 20))).otherwise(F.col("url"))
+    rows = t.pages.select("page_id", F.trim(F.regexp_replace(pasted, "[\u200B-\u200D\uFEFF]", "")).alias("url"))
     key = F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""))
-    rows = t.pages.filter(F.col("url").rlike("^https?://")).select(key.alias("key"), "page_id", "url")
+    rows = rows.filter(F.col("url").rlike("^https?://")).select(key.alias("key"), "page_id", "url")
     return rows.groupBy("key").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
 
 
-@demo("SELECT p_partkey AS id, trim(p_name) AS name, 1990 + p_size % 30 AS year FROM part WHERE 1990 + p_size % 30 <= 2010")
+@demo("""WITH r AS (SELECT o_orderkey, o_orderdate, o_orderkey % 8 AS form, 1900 + (o_orderkey % 8) * 30 AS year FROM orders)
+SELECT 'tt' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS id, CASE WHEN form = 4 THEN 'group' ELSE 'single' END AS kind, 'Name ' || o_orderkey AS name, CASE WHEN form <> 7 THEN year END AS year, 'Name ' || o_orderkey || CASE WHEN form NOT IN (4, 7) THEN ' (' || year || ')' ELSE '' END AS label
+FROM r WHERE form NOT IN (0, 1, 5) AND (form = 3 OR o_orderdate <= TIMESTAMP '1996-07-02')""")
 def catalog_clean(t):
-    raw = t.part.select(F.concat(F.lit("tt"), "p_partkey").alias("raw_id"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"), F.concat(F.lit("("), 1990 + F.col("p_size") % 30, F.lit("–)")).alias("released"))
-    rows = raw.select(F.regexp_extract("raw_id", "^tt([0-9]+)$", 1).try_cast("bigint").alias("id"), F.trim("name").alias("name"), F.regexp_extract("released", "([0-9]{4})", 1).try_cast("int").alias("year"))
-    return rows.filter("id is not null and name <> '' and year <= 2010")
-
-
-@demo("""SELECT o_orderkey, len(m) AS n_members, list_min(m) AS first_member FROM (SELECT o_orderkey, list(DISTINCT l_linenumber) FILTER (l_linenumber >= 2) AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) WHERE len(m) > 0""")
+    # years out of range (form 0, 1), no name (5), no date (3), no proper year (7); as of the first of July
+    form, key = F.col("o_orderkey") % 8, F.col("o_orderkey")
+    raw = t.orders.select(
+        F.concat(F.lit(" TT"), F.lpad(key.cast("string"), 8, "0"), F.lit(" ")).alias("id"), F.when(form == 4, "group").otherwise("other").alias("kind"), F.when(form == 5, "  ").otherwise(F.concat(F.lit(" Name "), key)).alias("name"),
+        F.when(form == 7, "12110").otherwise(F.concat(F.lit("("), 1900 + form * 30, F.lit("–)"))).alias("year"), F.when(form != 3, F.col("o_orderdate")).alias("released"),
+    )
+    return MD.catalog_records(raw, F.expr("timestamp_ntz'1996-07-01 00:00:00'"))
+
+
+@demo("""WITH v AS (SELECT l_orderkey AS id, count(*) FILTER (l_quantity >= 10 AND l_linenumber <> 3) AS n, min(l_linenumber) FILTER (l_quantity >= 10 AND l_linenumber <> 3) AS first_minor, count(*) FILTER (l_quantity >= 10 AND l_linenumber <> 3 AND l_partkey % 4 > 0) AS titled FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'single' ELSE 'group' END AS kind, 'Name ' || o_orderkey AS name, CASE WHEN o_orderkey % 5 <> 4 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 5 = 1 THEN year(o_orderdate) + 4 WHEN o_orderkey % 5 <> 4 AND o_orderkey % 3 = 0 THEN year(o_orderdate) END AS year_end,
+CASE WHEN o_orderkey % 3 > 0 THEN coalesce(n, 0) END AS n_members, CASE WHEN o_orderkey % 3 > 0 THEN first_minor END AS first_minor, CASE WHEN o_orderkey % 3 > 0 THEN coalesce(titled, 0) END AS titled FROM orders LEFT JOIN v ON id = o_orderkey WHERE o_orderkey % 11 > 0""")
 def meta_normalize(t):
-    videos = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("number"))).alias("videos"))
-    members = F.array_distinct(F.filter(F.transform("videos", lambda v: v["number"].try_cast("int")), lambda n: n >= 2))
-    rows = t.orders.select("o_orderkey").join(videos, "o_orderkey").select("o_orderkey", members.alias("m")).filter("size(m) > 0")
-    return rows.select("o_orderkey", F.size("m").cast("bigint").alias("n_members"), F.array_min("m").alias("first_member"))
+    # members of line 3 have no whole number, those of small quantity none at all; every eleventh order has no name
+    text = lambda c: F.col(c).cast("string")
+    number = F.when(F.col("l_quantity") >= 10, text("l_linenumber")).otherwise("0")
+    video = F.struct(F.lit("1").alias("season"), F.when(F.col("l_linenumber") == 3, "3.5").when(F.col("l_linenumber") % 2 == 0, number).alias("episode"), number.alias("number"), F.when(F.col("l_partkey") % 4 == 1, F.lit(" a ")).alias("name"), F.when(F.col("l_partkey") % 4 > 0, "b").otherwise(" ").alias("title"), F.lit(None).cast("string").alias("released"), text("l_shipdate").alias("first"))
+    videos = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(video).alias("videos"))
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    said = F.when(key % 5 == 1, F.concat(year, F.lit("–"), year + 4)).when(key % 5 == 4, "soon").otherwise(F.concat(F.lit("("), year, F.lit("–)")))
+    raw = t.orders.select(key.alias("id"), F.when(key % 2 == 0, F.when(key % 3 == 0, "single").otherwise("group")).otherwise("video").alias("kind"), F.when(key % 3 == 0, "single").otherwise("group").alias("requested"), F.when(key % 11 > 0, F.concat(F.lit(" Name "), key)).otherwise(" ").alias("name"), said.alias("year"))
+    rows = MD.metadata_records(raw.join(videos, "id", "left"))
+    members = F.coalesce("members", F.when(F.col("kind") == "group", F.array().cast("array<struct<major:int,minor:int,title:string,released:string>>")))
+    return rows.withColumn("m", members).select("id", "kind", "name", "year", "year_end", F.size("m").cast("bigint").alias("n_members"), F.array_min(F.col("m.minor")).alias("first_minor"), F.size(F.filter("m", lambda x: x["title"].isNotNull())).cast("bigint").alias("titled"))

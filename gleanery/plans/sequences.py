@@ -160,18 +160,26 @@ def failure_streaks(t):
 _SKIP = "((k = 0 AND o0) OR (k = 1 AND o1))"
 
 
-@demo(f"""WITH RECURSIVE r AS (SELECT user_id, event_id % 2 AS k, CASE event_type WHEN 'error' THEN 'e' WHEN 'view' THEN 'l' ELSE 'o' END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+#: The walk of a source's rows, one after another: errors (e0, e1) and open breakers (o0, o1) of both kinds, strikes (st), and what became of the row (did).
+BREAKERS = f"""WITH RECURSIVE r AS (SELECT user_id, value, event_id % 2 AS k, CASE event_type WHEN 'error' THEN 'e' WHEN 'view' THEN 'l' ELSE 'o' END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, 0 AS e0, 0 AS e1, false AS o0, false AS o1, 0 AS st, '' AS did FROM events
 UNION ALL SELECT f.user_id, r.rn, CASE WHEN {_SKIP} OR k = 1 OR x = 'l' THEN e0 WHEN x = 'o' THEN 0 ELSE e0 + 1 END, CASE WHEN {_SKIP} OR k = 0 OR x = 'l' THEN e1 WHEN x = 'o' THEN 0 ELSE e1 + 1 END,
 o0 OR (k = 0 AND ((x = 'e' AND e0 >= 1) OR (x = 'l' AND st >= 5))), o1 OR (k = 1 AND ((x = 'e' AND e1 >= 1) OR (x = 'l' AND st >= 5))), CASE WHEN {_SKIP} OR x = 'e' THEN st WHEN x = 'o' THEN 0 ELSE st + 1 END, CASE WHEN {_SKIP} THEN 's' ELSE x END
-FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)
-SELECT user_id, count_if(did = 'o') AS ok, count_if(did = 'e') AS errors, count_if(did = 'l') AS limited, count_if(did = 's') AS skipped FROM f WHERE rn > 0 GROUP BY 1""")
-def breaker_streaks(t):
+FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)"""
+
+
+def breaker_outcomes(t):
+    """user_id, value and did (ok, error, limited or skipped) of each event; users are sources, odd and even events their kinds."""
     outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "limited").otherwise("ok")
-    rows = t.events.select("user_id", "ts", "event_id", (F.col("event_id") % 2).alias("kind"), outcome.alias("outcome"))
+    rows = t.events.select("user_id", "ts", "event_id", "value", (F.col("event_id") % 2).alias("kind"), outcome.alias("outcome"))
     rows = S.breaker_streaks(rows, "user_id", "kind", [F.col("ts"), F.col("event_id")], "outcome", 2)
-    did = F.when(F.col("skipped"), "skipped").otherwise(F.col("outcome"))
-    return rows.groupBy("user_id").agg(*(F.count_if(did == k).alias(n) for k, n in (("ok", "ok"), ("error", "errors"), ("limited", "limited"), ("skipped", "skipped"))))
+    return rows.select("user_id", "value", F.when(F.col("skipped"), "skipped").otherwise(F.col("outcome")).alias("did"))
+
+
+@demo(f"{BREAKERS} SELECT user_id, count_if(did = 'o') AS ok, count_if(did = 'e') AS errors, count_if(did = 'l') AS limited, count_if(did = 's') AS skipped FROM f WHERE rn > 0 GROUP BY 1")
+def breaker_streaks(t):
+    did = F.col("did")
+    return breaker_outcomes(t).groupBy("user_id").agg(*(F.count_if(did == k).alias(n) for k, n in (("ok", "ok"), ("error", "errors"), ("limited", "limited"), ("skipped", "skipped"))))
 
 
 @demo("SELECT event_id, round FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events) ORDER BY round, user_id LIMIT 200")
@@ -179,12 +187,15 @@ def round_robin_cap(t):
     return C.round_robin(t.events, "user_id", [F.col("ts"), F.col("event_id")], 200).select("event_id", "round")
 
 
-@demo("""WITH y AS (SELECT DISTINCT year(o_orderdate) * 4 + quarter(o_orderdate) AS q FROM orders), b AS (SELECT q, q // 8 AS bucket, row_number() OVER (PARTITION BY q // 8 ORDER BY q DESC) AS rn FROM y) SELECT q, row_number() OVER (ORDER BY rn, bucket DESC) AS place FROM b""")
+@demo("""WITH y AS (SELECT DISTINCT year(o_orderdate) * 4 + quarter(o_orderdate) AS q FROM orders), b AS (SELECT q, q < 7977 AS tail, q // 8 AS bucket, row_number() OVER (PARTITION BY q < 7977, q // 8 ORDER BY q DESC) AS rn FROM y) SELECT q, tail, row_number() OVER (ORDER BY tail, CASE WHEN tail THEN 0 ELSE rn END, bucket DESC, q DESC) AS place FROM b""")
 def interleave_buckets(t):
-    quarters = t.orders.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("q")).distinct().withColumn("bucket", F.floor(F.col("q") / 8))
-    rows = quarters.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("q"))))
+    # the newest of each two years in turn; quarters before 1994 are the tail and follow as they are, newest first
+    q = F.col("q")
+    quarters = t.orders.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("q")).distinct().select("q", (q < 7977).alias("tail"), F.floor(q / 8).alias("bucket"))
+    rows = quarters.withColumn("rn", F.row_number().over(Window.partitionBy("tail", "bucket").orderBy(F.desc("q"))))
+    turn = F.when(F.col("tail"), 0).otherwise(F.col("rn"))
     # one row for each quarter of the calendar: the last window is small
-    return rows.select("q", F.row_number().over(Window.orderBy("rn", F.desc("bucket"))).alias("place"))
+    return rows.select("q", "tail", F.row_number().over(Window.orderBy("tail", turn, F.desc("bucket"), F.desc("q"))).alias("place"))
 
 
 @demo("""WITH a AS (SELECT 'o' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, 1 AS part FROM orders), n AS (SELECT greatest((SELECT count(*) FROM orders) // greatest((SELECT count(*) FROM customer), 1), 1) AS step),
@@ -246,10 +257,12 @@ def locale_sort(t):
     return ranked_rows(t.part.select("p_partkey", name.alias("name")), [F.collate("name", "es"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
-@demo("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey <> 33, o_orderdate, o_orderkey) AS place FROM orders ORDER BY place LIMIT 10")
+@demo("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey <> 33, o_orderdate, o_orderkey) AS place, greatest(count(*) OVER () - 10, 0) AS more FROM orders ORDER BY place LIMIT 10")
 def pinned_first(t):
-    first = t.orders.orderBy(F.col("o_orderkey") != 33, "o_orderdate", "o_orderkey").limit(10)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderkey") != 33, "o_orderdate", "o_orderkey")).alias("place"))
+    # the active one, then the rest: ten of them, and how many more there are
+    order = [F.col("o_orderkey") != 33, F.asc("o_orderdate"), F.asc("o_orderkey")]
+    more = t.orders.agg(F.greatest(F.count("*") - 10, F.lit(0)).alias("more"))  # one row
+    return _numbered(t.orders.orderBy(*order).limit(10), order).select("o_orderkey", "place").crossJoin(F.broadcast(more))
 
 
 @demo("""SELECT c_custkey, array_to_string(list_concat(list_filter(['FRANCE', 'CHINA', 'PERU'], lambda x: x = n_name), list_filter(['FRANCE', 'CHINA', 'PERU'], lambda x: x <> n_name))[1:2], ',') AS allowed FROM customer JOIN nation ON c_nationkey = n_nationkey""")

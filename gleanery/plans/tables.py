@@ -36,12 +36,12 @@ def upsert_split(t):
 _LINES = """d AS (SELECT CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey + 10000000 ELSE l_orderkey END AS o_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END AS o_totalprice, l_linestatus AS o_orderstatus, l_quantity, row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey + 10000000 ELSE l_orderkey END, l_quantity >= 5 ORDER BY l_linenumber, l_extendedprice, l_returnflag, l_linestatus, l_quantity) AS place FROM lineitem), r AS (SELECT *, CASE WHEN l_quantity < 5 THEN 'invalid' WHEN place > 1 THEN 'duplicate' END AS reason FROM d)"""
 
 
-def _from_lines(t):
+def _from_lines(t, seen=None):
     """A delta of many rows a key, some of them not valid."""
     key = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey") + 10000000).otherwise(F.col("l_orderkey"))
     new = t.lineitem.select(key.alias("o_orderkey"), F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice")).alias("o_totalprice"), F.col("l_linestatus").alias("o_orderstatus"), "l_quantity", "l_linenumber", "l_extendedprice", "l_returnflag")
     order = [F.col(c) for c in ("l_linenumber", "l_extendedprice", "l_returnflag", "o_orderstatus", "l_quantity")]
-    return M.upsert_checked(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey"), new, "o_orderkey", F.col("l_quantity") >= 5, order)
+    return M.upsert_checked(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey"), new, "o_orderkey", F.col("l_quantity") >= 5, order, seen)
 
 
 @demo(f"""WITH {_LINES}, k AS (SELECT * FROM r WHERE reason IS NULL) SELECT o_orderkey, coalesce(k.o_totalprice, o.o_totalprice) AS o_totalprice, coalesce(k.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_custkey AS o_custkey, CASE WHEN o.o_custkey IS NULL THEN 'inserted' WHEN k.place IS NULL THEN 'kept' ELSE 'updated' END AS action FROM orders o FULL JOIN k USING (o_orderkey)""")
@@ -49,9 +49,11 @@ def upsert_first_wins(t):
     return _from_lines(t)[0]
 
 
-@demo(f"""WITH {_LINES}, a AS (SELECT coalesce(reason, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders) THEN 'updated' ELSE 'inserted' END) AS outcome FROM r) SELECT outcome, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM r WHERE reason IS NULL)""")
+@demo(f"""WITH {_LINES}, x AS (SELECT o_orderkey, CASE WHEN reason = 'invalid' THEN reason WHEN o_orderkey % 13 = 0 THEN 'seen' ELSE reason END AS reason FROM r), a AS (SELECT coalesce(reason, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders) THEN 'updated' ELSE 'inserted' END) AS outcome FROM x)
+SELECT outcome, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM x WHERE reason IS NULL)""")
 def upsert_report(t):
-    merged, rejected = _from_lines(t)
+    # every row has one outcome: rejected, seen before, a repeat, or written; and what the table keeps as it is
+    merged, rejected = _from_lines(t, t.lineitem.filter("l_orderkey % 13 = 0").select(F.col("l_orderkey").alias("o_orderkey")).unionByName(t.lineitem.select((F.col("l_orderkey") + 10_000_000).alias("o_orderkey")).filter("o_orderkey % 13 = 0")))
     return merged.select(F.col("action").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

@@ -232,3 +232,34 @@ def test_titles_are_folded_in_any_script(spark):
         if t is not None:
             words = re.findall("[a-z0-9]+", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t)).lower())
             assert got[i][1] == [w for w in dict.fromkeys(words) if re.fullmatch("[a-z]{3,}", w) and w != "fin"], t
+
+
+def test_states_and_their_gate(spark):
+    import pytest
+
+    from gleanery.operators import checks
+
+    rows = [(1, True, True, 5, "error"), (0, True, True, 5, "skipped"), (None, None, True, 5, "saved"), (0, False, True, 0, "empty"), (0, False, None, 5, "unknown"), (0, False, True, None, "unknown"), (0, False, True, -1, "unknown")]
+    df = spark.createDataFrame(rows, "failures int, skipped boolean, confirmed boolean, saved int, want string").withColumn("state", checks.write_state(*(F.col(c) for c in ("failures", "skipped", "confirmed", "saved"))))
+    assert df.filter("state <> want or state is null").count() == 0
+    checks.gate(df.filter("state not in ('error', 'unknown')"))
+    with pytest.raises(RuntimeError, match="error 1, unknown 3"):
+        checks.gate(df)
+
+
+def test_seen_keys_are_skipped_before_repeats(spark):
+    delta = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (3, 4), (3, 5), (None, 6)], "k int, ord int")
+    seen = spark.createDataFrame([(3,), (3,), (None,)], "k int")
+    got = {r["ord"]: r["reason"] for r in merge.prepared(delta, "k", F.col("k").isNotNull(), [F.col("ord")], seen).collect()}
+    assert got == {1: None, 2: "duplicate", 3: None, 4: "seen", 5: "seen", 6: "invalid"}
+
+
+def test_metadata_of_odd_records(spark):
+    from gleanery.functions import metadata
+
+    video = "array<struct<season:string,episode:string,number:string,name:string,title:string,released:string,first:string>>"
+    v = ("1", None, "2", " Pilot ", "x", None, "2020")
+    rows = [("a", "group", None, "One", "2008–2013", [v, ("x", "1", None, None, None, None, None), ("1", "0", None, None, None, None, None)]), ("b", "odd", "group", " Two ", "2011–", None), ("c", None, "single", "Three", "1999", [v]), ("d", "single", None, " ", "1999", None), ("e", None, None, "Five", None, [])]
+    df = spark.createDataFrame(rows, f"id string, kind string, requested string, name string, year string, videos {video}")
+    got = {r["id"]: (r["kind"], r["name"], r["year"], r["year_end"], None if r["members"] is None else [tuple(m) for m in r["members"]]) for r in metadata.metadata_records(df).collect()}
+    assert got == {"a": ("group", "One", 2008, 2013, [(1, 2, "Pilot", "2020")]), "b": ("group", "Two", 2011, None, None), "c": ("single", "Three", 1999, 1999, None), "e": (None, "Five", None, None, None)}

@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near", F.concat_ws(",", "near_items").alias("near_items"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +119,21 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM m) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+), freq AS (
+  SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t
+), sets AS (
+  SELECT p, t FROM (SELECT p, unnest(list_distinct(p)) AS t FROM (SELECT DISTINCT p FROM bw)) LEFT JOIN freq USING (t) QUALIFY row_number() OVER (PARTITION BY p ORDER BY coalesce(n, 0), t) = 1
+), seen AS (
+  SELECT doc_id, t, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = t)) AS pos, w FROM (SELECT doc_id, w, unnest(list_distinct(w)) AS t FROM d) WHERE t IN (SELECT t FROM sets)
+), close AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, p, pos, w, unnest(range(greatest(pos - 19, 1), pos + 1)) AS s FROM seen JOIN sets USING (t) WHERE list_has_all(w[greatest(pos - 19, 1):pos + 19], p)) WHERE list_has_all(w[s:s + 19], p)
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM close GROUP BY doc_id
+), near_items AS (
+  SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM close JOIN bw USING (p)) GROUP BY doc_id
 )
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 OP7_SQL = f"""

@@ -193,17 +193,27 @@ def test_decontamination(spark, docs, rows):
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(str(i))
     # two texts of one id, and rows without one, are judged by themselves
+    rng, mixed = random.Random(8), words(long)[10:20]
     rows = [*rows, (rows[0][0], "Two, words of its own"), (None, "two words")]
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-2:], "doc_id bigint, text string"))
+    # the words of a window in another order, with others between them: within 20 words, just beyond, twice, in part
+    for k in range(24):
+        some = rng.sample(mixed, 10) if k % 4 else rng.sample(mixed, 9)
+        for _ in range(rng.choice((0, 5, 10, 11, 14))):
+            some.insert(rng.randrange(1, len(some)), f"other{rng.randrange(99)}")
+        rows.append((5000 + k, " ".join(["x"] * rng.randrange(50) + some + ["y"] * rng.randrange(30) + (rng.sample(mixed, 10) if k % 5 == 0 else []))))
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-26:], "doc_id bigint, text string"))
     want = []
     for i, t in rows:
-        w, hit, found = bench_words(t), set(), set()
+        w, hit, found, close, near = bench_words(t), set(), set(), 0, set()
         for p, named in windows.items():
+            if any(x in p and set(p) <= set(w[k : k + 20]) for k, x in enumerate(w)):
+                close, near = close + 1, near | named
             for k in range(len(w) - len(p) + 1):
                 if tuple(w[k : k + len(p)]) == p:
                     hit |= set(range(k, k + len(p)))
                     found |= named
-        want.append((i, len(w), len(hit), len(found), sorted(found)))
+        want.append((i, len(w), len(hit), len(found), sorted(found), close, sorted(near)))
+    assert sum(x[5] > 0 and not x[2] for x in want) > 5
     assert sorted(map(tuple, decontaminate.contamination(more, bench).collect()), key=str) == sorted(want, key=str)
 
 

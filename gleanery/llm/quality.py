@@ -133,7 +133,9 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, doc_id: str = "
 
     Rules share the risk equally, and strata and rules share the error (Bonferroni). Along the grid the order of tests
     is fixed, so testing stops at the first cutoff that fails and needs no further correction. Of the cutoffs that
-    stand, the loosest is taken that rejects most bad texts. A stratum or rule without enough labels has no cutoff.
+    stand, the loosest is taken that rejects most bad texts. A stratum or rule without enough labels has no cutoff; tables without
+    rows or labels have none at all. Null ids and labels are left out, an id labelled twice is good if all of its labels say so,
+    and rows that repeat an id count each.
     The driver gets one row per stratum, rule and cutoff; more than max_strata labelled strata raise an error.
     """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("good")).dropna().groupBy("i").agg(F.min("good").alias("good"))
@@ -166,16 +168,19 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, doc_id: str = "
 
 
 def judge_quality(features: DataFrame, cutoffs: dict[tuple[str, str], float]) -> DataFrame:
-    """features with base_failed, failed_rules (array) and kept: no base failure and no share above its cutoff.
+    """features with base_failed, certified_rules and failed_rules (arrays) and kept: no base failure and no share above its cutoff.
 
-    A share is above a cutoff if its step on the grid is; strata without cutoffs keep what the base keeps.
+    certified_rules are those that have a cutoff in the row's stratum. A share is above a cutoff if its step on the grid is, so a
+    share on the cutoff's own step stays; strata without cutoffs keep what the base keeps.
     """
-    failed = F.lit(None).cast("array<string>")
-    by_stratum: dict[str, dict[str, float]] = {}
+    by_stratum: dict[str, dict[str, int]] = {}
     for (stratum, rule), cut in cutoffs.items():
-        by_stratum.setdefault(stratum, {})[rule] = cut
-    for stratum, rules in by_stratum.items():
-        hits = F.array_compact(F.array(*(F.when(F.ceil(share(r) * GRID) > round(cut * GRID), F.lit(r)) for r, cut in rules.items())))
-        failed = F.when(F.col("stratum") == stratum, hits).otherwise(failed)
-    failed = F.coalesce(failed, F.array().cast("array<string>"))
-    return features.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+        by_stratum.setdefault(stratum, {})[rule] = round(cut * GRID)
+    schema = "stratum string, " + ", ".join(f"`__cut_{r}` int" for r in RULES)
+    side = features.sparkSession.createDataFrame([(s, *(rules.get(r) for r in RULES)) for s, rules in by_stratum.items()], schema)
+    rows = features.join(F.broadcast(side), "stratum", "left")  # one row a stratum, and max_strata bounds those
+    cut = {r: F.col(f"__cut_{r}") for r in RULES}
+    certified = F.array_compact(F.array(*(F.when(cut[r].isNotNull(), F.lit(r)) for r in RULES)))
+    failed = F.array_compact(F.array(*(F.when(F.ceil(share(r) * GRID) > cut[r], F.lit(r)) for r in RULES)))
+    rows = rows.withColumns({"base_failed": base_failed(), "certified_rules": certified, "failed_rules": failed})
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select(*features.columns, "base_failed", "certified_rules", "failed_rules", "kept")

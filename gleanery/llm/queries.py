@@ -42,7 +42,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = saved(quality.quality_features(_table(spark, sf_dir, "documents")), "features")
     cutoffs = quality.certified_cutoffs(features, _table(spark, sf_dir, "labels"))
-    return quality.judge_quality(features, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
+    return quality.judge_quality(features, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"), F.concat_ws(",", "certified_rules").alias("certified_rules"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

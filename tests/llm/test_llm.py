@@ -468,6 +468,11 @@ def test_quality_verdict_by_brute_force(spark, docs, rows):
             if stratum == r["stratum"] and -(-share * quality.GRID // 1) > round(cut * quality.GRID):
                 over.append(rule)
         assert (r["base_failed"], sorted(r["failed_rules"]), r["kept"]) == (base, sorted(over), not base and not over)
+        assert sorted(r["certified_rules"]) == sorted(rule for stratum, rule in cutoffs if stratum == r["stratum"])
+    assert quality.certified_cutoffs(features.limit(0), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")) == {}
+    assert quality.judge_quality(features.limit(0), cutoffs).count() == 0
+    # nothing certified: the base alone decides
+    assert quality.judge_quality(features, {}).filter("kept = base_failed or size(certified_rules) > 0").count() == 0
 
 
 def test_toxicity(spark, docs, rows):

@@ -127,9 +127,16 @@ def stream_dedupe(t):
     return won.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@demo("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+_SLICED = "s AS (SELECT *, event_id // ((SELECT max(event_id) - min(event_id) FROM events) // 3 + 1) AS slice FROM events)"
+
+
+@demo("""WITH s AS (SELECT *, event_id * 7 % 3 AS slice FROM events), m AS (SELECT slice, max(max(ts)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 20 DAY AS mark FROM s GROUP BY slice)
+SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM s JOIN m USING (slice) WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL""")
 def stream_metrics(t):
-    return streams.windowed_metrics(t.spark, f"{t.sf_dir}/events.parquet", "1 hour")
+    # three batches that each go through all days again. Windows over twenty days behind what a batch has seen are closed when the next one
+    # is through: the third batch's rows of such windows are dropped
+    rows = streams.in_slices(t.events.withColumn("part", F.col("event_id") * 7 % 3), "part", 3)
+    return streams.windowed_metrics(rows, "1 hour", late="20 days").select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", "total")
 
 
 _FIRST = "(SELECT user_id, CASE WHEN event_type <> 'view' THEN value END AS value, event_type, ts, event_id // ((SELECT max(event_id) - min(event_id) FROM events) // 3 + 1) AS slice FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY slice, user_id ORDER BY ts, event_id) = 1)"
@@ -175,6 +182,8 @@ def stream_failures(t):
     return stateful.streak_stream(t.spark, f"{t.sf_dir}/events.parquet", 2)
 
 
-@demo("SELECT user_id, count(*) AS done, max(event_id) AS last_id, min(ts) AS started_at, CASE WHEN count(*) >= 60 THEN 'complete' ELSE 'active' END AS status FROM events GROUP BY user_id")
+@demo(f"""WITH {_SLICED}, f AS (SELECT user_id, min(ts) AS started_at FROM s JOIN (SELECT user_id, min(slice) AS slice FROM s GROUP BY 1) USING (user_id, slice) GROUP BY 1)
+SELECT user_id, count(*) AS done, max(event_id) AS last_id, any_value(started_at) AS started_at, CASE WHEN count(*) >= 60 THEN 'complete' ELSE 'active' END AS status FROM s JOIN f USING (user_id) GROUP BY user_id""")
 def stream_progress(t):
-    return stateful.progress_stream(t.spark, f"{t.sf_dir}/events.parquet", 60)
+    # three batches: the start is that of the first batch, counts add up
+    return stateful.progress_stream(streams.in_slices(t.events, "event_id", 3), 60)

@@ -112,8 +112,8 @@ def streak_stream(spark: SparkSession, path: str, most: int) -> DataFrame:
     return latest_states(rows, Streaks(most), "user_id bigint, ok bigint, errors bigint, skipped bigint, last_id bigint").drop("last_id")
 
 
-def progress_stream(spark: SparkSession, path: str, complete_at: int) -> DataFrame:
-    """done, last_id, started_at and status of each user."""
-    rows = source(spark, path).select("user_id", "event_id", F.unix_micros("ts").alias("micros"))
-    states = latest_states(rows, Progress(), "user_id bigint, done bigint, last_id bigint, started bigint")
+def progress_stream(rows: DataFrame, complete_at: int, *, root: str | None = None) -> DataFrame:
+    """done, last_id, started_at (of the first batch that has the user) and status of each user_id of a stream."""
+    slim = rows.select("user_id", "event_id", F.unix_micros("ts").alias("micros"))
+    states = latest_states(slim, Progress(), "user_id bigint, done bigint, last_id bigint, started bigint", root=root)
     return states.select("user_id", "done", "last_id", F.timestamp_micros("started").cast("timestamp_ntz").alias("started_at"), F.when(F.col("done") >= complete_at, "complete").otherwise("active").alias("status"))

@@ -48,10 +48,23 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
     return run(source(spark, path), "append")
 
 
-def windowed_metrics(spark: SparkSession, path: str, every: str, *, time: str = "ts") -> DataFrame:
-    """Counts and sums per kind and tumbling window, all windows as they stand (complete mode)."""
-    stream = source(spark, path).withWatermark(time, "1 day").groupBy("event_type", F.window(time, every).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return run(stream.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total"), "complete")
+def windowed_metrics(rows: DataFrame, every: str, *, kind: str = "event_type", time: str = "ts", value: str = "value", late: str = "1 day", root: str | None = None) -> DataFrame:
+    """Counts and sums per kind and tumbling window of a stream, as they stand after the last batch that touched them.
+
+    Rows of windows that the watermark has left behind are dropped, and so is the state of such windows: it is that of the
+    last while, however long the stream. A root that is given again goes on from its checkpoint.
+    """
+    spark, path = rows.sparkSession, root or scratch(rows.sparkSession)
+    counted = rows.withWatermark(time, late).groupBy(kind, F.window(time, every).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    out = counted.select(kind, F.col("w.start").alias("start"), "n", "total")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    out.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    found = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/rows")
+    return found.groupBy(kind, "start").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
 
 
 def advanced(old: DataFrame, new: DataFrame, key: str, *, complete_at: int) -> DataFrame:

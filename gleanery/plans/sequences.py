@@ -10,6 +10,7 @@ from gleanery.operators import choose as C
 from gleanery.operators import rotation as R
 from gleanery.operators import streaks as S
 from gleanery.operators.rank import ranked as ranked_rows
+from gleanery.operators.state import sound_state
 from gleanery.plans.demo import demo
 from gleanery.plans.normalize import SCORED_SQL, scored
 
@@ -143,10 +144,19 @@ def active_pointer(t):
     return t.orders.filter("o_orderstatus = 'P'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(1).select("o_custkey", "o_orderkey")
 
 
-@demo("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)")
+@demo("""WITH x AS (SELECT 'c' || o_custkey AS entity, o_orderstatus AS st, o_orderkey AS k, CASE WHEN o_orderkey % 6 <> 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS updated_at FROM orders),
+n AS (SELECT entity, CASE WHEN k % 4 = 0 THEN entity ELSE 'name ' || k END AS name, CASE WHEN st = 'F' THEN 'complete' ELSE 'open' END AS status, CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS done, k % 50 AS total, CASE WHEN k % 5 <> 0 THEN k % 9 END AS last_major, updated_at, k FROM x),
+r AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY entity ORDER BY coalesce(updated_at, '') DESC, status DESC, name DESC, done DESC) = 1)
+SELECT entity, name, status, done, total, last_major, updated_at FROM r WHERE status = 'open' UNION ALL SELECT * FROM (SELECT entity, name, status, done, total, last_major, updated_at FROM r WHERE status = 'complete' ORDER BY coalesce(updated_at, '') DESC, entity LIMIT 50)""")
 def retain_latest_n(t):
-    done = t.orders.filter("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
-    return t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey").unionByName(done.select("o_orderkey"))
+    # the state of customers as orders wrote it, with words where numbers should be, ids in all forms, and no time for some
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    id_ = F.concat(F.lit(" C"), "o_custkey", F.lit(" "))
+    raw = t.orders.select(
+        id_.alias("entity"), F.when(k % 4 != 0, F.concat(F.lit("name "), k)).alias("name"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise(F.col("o_orderstatus")).alias("status"), F.when(k % 3 == 0, "many").otherwise(text(k)).alias("done"),
+        text(k % 50).alias("total"), F.when(k % 5 == 0, "1.5").otherwise(text(k % 9)).alias("last_major"), *(F.lit(None).cast("string").alias(c) for c in ("last_minor", "next_major", "next_minor")), F.when(k % 6 != 5, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("updated_at"),
+    )
+    return sound_state(raw, keep_complete=50).select("entity", "name", "status", "done", "total", "last_major", "updated_at")
 
 
 @demo("""WITH i AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i),

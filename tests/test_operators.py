@@ -263,3 +263,17 @@ def test_metadata_of_odd_records(spark):
     df = spark.createDataFrame(rows, f"id string, kind string, requested string, name string, year string, videos {video}")
     got = {r["id"]: (r["kind"], r["name"], r["year"], r["year_end"], None if r["members"] is None else [tuple(m) for m in r["members"]]) for r in metadata.metadata_records(df).collect()}
     assert got == {"a": ("group", "One", 2008, 2013, [(1, 2, "Pilot", "2020")]), "b": ("group", "Two", 2011, None, None), "c": ("single", "Three", 1999, 1999, None), "e": (None, "Five", None, None, None)}
+
+
+def test_state_is_made_sound(spark):
+    from gleanery.operators.state import sound_pointer, sound_state
+
+    names = ["entity", "name", "status", "done", "total", "last_major", "last_minor", "next_major", "next_minor", "updated_at"]
+    row = lambda e, status, at, **more: tuple({"entity": e, "status": status, "updated_at": at, **more}.get(n) for n in names)
+    rows = [row(" TT1 ", "complete", "2020", done="3"), row("tt2", "odd", None, done="x", total="-1", last_major="2.0"), row("tt3", "complete", None), row("tt4", "complete", "2021", name="n"), row("tt4", "in", "2019"), row("", "open", "2022"), row(None, "open", "2022")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r["entity"]: (r["name"], r["status"], r["done"], r["total"], r["last_major"]) for r in sound_state(df, keep_complete=2).collect()}
+    assert got == {"tt1": ("tt1", "complete", 3, 0, None), "tt2": ("tt2", "open", 0, -1, None), "tt4": ("n", "complete", 0, 0, None)}
+    state = sound_state(df)
+    assert [sound_pointer(state, p) for p in (" TT2", "tt4", "tt9", "", None)] == ["tt2", None, "tt9", None, None]
+    assert sound_state(df.limit(0)).count() == 0

@@ -318,7 +318,9 @@ def encoder_for(data: bytes, pattern: str) -> Encoder:
 
 
 def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, token_ids (array of int), for each row of docs; a null text has none. Other columns are not read.
+    """doc_id, token_ids (array of int), for each row of docs; a null or empty text has none. Other columns are not read.
+
+    Rows that repeat a doc_id, or have none, are encoded each. Ranks are unique; of equal pairs in a piece the leftmost merges first.
 
     ranks_path is a file of the driver, of fixed size; its contents go to the executors.
     """
@@ -329,7 +331,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: s
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: what a round trip through the tokenizer gives for each row.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes. A
-    null text counts as empty.
+    null text counts as empty. Rows that repeat a doc_id, or have none, have a row each.
     """
 
     def digests(enc: Encoder, ids: np.ndarray, n: np.ndarray) -> list[pa.Array]:

@@ -76,7 +76,8 @@ def _dense(keys: np.ndarray) -> np.ndarray:
 
 
 def quality_features(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", strata: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """doc_id, stratum (the strata columns joined by '/', null as '?'), and COUNTS, for each row; null texts are empty."""
+    """doc_id, stratum (the strata columns joined by '/', null as '?'), and COUNTS, for each row; null texts are empty. Rows that repeat a
+    doc_id, or have none, are counted each; other columns are not read."""
     workers_can_import(docs.sparkSession)
     columns = [c.split()[0] for c in COUNTS.split(", ")]
 

@@ -21,6 +21,7 @@ def held_out() -> Column:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, threshold and rejected of each row; see score_toxicity. Held-out labels take no part in the fit."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels.filter(~held_out()))
     scored = toxicity.score_toxicity(docs, model)
@@ -28,6 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and near_items (comma-joined) of each row; see contamination."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near", F.concat_ws(",", "near_items").alias("near_items"))
 
@@ -40,12 +42,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, failed_rules and certified_rules (comma-joined) of each row; see judge_quality."""
     features = saved(quality.quality_features(_table(spark, sf_dir, "documents")), "features")
     cutoffs = quality.certified_cutoffs(features, _table(spark, sf_dir, "labels"))
     return quality.judge_quality(features, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"), F.concat_ws(",", "certified_rules").alias("certified_rules"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; see encode_and_decode."""
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -54,18 +58,22 @@ URL_RULES = [("allow", "com", ""), ("block", "example.com", "en/"), ("allow", "w
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_score of each row; see judge_urls."""
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; see ngram_classes."""
     return ngram_join.ngram_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each row; see repeated_passages."""
     return substring.repeated_passages(_table(spark, sf_dir, "documents"), width=13).drop("removed")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from its token files; see token_round_trip."""
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 

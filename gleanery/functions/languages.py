@@ -68,8 +68,8 @@ def language_set(declared: Column, text: Column) -> Column:
     pairs = F.regexp_extract_all(F.concat_ws(" ", text, declared), F.lit(f"({_FLAG}{{2}})"), 1)
     letters = "".join(chr(0x1F1E6 + k) for k in range(26))
     flags = _looked_up(REGIONS, F.transform(pairs, lambda p: F.translate(p, letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
-    spoken = without_subtitles(text)
-    named = F.array(*(F.when(spoken.rlike(java(p)), F.lit(code)) for code, p in NAMES))
+    # array functions are interpreted and share nothing: the text without subtitles is bound to a name, or it would be made for each pattern
+    named = F.transform(F.array(without_subtitles(text)), lambda spoken: F.array(*(F.when(spoken.rlike(java(p)), F.lit(code)) for code, p in NAMES)))[0]
     return F.array_distinct(F.array_compact(F.concat(said, flags, named)))
 
 

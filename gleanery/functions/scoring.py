@@ -62,12 +62,22 @@ OFF_TOPIC, WRONG, HUGE, LARGE = -3.0, -5.0, -2.5, -1.0
 GIB = 1024**3
 
 
-def record_rules(category: Column, measure: Column, size: Column, text: Column, off_topic: Column, wrong: Column) -> list[Rule]:
-    """The default table for records: category, measure, source, features, penalties for content and size."""
-    fits = lambda p: text.rlike(java(p))
-    rules = [Rule("upscaled", (category == "4K") & fits(UPSCALED_TEXT), UPSCALED, "category")]
+#: What the rules look for in texts.
+IN_TEXTS = {"upscaled": UPSCALED_TEXT, **{name: p for name, p, _ in (*SOURCES, *FEATURES, *PENALTIES)}}
+
+
+def text_matches(text: Column) -> Column:
+    """A struct of booleans: which of IN_TEXTS the text matches."""
+    return F.struct(*(text.rlike(java(p)).alias(name) for name, p in IN_TEXTS.items()))
+
+
+def record_rules(category: Column, measure: Column, size: Column, text: Column, off_topic: Column, wrong: Column, found: Column | None = None) -> list[Rule]:
+    """The default table for records: category, measure, source, features, penalties for content and size. found: text_matches(text), where that is
+    a column already."""
+    fits = lambda name: text.rlike(java(IN_TEXTS[name])) if found is None else found[name]
+    rules = [Rule("upscaled", (category == "4K") & fits("upscaled"), UPSCALED, "category")]
     rules += [Rule(f"is_{name.lower()}", category == name, points, "category") for name, points in CATEGORY.items()]
     rules += [Rule("other_category", F.lit(True), UNKNOWN_CATEGORY, "category"), Rule("measure", F.lit(True), measure_points(measure))]
-    rules += [Rule(name, fits(p), points, "source") for name, p, points in SOURCES] + [Rule(name, fits(p), points) for name, p, points in FEATURES]
-    rules += [Rule("off_topic", off_topic, OFF_TOPIC), Rule("wrong", wrong, WRONG)] + [Rule(name, fits(p), points) for name, p, points in PENALTIES]
+    rules += [Rule(name, fits(name), points, "source") for name, _, points in SOURCES] + [Rule(name, fits(name), points) for name, _, points in FEATURES]
+    rules += [Rule("off_topic", off_topic, OFF_TOPIC), Rule("wrong", wrong, WRONG)] + [Rule(name, fits(name), points) for name, _, points in PENALTIES]
     return rules + [Rule("huge", size > 40 * GIB, HUGE, "size"), Rule("large", size > 25 * GIB, LARGE, "size")]

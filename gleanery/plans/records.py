@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import languages as L
 from gleanery.functions import scoring as S
+from gleanery.operators.values import once_per_value
 from gleanery.plans.demo import demo
 
 _DECLARED = ["", "es", "Spanish, ENG", "por|fra", "xx+deu", "Klingon toolong", "\U0001f1f2\U0001f1fd", "ita/en", "eng", "LATINO"]
@@ -26,7 +27,10 @@ def _records(t):
     category = pick(_CATEGORIES, F.col("l_orderkey"))
     measure = F.when(F.col("l_partkey") % 9 == 0, None).otherwise(F.col("l_partkey") % 160 - 5)
     size = (F.col("l_quantity") * S.GIB).cast("bigint")
-    rows = line.select(*_KEYS.split(", "), pick(_DECLARED, F.col("l_orderkey") + F.col("l_suppkey")).alias("declared"), text.alias("text"), category.alias("category"), measure.alias("measure"), size.alias("size"), (F.col("l_suppkey") % 13 == 0).alias("trusted"))
+    return line.select(*_KEYS.split(", "), pick(_DECLARED, F.col("l_orderkey") + F.col("l_suppkey")).alias("declared"), text.alias("text"), category.alias("category"), measure.alias("measure"), size.alias("size"), (F.col("l_suppkey") % 13 == 0).alias("trusted"))
+
+
+def _with_languages(rows):
     return rows.withColumn("languages", L.language_set(F.col("declared"), F.col("text")))
 
 
@@ -50,7 +54,8 @@ n AS (SELECT *, CASE WHEN es_tier >= 2 THEN CASE WHEN list_contains(languages, '
 
 @demo(f"{_RECORDS} SELECT {_KEYS}, array_to_string(languages, '+') AS languages FROM l")
 def language_sets(t):
-    return _records(t).select(*_KEYS.split(", "), F.concat_ws("+", "languages").alias("languages"))
+    rows = _with_languages(_records(t))
+    return rows.select(*_KEYS.split(", "), F.concat_ws("+", "languages").alias("languages"))
 
 
 @demo(f"""{_RECORDS} SELECT {_KEYS}, es_tier, en_tier,
@@ -58,9 +63,14 @@ CAST(CASE WHEN {_matches("text", L.ES_SUBTITLES)} THEN 0 WHEN {_matches("heard",
 CAST(CASE WHEN {_matches("heard", L.OTHERS)} AND NOT {_matches("heard", L.EN_SOME)} THEN 0.1 WHEN {_matches("heard", L.EN_SURE)} THEN 1 WHEN list_contains(languages, 'en') THEN CASE WHEN en_tier >= 2 THEN 0.95 ELSE 0.75 END WHEN len(languages) = 0 AND NOT regexp_matches(heard, '{L.OTHER_SCRIPTS}') THEN 0.55 ELSE 0 END AS DOUBLE) AS en_confidence FROM n""")
 def language_tiers(t):
     text, own, trusted = F.col("text"), F.col("languages"), F.col("trusted")
-    rows = _records(t).withColumn("es_tier", L.es_tier(own, text, trusted))
-    rows = rows.withColumn("en_tier", L.en_tier(own, text, F.col("es_tier")))
-    return rows.select(*_KEYS.split(", "), "es_tier", "en_tier", L.es_confidence(own, text, trusted, F.col("es_tier")).alias("es_confidence"), L.en_confidence(own, text, F.col("en_tier")).alias("en_confidence"))
+
+    def judged(rows):
+        rows = _with_languages(rows).withColumn("es_tier", L.es_tier(own, text, trusted))
+        rows = rows.withColumn("en_tier", L.en_tier(own, text, F.col("es_tier")))
+        return rows.withColumns({"es_confidence": L.es_confidence(own, text, trusted, F.col("es_tier")), "en_confidence": L.en_confidence(own, text, F.col("en_tier"))})
+
+    rows = once_per_value(_records(t), ["declared", "text", "trusted"], judged)
+    return rows.select(*_KEYS.split(", "), "es_tier", "en_tier", "es_confidence", "en_confidence")
 
 
 _CATEGORY = " ".join(f"WHEN category = '{c}' THEN {p}" for c, p in S.CATEGORY.items())
@@ -74,8 +84,8 @@ CAST(CASE {_SOURCE} ELSE 0 END AS DOUBLE) + ({_FEATURES}) AS of_features, CAST(C
 SELECT {_KEYS}, floor((of_category + of_measure + of_features + penalties) * 100 + 0.5) / 100 AS score, of_category, floor(of_measure * 100 + 0.5) / 100 AS of_measure, floor(of_features * 100 + 0.5) / 100 AS of_features, penalties FROM p""")
 def rule_scores(t):
     # the score of the default table, and what groups of its rules gave
-    rows = _records(t)
-    rules = S.record_rules(F.col("category"), F.col("measure"), F.col("size"), F.col("text"), F.col("l_partkey") % 19 == 0, F.col("l_partkey") % 23 == 0)
+    rows = once_per_value(_records(t), ["text"], lambda r: r.withColumn("found", S.text_matches(F.col("text"))))
+    rules = S.record_rules(F.col("category"), F.col("measure"), F.col("size"), F.col("text"), F.col("l_partkey") % 19 == 0, F.col("l_partkey") % 23 == 0, F.col("found"))
     rows = rows.withColumn("given", S.parts(rules))
     of = lambda pick: S.total(F.col("given"), [r for r in rules if pick(r)])
     lost = lambda r: r.group == "size" or r.name in ("off_topic", "wrong", *(n for n, *_ in S.PENALTIES))

@@ -54,7 +54,7 @@ n AS (SELECT *, CASE WHEN es_tier >= 2 THEN CASE WHEN list_contains(languages, '
 
 @demo(f"{_RECORDS} SELECT {_KEYS}, array_to_string(languages, '+') AS languages FROM l")
 def language_sets(t):
-    rows = _with_languages(_records(t))
+    rows = once_per_value(_records(t), ["declared", "text"], _with_languages)
     return rows.select(*_KEYS.split(", "), F.concat_ws("+", "languages").alias("languages"))
 
 

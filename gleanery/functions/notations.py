@@ -51,10 +51,15 @@ def member_evidence(major: Column, minor: Column, file: Column, title: Column) -
     The first of file name and title that names members decides; where none does, the majors that the title names. A
     null coordinate, or texts that name nothing, are unknown.
     """
+    return evidence_of(major, minor, member_ranges(file), member_ranges(title), major_ranges(title))
+
+
+def evidence_of(major: Column, minor: Column, of_file: Column, of_title: Column, majors: Column) -> Column:
+    """member_evidence from the members that file name and title name, and the majors that the title does (null: none)."""
     none = F.array().cast("array<struct<major:int,low:int,high:int>>")
-    of_file, of_title = (F.coalesce(member_ranges(x), none) for x in (file, title))
+    of_file, of_title = (F.coalesce(x, none) for x in (of_file, of_title))
     members = F.when(F.size(of_file) > 0, of_file).otherwise(of_title)
-    majors = F.coalesce(major_ranges(title), F.array().cast("array<struct<low:int,high:int>>"))
+    majors = F.coalesce(majors, F.array().cast("array<struct<low:int,high:int>>"))
     hit = F.when(F.size(members) > 0, F.exists(members, lambda m: (m["major"] == major) & minor.between(m["low"], m["high"])))
     hit = hit.when(F.size(majors) > 0, F.exists(majors, lambda m: major.between(m["low"], m["high"])))
     return F.when(major.isNull() | minor.isNull() | hit.isNull(), "unknown").when(hit, "match").otherwise("mismatch")

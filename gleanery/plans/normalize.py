@@ -8,6 +8,7 @@ from gleanery.functions import metadata as MD
 from gleanery.functions import notations as N
 from gleanery.functions import rules as R
 from gleanery.functions import titles as TT
+from gleanery.operators.values import once_per_value
 from gleanery.plans.demo import demo
 from gleanery.sources import tables as T
 
@@ -153,7 +154,10 @@ def range_match(t):
         file, title = F.when(form == k, F.expr(f)).otherwise(file), F.when(form == k, F.expr(x)).otherwise(title)
     minor = F.when(F.col("l_suppkey") % 17 != 0, F.col("minor"))
     rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "major", minor.alias("minor"), file.alias("file"), title.alias("title"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.member_evidence(F.col("major"), F.col("minor"), F.col("file"), F.col("title")).alias("evidence"))
+    # a file name or title comes again and again: what it names is read once for each
+    rows = once_per_value(rows, ["file"], lambda r: r.withColumn("of_file", N.member_ranges(F.col("file"))))
+    rows = once_per_value(rows, ["title"], lambda r: r.withColumns({"of_title": N.member_ranges(F.col("title")), "majors": N.major_ranges(F.col("title"))}))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.evidence_of(*map(F.col, ("major", "minor", "of_file", "of_title", "majors"))).alias("evidence"))
 
 
 @demo("""SELECT doc_id, CASE WHEN lang = 'es' AND source = 'src1' THEN 3 WHEN lang = 'es' THEN 2 WHEN contains(text, 'que') THEN 1 ELSE 0 END AS es_tier, CASE WHEN lang = 'en' THEN 2 WHEN contains(text, 'the') THEN 1 ELSE 0 END AS en_tier FROM documents""")

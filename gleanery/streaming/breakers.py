@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gleanery.streaming.stateful import latest_states
+from gleanery.streaming.stateful import Buckets, by_key, column, latest_states
 
 COUNTERS = ("ok", "errors", "skipped", "opened")
 SCHEMA = "ok bigint, errors bigint, skipped bigint, opened bigint, open boolean, expired boolean, seq bigint"
@@ -61,60 +60,52 @@ def walk(times: np.ndarray, failed: np.ndarray, streak: int, until: int, most: i
     return ok, errors, skipped, opened, streak, until
 
 
-class Breakers(StatefulProcessor):
+class Breakers(Buckets):
     """Per key: counts of ok, failed and skipped rows and of openings. Times are microseconds.
 
-    A timer closes an open breaker when the watermark passes the end of its cool-down, so that its state says so without a new
-    row; a second one drops the state of a key without rows for idle (0: never), after which it starts anew.
+    A timer closes open breakers when the watermark passes the end of their cool-down, so that their states say so without a new
+    row; it also drops the states of keys without rows for idle (0: never), which then start anew.
     """
 
-    def __init__(self, key: str, most: int, cool_down: int, idle: int = 0) -> None:
-        self.key, self.most, self.cool_down, self.idle = key, most, cool_down, idle
+    #: ok, errors, skipped, opened, streak, until, last, seq
+    width = 8
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("breaker", "ok bigint, errors bigint, skipped bigint, opened bigint, streak bigint, until bigint, last bigint, seq bigint")
+    def __init__(self, most: int, cool_down: int, idle: int = 0) -> None:
+        self.most, self.cool_down, self.idle = most, cool_down, idle
 
-    def _row(self, key, state: tuple, expired: bool = False) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], **{c: [state[k]] for k, c in enumerate(COUNTERS)}, "open": [bool(state[5])], "expired": [expired], "seq": [state[7]]})
+    def _rows(self, keys: list[str], numbers: np.ndarray, expired: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key__": keys, **{c: numbers[:, k] for k, c in enumerate(COUNTERS)}, "open": numbers[:, 5] != 0, "expired": expired, "seq": numbers[:, 7]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = tuple(self.state.get()) if self.state.exists() else (0,) * 8
-        # 17 bytes a row of the key, whatever else a row holds
-        parts = [(p["micros"].to_numpy(dtype=np.int64), p["n"].to_numpy(dtype=np.int64), p["failed"].to_numpy(dtype=bool)) for p in rows]
-        times, n, failed = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((n, times))
-        *counts, streak, until = walk(times[order], failed[order], before[4], before[5], self.most, self.cool_down)
-        last = max(before[6], int(times.max()))
-        state = (*(int(a + b) for a, b in zip(before[:4], counts, strict=True)), int(streak), int(until), last, before[7] + 1)
-        self.state.update(state)
-        self._timers(state)
-        yield self._row(key, state)
-
-    def _timers(self, state: tuple) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if state[5]:
-            self.handle.registerTimer(state[5] // 1000 + 1)
-        if self.idle:
-            self.handle.registerTimer((state[6] + self.idle) // 1000 + 1)
+        parts = list(rows)
+        times, n, failed = column(parts, "micros", np.int64), column(parts, "n", np.int64), column(parts, "failed", bool)
+        keys, numbers, place, _ = self.merged(column(parts, "key__", object))
+        touched = []
+        for k, own in by_key(place, times, n):
+            before = numbers[k].tolist()
+            *counts, streak, until = walk(times[own], failed[own], before[4], before[5], self.most, self.cool_down)
+            numbers[k] = (*(a + b for a, b in zip(before[:4], counts, strict=True)), streak, until, max(before[6], int(times[own[-1]])), before[7] + 1)
+            touched.append(k)
+        self.store(keys, numbers)
+        self._alarm(numbers)
+        yield self._rows([keys[k] for k in touched], numbers[touched], np.zeros(len(touched), dtype=bool))
+
+    def _alarm(self, numbers: np.ndarray) -> None:
+        ends = numbers[numbers[:, 5] != 0, 5]
+        self.alarm(np.concatenate([ends, numbers[:, 6] + self.idle]) if self.idle else ends)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.state.exists():
-            return
-        state, now = tuple(self.state.get()), expiredTimerInfo.getExpiryTimeInMs() * 1000
-        gone = self.idle and state[6] + self.idle <= now
-        if state[5] and state[5] <= now:
-            state = (*state[:4], 0, 0, *state[6:])
-        state = (*state[:7], state[7] + 1)
-        if gone:
-            self.state.clear()
-        else:
-            self.state.update(state)
-        yield self._row(key, state, bool(gone))
-
-    def close(self) -> None:
-        pass
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        keys, numbers = self.load()
+        over = (numbers[:, 5] != 0) & (numbers[:, 5] // 1000 + 1 <= now)
+        gone = (numbers[:, 6] + self.idle) // 1000 + 1 <= now if self.idle else np.zeros(len(keys), dtype=bool)
+        numbers[over, 4:6] = 0
+        told = np.flatnonzero(over | gone)
+        numbers[told, 7] += 1
+        self.store([k for k, g in zip(keys, gone, strict=True) if not g], numbers[~gone])
+        self._alarm(numbers[~gone])
+        if len(told):
+            yield self._rows([keys[k] for k in told], numbers[told], gone[told])
 
 
 def breaker_stream(rows: DataFrame, key: str, time: str, number: str, failed: Column, *, most: int, cool_down: int, idle: int = 0, late: str = "0 seconds", root: str | None = None) -> DataFrame:
@@ -124,6 +115,5 @@ def breaker_stream(rows: DataFrame, key: str, time: str, number: str, failed: Co
     batch goes on from the state before. Rows later than the watermark are dropped. cool_down and idle are microseconds. A root
     that is given again goes on from its checkpoint.
     """
-    kind = rows.schema[key].dataType.simpleString()
     slim = rows.withWatermark(time, late).select(key, F.unix_micros(time).alias("micros"), F.col(number).cast("bigint").alias("n"), F.coalesce(failed, F.lit(False)).alias("failed"), time)
-    return latest_states(slim, Breakers(key, most, cool_down, idle), f"{key} {kind}, {SCHEMA}", key=key, time_mode="EventTime", root=root)
+    return latest_states(slim, Breakers(most, cool_down, idle), SCHEMA, key=key, time_mode="EventTime", root=root)

@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gleanery.streaming.stateful import keyed_stream
+from gleanery.streaming.stateful import Buckets, by_key, column, keyed_stream
 
 
 def admitted(times: np.ndarray, until: int, within: int) -> tuple[list[int], int]:
@@ -23,42 +22,39 @@ def admitted(times: np.ndarray, until: int, within: int) -> tuple[list[int], int
     return won, until
 
 
-class FirstWins(StatefulProcessor):
-    """A row wins if no row of its key has won less than within (microseconds) before it. A timer drops the state when the
-    watermark passes the end, so state is that of the keys of the last while, not of all keys ever seen."""
+class FirstWins(Buckets):
+    """A row wins if no row of its key has won less than within (microseconds) before it. A timer drops states when the
+    watermark passes their end, so state is that of the keys of the last while, not of all keys ever seen."""
 
     def __init__(self, within: int, columns: list[str]) -> None:
         self.within, self.columns = within, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("until", "until bigint")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = self.state.get()[0] if self.state.exists() else 0
         parts = list(rows)
-        times = np.concatenate([p["micros__"].to_numpy(dtype=np.int64) for p in parts])
-        number = np.concatenate([p["number__"].to_numpy(dtype=np.int64) for p in parts])
-        order = np.lexsort((number, times))
-        won, until = admitted(times[order], until, self.within)
-        self.state.update((until,))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(until // 1000 + 1)
-        keep, start = np.sort(order[won]), 0
+        times, number = column(parts, "micros__", np.int64), column(parts, "number__", np.int64)
+        keys, numbers, place, _ = self.merged(column(parts, "key__", object))
+        keep = []
+        for k, own in by_key(place, times, number):
+            won, until = admitted(times[own], int(numbers[k, 0]), self.within)
+            numbers[k, 0] = until
+            keep.append(own[won])
+        self.store(keys, numbers)
+        self.alarm(numbers[:, 0])
+        keep, start = np.sort(np.concatenate(keep)), 0
         for p in parts:
-            own = keep[(keep >= start) & (keep < start + len(p))] - start
+            own = keep[np.searchsorted(keep, start) : np.searchsorted(keep, start + len(p))] - start
             if len(own):
                 yield p.iloc[own][self.columns]
             start += len(p)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        keys, numbers = self.load()
+        open_ = numbers[:, 0] // 1000 + 1 > now
+        self.store([k for k, lasts in zip(keys, open_, strict=True) if lasts], numbers[open_])
+        self.alarm(numbers[open_, 0])
         return iter(())
 
-    def close(self) -> None:
-        pass
-
 
 def first_wins(rows: DataFrame, keys: list[str], time: str, number: str, *, within: int, late: str = "0 seconds", root: str | None = None, progress: list | None = None) -> DataFrame:
     """Rows of a stream that win (all of its columns), after all that there is now, from the first batch on.

@@ -193,3 +193,14 @@ def test_slices_come_in_order(spark):
     rows = spark.createDataFrame([(k, k * k) for k in range(10)], "k int, v int")
     assert streams.run(streams.in_slices(rows, "k", 3), "append").count() == 10
     assert streams.run(streams.in_slices(rows.limit(0), "k", 3), "append").count() == 0
+
+
+def test_states_are_called_for_buckets_of_keys(spark):
+    """Calls of the state store cost more than the rest: their number must not grow with the keys."""
+    from gleanery.streaming.stateful import BUCKETS
+
+    rows = spark.range(4000).select("id", F.concat(F.lit("k\n"), F.col("id") % 2000).alias("k"), F.timestamp_seconds(F.col("id") + 86_400).alias("ts"))
+    progress = []
+    won = first_wins(streams.in_slices(rows, "id", 2), ["k"], "ts", "id", within=10_000 * SECOND, progress=progress)
+    assert sorted(r["id"] for r in won.collect()) == list(range(2000))
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= BUCKETS

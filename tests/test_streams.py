@@ -195,6 +195,16 @@ def test_slices_come_in_order(spark):
     assert streams.run(streams.in_slices(rows.limit(0), "k", 3), "append").count() == 0
 
 
+def test_a_slice_is_a_batch_of_several_files(spark):
+    """The second slice has no rows and the last but one, and all have as many files."""
+    rows = spark.createDataFrame([(k, f"v{k}") for k in [*range(20), 89]], "k int, v string")
+    seen = []
+    stream = streams.in_slices(rows, "k", 3, rows_per_file=2)
+    assert stream.columns == ["k", "v"]
+    stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r["k"] for r in b.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(20)), [], [89]]
+
+
 def test_states_are_called_for_buckets_of_keys(spark):
     """Calls of the state store cost more than the rest: their number must not grow with the keys."""
     from gleanery.streaming.stateful import BUCKETS

@@ -206,7 +206,7 @@ def test_a_slice_is_a_batch_of_several_files(spark):
 
 
 def test_states_are_called_for_buckets_of_keys(spark):
-    """Calls of the state store cost more than the rest: their number must not grow with the keys."""
+    """The number of calls of the state store must not grow with the keys."""
     from gleanery.streaming.stateful import BUCKETS
 
     rows = spark.range(4000).select("id", F.concat(F.lit("k\n"), F.col("id") % 2000).alias("k"), F.timestamp_seconds(F.col("id") + 86_400).alias("ts"))

@@ -74,8 +74,9 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, *, anchors: int = 3) ->
 
 
 def _phrases(docs: DataFrame, numbered: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    # the list of the rarest term gives the places, each further list is shifted by its own offset and must agree
-    places = postings.join(checked_broadcast(terms), "term").select("p", "doc", (F.col("at") - F.col("offset")).alias("start"), "rank").filter("start >= 0").distinct()
+    # the list of the rarest term gives the places, each further list is shifted by its own offset and must agree; a term has
+    # one offset and one posting a place, so each rank is there once
+    places = postings.join(checked_broadcast(terms), "term").select("p", "doc", (F.col("at") - F.col("offset")).alias("start"), "rank").filter("start >= 0")
     needed = terms.groupBy("p").agg(F.max("rank").alias("needed")).join(numbered.select("p", F.size("words").alias("length")), "p")
     places = places.groupBy("p", "doc", "start").agg(F.count("*").alias("have")).join(checked_broadcast(needed), "p").filter("have = needed").select("p", "doc", "start", "length")
     places = saved(places, "places")

@@ -59,9 +59,10 @@ def _common(star: DataFrame, members: DataFrame, pivots: DataFrame) -> DataFrame
     if sample.isEmpty():
         return None
     drawn = members.select("id", "x", F.explode("stars.pivot").alias("pivot")).join(checked_broadcast(sample), ["pivot", "id"], "left_semi")
-    added = drawn.join(pivots, "pivot").select("pivot", F.explode(F.array_except("x", "p")).alias("token"))
-    counts = added.groupBy("pivot", "token").agg(F.count("*").alias("n")).filter("n > 1")
-    return saved(counts.groupBy("pivot").agg(F.collect_list("token").alias("common")), "common")
+    # what SAMPLE sets add is one sorted array for each pivot, in which what two of them add stands side by side
+    added = drawn.join(pivots, "pivot").groupBy("pivot").agg(F.sort_array(F.flatten(F.collect_list(F.array_except("x", "p")))).alias("added"))
+    twice = F.filter("added", lambda token, at: (at > 0) & (F.get("added", at - 1) == token))
+    return saved(added.select("pivot", F.array_distinct(twice).alias("common")).filter("size(common) > 0"), "common")
 
 
 def _judged(star: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

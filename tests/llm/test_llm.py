@@ -89,6 +89,25 @@ def test_links_through_sets_linked_to_the_pivot(spark):
         assert got == want
 
 
+def test_what_sets_add_in_common_is_found_without_a_row_for_each_token(spark, monkeypatch):
+    rng = random.Random(8)
+    p, both = list(range(100)), list(range(1000, 1010))
+    sets = {k: [*p[k % 50 :], *rng.sample(both, 3), 10**6 + k] for k in range(1, 100)}
+    plans = {}
+
+    def recorded(df, what, own=links.saved):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, what)
+
+    monkeypatch.setattr(links, "saved", recorded)
+    star = spark.createDataFrame([(0, k) for k in sets], "pivot bigint, id bigint")
+    members = spark.createDataFrame([(k, [(0,)], x) for k, x in sets.items()], "id bigint, stars array<struct<pivot: bigint>>, x array<bigint>")
+    found = links._common(star, members, spark.createDataFrame([(0, p)], "pivot bigint, p array<bigint>")).collect()
+    assert [(r["pivot"], sorted(r["common"])) for r in found] == [(0, both)]
+    assert "explode(array_except" not in plans["common"]
+    assert links._common(star.limit(links.SAMPLE), members, spark.createDataFrame([(0, p)], "pivot bigint, p array<bigint>")) is None
+
+
 def classes_of_families(sets, percent):
     out = {}
     for k in range(0, len(sets), 3):
@@ -217,6 +236,21 @@ def test_decontamination(spark, docs, rows):
     assert sorted(map(tuple, decontaminate.contamination(more, bench).collect()), key=str) == sorted(want, key=str)
 
 
+def test_places_of_phrases_are_shuffled_once(spark, monkeypatch):
+    plans = {}
+
+    def recorded(df, what, own=decontaminate.saved):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, what)
+
+    monkeypatch.setattr(decontaminate, "saved", recorded)
+    docs = spark.createDataFrame([(1, "x a b a b c a b".split()), (2, "b a c".split()), (3, "a b".split())], "doc bigint, words array<string>")
+    phrases = spark.createDataFrame([("a b", ["a", "b"]), ("a b a", ["a", "b", "a"])], "phrase string, words array<string>")
+    got = sorted((r["phrase"], r["doc"], r["start"], r["length"]) for r in decontaminate.phrase_matches(docs, phrases).collect())
+    assert got == [("a b", 1, 1, 2), ("a b", 1, 3, 2), ("a b", 1, 6, 2), ("a b", 3, 0, 2), ("a b a", 1, 1, 3)]
+    assert sum("Exchange hashpartitioning" in x and "start#" in x for x in plans["places"].splitlines()) == 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a q b q c z z".split()), (2, "c x x x x a b".split())], "doc bigint, words array<string>")
     phrases = spark.createDataFrame([("a b c", ["a", "b", "c"])], "phrase string, words array<string>")

@@ -30,6 +30,19 @@ def test_stages(spark, docs, tmp_path):
     assert "n_tokens" in rows.columns and None in now
 
 
+def test_texts_are_not_shuffled_to_leave_out_few_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, None)], "doc_id bigint, text string")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline._without(docs, spark.createDataFrame([(2,), (2,), (None,), (7,)], "doc_id bigint"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a"), (3, None), (None, "d")]
+
+
 def plain_score(model, text):
     """The network by loops over places and filters."""
     import math

@@ -29,8 +29,11 @@ SAMPLE = 64
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
-    """Jaccard similarity of at least so many per cent, in whole numbers."""
-    return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
+    """Jaccard similarity of at least so many per cent (1 or more), in whole numbers; empty sets are not similar.
+
+    shared is named once, as a plan may work it out each time it is named.
+    """
+    return ((100 + percent) * shared >= percent * (a + b)) & (a + b > 0)
 
 
 def _pivoted(buckets: DataFrame) -> DataFrame:

@@ -198,6 +198,49 @@ def test_line_dedup_removes_only_what_an_earlier_line_matches(spark):
     assert "" in left and len(left & {rows[8][1], rows[9][1]}) == 1
 
 
+def mixed_lines():
+    """Families of edited lines, lines around one passage, lines that repeat themselves, and lines of all lengths."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage_, lines = [word() for _ in range(30)], []
+    for n in (5, 6, 9, 14, 23, 40, 61, 90):
+        base = [word() for _ in range(n)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randrange(1 + n // 12)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+            lines.append(w[rng.randrange(1 + n // 10) :])
+    lines += [[word() for _ in range(rng.randrange(40))] + passage_ + [word() for _ in range(rng.randrange(40))] for _ in range(40)]
+    for few in (1, 2, 3, 5):
+        lines += [[f"r{few}{rng.randrange(few)}" for _ in range(rng.randrange(5, 120))] for _ in range(10)]
+    lines += [base * k + base[:k] for base in ([word() for _ in range(9)], [word() for _ in range(30)]) for k in (1, 2, 3, 4)]
+    return [(k, " ".join(w)) for k, w in enumerate(lines)]
+
+
+@pytest.mark.parametrize(("long", "paired"), [(1 << 20, 64), (1 << 6, 64), (1 << 20, 3)])
+def test_line_dedup_leaves_out_only_pairs_that_cannot_be_similar(spark, monkeypatch, long, paired):
+    """However lines are dealt: very long ones, buckets of all lengths, and buckets too large for pairs."""
+    monkeypatch.setattr(line_dedup, "_LONG", long)
+    monkeypatch.setattr(line_dedup, "PAIRED", paired)
+    rows = mixed_lines()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = earlier_matches(rows)
+    assert 40 < len(want) < len(rows) - 40
+    assert {(r["i"], r["at"]) for r in line_dedup.later_lines(docs).collect()} == want
+
+
+def test_lines_that_share_a_passage_only_are_not_read_again(spark):
+    """40 lines hold one passage of 30 words: they share keys, but too few of them, and are not compared."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(30)]
+    texts = [" ".join([*(word() for _ in range(60)), *shared, *(word() for _ in range(60))]) for _ in range(40)]
+    lines = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end"])), "lh bigint, line string")
+    pairs, buckets = line_dedup.met_lines(line_dedup.index(line_dedup.hashed_words(lines, 5), 5, 80), 80)
+    assert buckets.isEmpty() and [(r["a"], r["b"]) for r in pairs.collect()] == [(0, 40)]
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 

@@ -580,6 +580,62 @@ def test_toxicity_sample_is_drawn_from_the_documents(spark, monkeypatch):
     assert seen == {"n": 200, "prior": 49 / 199}
 
 
+def test_toxicity_learns_from_all_rows_and_whole_texts(spark, monkeypatch):
+    """A word that only long texts have is learnt, rows are dealt into blocks, and partitions do not matter."""
+    import random
+
+    monkeypatch.setattr(toxicity, "START_ROWS", 60, raising=False)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 150, raising=False)
+    rng = random.Random(5)
+
+    def made(i, bad):
+        w = [f"word{rng.randrange(60):03d}" for _ in range(30)] * (1 if i % 6 < 3 else 43)
+        w.insert(len(w) - 2, bad if i % 3 == 0 else "fine")
+        return (i, " ".join(w), "en")
+
+    docs = spark.createDataFrame([made(i, "nastyword" if i % 6 == 0 else "viletalk") for i in range(480)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(480)] + [(None, 1), (1, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    test = spark.createDataFrame([made(6 * i + i % 2, rng.choice(["nastyword", "viletalk"])) for i in range(120)], docs.schema)
+    got = toxicity.score_toxicity(test, model).collect()
+    assert len(got) == 120 and sum(r["rejected"] == (r["doc_id"] % 3 == 0) for r in got) >= 114
+    again = toxicity.fit_toxicity(docs.repartition(7), labels.repartition(3))
+    assert (again.out_bias, again.default_threshold, again.thresholds) == (model.out_bias, model.default_threshold, model.thresholds)
+    assert (again.out == model.out).all() and (again.taps[3][2] == model.taps[3][2]).all()
+
+
+def test_toxicity_blocks_hold_every_labelled_row(spark, docs, rows):
+    import re
+    from collections import Counter
+
+    labels = spark.createDataFrame([(i, y) for i in range(60) if i != 5 for y in (0, int(i % 3 == 0))] + [(None, 1), (3, None), (5, 2)], "doc_id bigint, toxic int")
+    toxic = {i: int(i % 3 == 0) for i in range(60) if i != 5}
+    coded = toxicity._labelled(docs, labels, "text", "doc_id", "toxic", "lang")
+    got = Counter()
+    for r in toxicity._blocks(coded, 3).toArrow().to_batches():
+        for _, found, y, held, langs in toxicity._unpacked([r]):
+            got.update(zip((tuple(d.tolist()) for d in found), y.tolist(), langs, strict=True))
+    want = Counter((tuple(toxicity.bucket(w) for w in re.findall(r"\w+", t.lower())), toxic[i], "en" if i % 2 else None) for i, t in rows if i in toxic and t is not None)
+    assert got == want and max(len(d) for d, _, _ in got) > 2000
+
+
+def test_toxicity_threshold_from_counts():
+    """Thresholds from counts of scores by cutoff are those from the scores."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        y = rng.integers(0, 2, 50)
+        scores = np.where(rng.random(50) < 0.2, toxicity.CUTS[rng.integers(0, 97, 50)], np.clip(rng.normal(0.3 + 0.4 * y, 0.2), 0, 1))
+        f1 = []
+        for cut in toxicity.CUTS:
+            hit = scores >= cut
+            f1.append(2 * (hit & (y == 1)).sum() / max(hit.sum() + y.sum(), 1))
+        best = toxicity.CUTS[np.array(f1) >= max(f1) - 1e-12]
+        assert toxicity.calibrated(toxicity.binned(scores, y), 0.5) == float(np.clip(np.median(best), 0.3, 0.9))
+    assert toxicity.calibrated(toxicity.binned(np.array([0.1]), np.array([0])), 0.4) == 0.4
+
+
 def test_empty_tables(spark, empty, docs):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     templates = spark.createDataFrame(licenses.NOTICES, "license string, notice string")
